@@ -1,6 +1,6 @@
 """Content-addressed WARC archive.
 
-Payload bytes are stored once under their SHA-256; the exact header of every record is stored on its own and names that
+Payload bytes are stored once, deflated, under their SHA-256; the exact header of every record is stored on its own and names that
 digest. Reading joins the two and yields the original records byte for byte. A digest is trusted only after equal digests
 were seen to have equal lengths and equal second hashes, and each payload read back must hash to its name.
 
@@ -11,6 +11,7 @@ columns of the input are ignored.
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,12 +33,20 @@ def base32(digest: Column) -> Column:
 
 @dataclass
 class Archive:
-    """headers: (uid, key, header); payloads: (key, payload), each payload once."""
+    """headers: (uid, key, header); payloads: (key, deflated), each payload once."""
 
     headers: DataFrame
     payloads: DataFrame
 
 
+def deflate(data: Column) -> Column:
+    return F.pandas_udf(lambda each: each.map(zlib.compress), "binary")(data)
+
+
+def inflate(data: Column) -> Column:
+    return F.pandas_udf(lambda each: each.map(zlib.decompress), "binary")(data)
+
+
 def header() -> Column:
     """The exact header of a record from page_id, uid, url, digest, payload_bytes, refers_to and revisit."""
     target = F.replace(F.replace(F.coalesce("url", F.lit("")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
@@ -61,15 +70,15 @@ def write_archive(pages: DataFrame, min_bytes: int = 0, id_col: str = "page_id",
     revisit = (F.col("uid") != F.col("first.uid")) & (F.col("payload_bytes") >= min_bytes)
     typed = rows.join(first, "key").select("*", revisit.alias("revisit"), F.when(revisit, F.col("first.page_id")).alias("refers_to"), base32(F.col("sha1")).alias("digest"))
     headers = table(typed.select("uid", "key", header().alias("header")), "warc-headers")
-    named = pages.select(F.sha2(data, 256).alias("key"), data.alias("payload"), F.xxhash64(data).alias("second"))
-    once = named.groupBy("key").agg(F.first("payload").alias("payload"), F.min("second").alias("a"), F.max("second").alias("b"))
-    same = F.when(F.col("a") == F.col("b"), F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("payloads differ under digest "), "key")).cast("binary"))
-    return Archive(headers, table(once.select("key", same.alias("payload")), "warc-payloads"))
+    named = pages.select(F.sha2(data, 256).alias("key"), deflate(data).alias("deflated"), F.xxhash64(data).alias("second"))
+    once = named.groupBy("key").agg(F.first("deflated").alias("deflated"), F.min("second").alias("a"), F.max("second").alias("b"))
+    same = F.when(F.col("a") == F.col("b"), F.col("deflated")).otherwise(F.raise_error(F.concat(F.lit("payloads differ under digest "), "key")).cast("binary"))
+    return Archive(headers, table(once.select("key", same.alias("deflated")), "warc-payloads"))
 
 
 def records(archive: Archive) -> DataFrame:
     """(record, payload): the record as archived, header to final line ends, and its full payload, which a revisit refers to."""
-    joined = archive.headers.join(archive.payloads, "key")
+    joined = archive.headers.join(archive.payloads, "key").select("key", "header", inflate(F.col("deflated")).alias("payload"))
     good = F.when(F.sha2("payload", 256) == F.col("key"), F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("damaged payload "), "key")).cast("binary"))
     own = F.when(F.contains("header", F.lit(b"\r\nWARC-Type: revisit\r\n")), F.lit(b"")).otherwise(F.col("payload"))
     return joined.select("header", good.alias("payload"), F.concat("header", own, F.lit(END.encode())).alias("record"))
