@@ -42,18 +42,20 @@ def best_paths(messages: DataFrame, branches: int | None = 1) -> DataFrame:
     here = nodes.select(F.col("conv").alias("c"), F.col("node").alias("p"))
     known = nodes.join(here, F.col("conv").eqNullSafe(F.col("c")) & (F.col("parent") == F.col("p")), "left")
     state = table(known.select("conv", "node", F.col("p").alias("up"), F.col("score").cast("double").alias("score"), F.lit(1).cast("long").alias("length")), "links0")
-    levels, open_rows = [state], state.where("up IS NOT NULL").count()
+    # level k holds the links to the 2^k-th ancestor, of the messages that have one; the others' paths are known by then
+    levels, known_paths, open_rows = [state], state.where("up IS NULL"), state.where("up IS NOT NULL").count()
     while open_rows:
-        last = levels[-1]
-        above = last.select(F.col("conv").alias("c"), F.col("node").alias("p"), F.col("up").alias("up2"), F.col("score").alias("s2"), F.col("length").alias("l2"))
-        joined = last.join(above, F.col("conv").eqNullSafe(F.col("c")) & (F.col("up") == F.col("p")), "left")
-        levels.append(table(joined.select("conv", "node", F.col("up2").alias("up"), (F.col("score") + F.coalesce("s2", F.lit(0.0))).alias("score"), (F.col("length") + F.coalesce("l2", F.lit(0))).alias("length")), f"links{len(levels)}"))
+        live = levels[-1].where("up IS NOT NULL")
+        above = known_paths.union(live).select(F.col("conv").alias("c"), F.col("node").alias("p"), F.col("up").alias("up2"), F.col("score").alias("s2"), F.col("length").alias("l2"))
+        joined = live.join(above, F.col("conv").eqNullSafe(F.col("c")) & (F.col("up") == F.col("p")))
+        levels.append(table(joined.select("conv", "node", F.col("up2").alias("up"), (F.col("score") + F.col("s2")).alias("score"), (F.col("length") + F.col("l2")).alias("length")), f"links{len(levels)}"))
+        known_paths = known_paths.union(levels[-1].where("up IS NULL"))
         now = levels[-1].where("up IS NOT NULL").count()
         if now == open_rows:  # what is left runs in circles: a path would have lost its end
             break
         open_rows = now
     parents = state.where("up IS NOT NULL").select(F.col("conv").alias("c"), F.col("up").alias("p")).distinct()
-    leaves = levels[-1].where("up IS NULL").join(parents, F.col("conv").eqNullSafe(F.col("c")) & (F.col("node") == F.col("p")), "left_anti")
+    leaves = known_paths.join(parents, F.col("conv").eqNullSafe(F.col("c")) & (F.col("node") == F.col("p")), "left_anti")
     ranked = leaves.withColumn("rank", F.expr("row_number() OVER (PARTITION BY conv ORDER BY score DESC, node)"))
     if branches is not None:
         ranked = ranked.where(F.col("rank") <= branches)
