@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("catalog",)
+MODULES = ("catalog", "relations")
 
 
 def queries() -> dict:
