@@ -41,7 +41,8 @@ def to_regex(pattern: str, ignore_case: bool = True) -> str:
             out.append(known[t])
         elif len(t) > 2 and t[0] == "[":
             inner = t[1:-1]
-            out.append("[" + ("^" + inner[1:] if inner[0] == "!" else inner).replace("\\", "\\\\") + "]")
+            inner = ("^/" + inner[1:] if inner[0] == "!" else inner).replace("\\", "\\\\").replace("[", "\\[").replace("&", "\\&")
+            out.append(f"[{inner}&&[^/]]")
         else:
             out.append(re.escape(t[-1]))
     # a path's own leading slash belongs to the folders of an unanchored pattern

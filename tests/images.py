@@ -1,0 +1,130 @@
+"""Disk images that tests build for themselves."""
+
+import struct
+import uuid
+
+
+def fat12(files, label="VOLUME", sectors=2880):
+    """A FAT12 floppy; files: {path: bytes or None for a folder}, short upper-case names."""
+    per_fat, roots = 9, 224
+    boot = bytearray(512)
+    boot[:3], boot[3:11] = b"\xeb\x3c\x90", b"MSDOS5.0"
+    struct.pack_into("<HBHBHHBHHHII", boot, 11, 512, 1, 1, 2, roots, sectors, 0xF0, per_fat, 18, 2, 0, 0)
+    boot[510:512] = b"\x55\xaa"
+    fat, data = [0xFF0, 0xFFF], bytearray()
+
+    def store(body):
+        if not body:
+            return 0
+        first, n = len(fat), -(-len(body) // 512)
+        fat.extend([*range(first + 1, first + n), 0xFFF])
+        data.extend(body.ljust(n * 512, b"\0"))
+        return first
+
+    def slot(name, attributes, first, size):
+        base, _, ending = name.partition(".")
+        return struct.pack("<8s3sBBBHHHHHHHI", base.ljust(8).encode(), ending.ljust(3).encode(), attributes, 0, 0, 0, 0, 0, 0, 0x6000, 0x5A21, first, size)
+
+    def folder(prefix):
+        out = bytearray()
+        for path, body in files.items():
+            parent, _, name = path.rpartition("/")
+            if parent == prefix:
+                if body is None:
+                    inner = folder(path)
+                    out += slot(name, 0x10, store(bytes(inner) or bytes(32)), 0)
+                else:
+                    out += slot(name, 0x20, store(body), len(body))
+        return out
+
+    root = slot(label, 0x08, 0, 0) + folder("")
+    table = bytearray(per_fat * 512)
+    for n, value in enumerate(fat):
+        at = n * 3 // 2
+        (pair,) = struct.unpack_from("<H", table, at)
+        struct.pack_into("<H", table, at, pair | value << 4 if n & 1 else pair & 0xF000 | value)
+    disk = bytes(boot) + bytes(table) * 2 + bytes(root).ljust(roots * 32, b"\0") + bytes(data)
+    return disk.ljust(sectors * 512, b"\0")
+
+
+def mbr(parts, size):
+    """parts: (type, start sector, volume bytes, active)."""
+    disk = bytearray(size)
+    for k, (kind, start, volume, active) in enumerate(parts):
+        struct.pack_into("<B3xB3xII", disk, 446 + 16 * k, 0x80 if active else 0, kind, start, len(volume) // 512)
+        disk[start * 512 : start * 512 + len(volume)] = volume
+    disk[510:512] = b"\x55\xaa"
+    return bytes(disk)
+
+
+def gpt(parts, size):
+    disk = bytearray(mbr([(0xEE, 1, bytes(0), False)], size))
+    struct.pack_into("<II", disk, 446 + 8, 1, size // 512 - 1)
+    disk[512:520] = b"EFI PART"
+    struct.pack_into("<QII", disk, 512 + 72, 2, 128, 128)
+    for k, (guid, start, volume, name) in enumerate(parts):
+        entry = uuid.UUID(guid).bytes_le + bytes(15) + b"\1" + struct.pack("<QQQ", start, start + len(volume) // 512 - 1, 0) + name.encode("utf-16-le").ljust(72, b"\0")
+        disk[1024 + 128 * k : 1024 + 128 * (k + 1)] = entry
+        disk[start * 512 : start * 512 + len(volume)] = volume
+    return bytes(disk)
+
+
+def apm(parts, size):
+    disk = bytearray(size)
+    struct.pack_into(">2sHI", disk, 0, b"ER", 512, size // 512)
+    for k, (name, kind, start, count) in enumerate(parts):
+        struct.pack_into(">2s2xIII32s32s", disk, 512 * (k + 1), b"PM", len(parts), start, count, name.encode(), kind.encode())
+    return bytes(disk)
+
+
+def dynamic_vhd(disk, block=1 << 21):
+    count = -(-len(disk) // block)
+    foot = bytearray(512)
+    foot[:8] = b"conectix"
+    struct.pack_into(">Q", foot, 16, 512)
+    struct.pack_into(">Q", foot, 48, len(disk))
+    struct.pack_into(">I", foot, 60, 3)
+    head = bytearray(1024)
+    head[:8] = b"cxsparse"
+    struct.pack_into(">Q4xII", head, 16, 1536, count, block)
+    table_size = -(-count * 4 // 512) * 512
+    bitmap, at, table, body = -(-(block // 4096) // 512) * 512, 1536 + table_size, [], b""
+    for k in range(count):
+        part = disk[k * block : (k + 1) * block].ljust(block, b"\0")
+        if part.count(0) == len(part):
+            table.append(0xFFFFFFFF)
+            continue
+        table.append((at + len(body)) // 512)
+        body += b"\xff" * bitmap + part
+    return bytes(foot) + bytes(head) + struct.pack(f">{count}I", *table).ljust(table_size, b"\xff") + body + bytes(foot)
+
+
+def qcow2(disk, bits=16):
+    cluster = 1 << bits
+    n = -(-len(disk) // cluster)
+    per = cluster // 8
+    tables = -(-n // per)
+    first, second = cluster, 2 * cluster
+    head = struct.pack(">4sIQIIQIIQ", b"QFI\xfb", 2, 0, 0, bits, len(disk), 0, tables, first).ljust(cluster, b"\0")
+    body, entries, at = b"", [], second + tables * cluster
+    for k in range(n):
+        part = disk[k * cluster : (k + 1) * cluster].ljust(cluster, b"\0")
+        if part.count(0) == len(part):
+            entries.append(0)
+        else:
+            entries.append(at + len(body) | 1 << 63)
+            body += part
+    entries += [0] * (tables * per - n)
+    return head + struct.pack(f">{tables}Q", *(second + k * cluster | 1 << 63 for k in range(tables))).ljust(cluster, b"\0") + struct.pack(f">{len(entries)}Q", *entries) + body
+
+
+def msa(disk, sectors=9, sides=1):
+    length, out = sectors * 512, b""
+    tracks = [disk[i : i + length] for i in range(0, len(disk), length)]
+    for t in tracks:
+        if t == t[:1] * length:
+            packed = b"\xe5" + t[:1] + struct.pack(">H", length)
+        else:
+            packed = t
+        out += struct.pack(">H", len(packed)) + packed
+    return struct.pack(">5H", 0x0E0F, sectors, sides, 0, len(tracks) // (sides + 1) - 1) + out
