@@ -42,7 +42,7 @@ def to_regex(pattern: str, ignore_case: bool = True) -> str:
         elif len(t) > 2 and t[0] == "[":
             inner = t[1:-1]
             inner = ("^/" + inner[1:] if inner[0] == "!" else inner).replace("\\", "\\\\").replace("[", "\\[").replace("&", "\\&")
-            out.append(f"[{inner}&&[^/]]")
+            out.append(f"[{inner}]" if inner[0] == "^" else f"[{inner}&&[^/]]")
         else:
             out.append(re.escape(t[-1]))
     # a path's own leading slash belongs to the folders of an unanchored pattern
