@@ -226,6 +226,104 @@ class Ext:
                 yield made
 
 
+class ExFat:
+    """exFAT: entry sets of file, stream and name slots; a flag tells contiguous files, which have no chain."""
+
+    def __init__(self, data: bytes):
+        self.data = data
+        fat, _, heap, self.clusters, self.root = struct.unpack_from("<IIIII", data, 80)
+        sector = 1 << data[108]
+        self.fat_at, self.heap_at, self.cluster = fat * sector, heap * sector, sector << data[109]
+
+    def chain(self, first: int, size: int | None, contiguous: bool) -> list[int]:
+        if contiguous:
+            return list(range(first, first + -(-(size or 0) // self.cluster)))
+        out, at = [], first
+        while 2 <= at < self.clusters + 2 and len(out) <= self.clusters:
+            out.append(at)
+            (at,) = struct.unpack_from("<I", self.data, self.fat_at + 4 * at)
+        return out
+
+    def bytes_of(self, clusters: list[int]) -> bytes:
+        return b"".join(self.data[self.heap_at + (c - 2) * self.cluster :][: self.cluster] for c in clusters)
+
+    def entries(self, contents: bool) -> Iterator[Entry]:
+        todo, seen = [("", self.bytes_of(self.chain(self.root, None, False)))], {self.root}
+        while todo:
+            parent, table = todo.pop()
+            at = 0
+            while at + 32 <= len(table) and table[at]:
+                if table[at] != 0x85:
+                    at += 32
+                    continue
+                slots = [table[at + 32 * k : at + 32 * k + 32] for k in range(1, table[at + 1] + 1)]
+                attributes, modified = struct.unpack_from("<H", table, at + 4)[0], struct.unpack_from("<I", table, at + 12)[0]
+                at += 32 * (table[at + 1] + 1)
+                stream = next((x for x in slots if x[:1] == b"\xc0"), None)
+                if stream is None:
+                    continue
+                first, size = struct.unpack_from("<IQ", stream, 20)
+                name = b"".join(x[2:32] for x in slots if x[:1] == b"\xc1").decode("utf-16-le", "replace")[: stream[3]]
+                folder, path = bool(attributes & 0x10), f"{parent}/{name}"
+                clusters = self.chain(first, size, bool(stream[1] & 2)) if first else []
+                made = Entry(path, "directory" if folder else "file", 0 if folder else size, first, Fat._time(modified >> 16, modified & 0xFFFF), dos_attributes=attributes, extents=_grouped(clusters))
+                if folder and first not in seen:
+                    seen.add(first)
+                    todo.append((path, self.bytes_of(clusters)))
+                elif not folder and contents:
+                    made.content = self.bytes_of(clusters)[:size]
+                yield made
+
+
+class ProDos:
+    """ProDOS: linked directory blocks; files are a block, an index of blocks, or an index of indexes."""
+
+    def __init__(self, data: bytes):
+        self.data = data
+
+    def _block(self, n: int) -> bytes:
+        return self.data[512 * n : 512 * n + 512]
+
+    def _blocks(self, key: int, storage: int) -> list[int]:
+        """Blocks of a file in order, 0 for one that is not stored."""
+        index = lambda n: [low | high << 8 for low, high in zip(self._block(n)[:256], self._block(n)[256:], strict=True)]
+        if storage == 1:
+            return [key]
+        if storage == 2:
+            return index(key)
+        return [b for n in index(key)[:128] for b in (index(n) if n else [0] * 256)]
+
+    def _time(self, date: int, time: int) -> str | None:
+        if not date:
+            return None
+        year = (date >> 9) + (1900 if date >> 9 >= 40 else 2000)
+        return f"{year:04}-{date >> 5 & 15:02}-{date & 31:02} {time >> 8 & 31:02}:{time & 63:02}:00"
+
+    def entries(self, contents: bool) -> Iterator[Entry]:
+        todo, seen = [("", 2)], set()
+        while todo:
+            parent, block = todo.pop()
+            while block and block not in seen:
+                seen.add(block)
+                table = self._block(block)
+                (block,) = struct.unpack_from("<H", table, 2)
+                for at in range(4, 4 + 13 * 39, 39):
+                    slot = table[at : at + 39]
+                    storage, length = slot[0] >> 4, slot[0] & 15
+                    if storage in (0, 14, 15):
+                        continue
+                    key, _, low, high = struct.unpack_from("<HHHB", slot, 17)
+                    size, path = low | high << 16, f"{parent}/{slot[1 : 1 + length].decode('ascii', 'replace')}"
+                    folder = storage == 13
+                    blocks = [] if folder or storage > 3 else self._blocks(key, storage)[: -(-size // 512)]
+                    made = Entry(path, "directory" if folder else "file", 0 if folder else size, key, self._time(*struct.unpack_from("<HH", slot, 33)), type_code=f"${slot[16]:02X}", extents=_grouped([b for b in blocks if b]))
+                    if folder:
+                        todo.append((path, key))
+                    elif contents:
+                        made.content = b"".join(self._block(b) if b else bytes(512) for b in blocks)[:size]
+                    yield made
+
+
 class Mfs:
     """The flat Macintosh filesystem: one directory, allocation map of 12 bits."""
 
@@ -303,7 +401,7 @@ class Carve:
             yield Entry(f"/text-{m.start():010x}.txt", "file", len(m[0]), m.start(), extents=[(m.start(), len(m[0]))], content=m[0] if contents else None)
 
 
-DRIVERS = {"fat": Fat, "ext": Ext, "mfs": Mfs, "iso9660": Iso, "carve": Carve}
+DRIVERS = {"fat": Fat, "exfat": ExFat, "ext": Ext, "prodos": ProDos, "mfs": Mfs, "iso9660": Iso, "carve": Carve}
 
 
 def sniff(data: bytes) -> str | None:

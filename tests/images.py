@@ -128,3 +128,40 @@ def msa(disk, sectors=9, sides=1):
             packed = t
         out += struct.pack(">H", len(packed)) + packed
     return struct.pack(">5H", 0x0E0F, sectors, sides, 0, len(tracks) // (sides + 1) - 1) + out
+
+
+def prodos(files, blocks=280):
+    """files: {name: bytes} in the volume directory."""
+    disk = bytearray(512 * blocks)
+    disk[1024 + 4 : 1024 + 4 + 39] = bytes([0xF3]) + b"VOL".ljust(15, b"\0") + bytes(14) + bytes([0, 39, 13]) + bytes(6)
+    free, at = 10, 1024 + 4 + 39
+    for name, body in files.items():
+        n = max(1, -(-len(body) // 512))
+        key, storage = free, 1 if n == 1 else 2
+        places = [key] if n == 1 else list(range(key + 1, key + 1 + n))
+        for k, place in enumerate(places):
+            disk[512 * place : 512 * place + len(body[512 * k : 512 * k + 512])] = body[512 * k : 512 * k + 512]
+            if n > 1:
+                disk[512 * key + k], disk[512 * key + 256 + k] = place & 255, place >> 8
+        free = places[-1] + 1
+        disk[at : at + 39] = bytes([storage << 4 | len(name)]) + name.encode().ljust(15, b"\0") + struct.pack("<BHHHB", 4, key, n, len(body) & 0xFFFF, len(body) >> 16) + bytes(15)
+        at += 39
+    return bytes(disk)
+
+
+def exfat(files, clusters=200):
+    """files: {name: bytes}, contiguous, in the root directory; sectors and clusters of 512 bytes."""
+    disk = bytearray(512 * (20 + clusters))
+    disk[:11], disk[108], disk[109], disk[510:512] = b"\xeb\x76\x90EXFAT   ", 9, 0, b"\x55\xaa"
+    struct.pack_into("<IIIII", disk, 80, 10, 4, 20, clusters, 2)
+    table, free = bytearray(), 4
+    for name, body in files.items():
+        stream = struct.pack("<BBBBHHQIIQ", 0xC0, 3, 0, len(name), 0, 0, len(body), 0, free if body else 0, len(body))
+        names = [name[i : i + 15] for i in range(0, len(name), 15)]
+        table += struct.pack("<BBHHHIII", 0x85, 1 + len(names), 0, 0x20, 0, 0, 0x5A216000, 0).ljust(32, b"\0") + stream
+        table += b"".join(b"\xc1\0" + x.encode("utf-16-le").ljust(30, b"\0") for x in names)
+        disk[512 * (18 + free) : 512 * (18 + free) + len(body)] = body
+        free += -(-len(body) // 512)
+    disk[512 * 20 : 512 * 20 + len(table)] = table
+    struct.pack_into("<II", disk, 512 * 10 + 8, 3, 0xFFFFFFFF)
+    return bytes(disk)

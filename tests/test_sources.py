@@ -105,6 +105,14 @@ def test_sniff_rules_agree(spark):
     assert [r.name for r in got] == [r.found for r in got] == [filesystems.sniff(d) for _, d in rows]
 
 
+def test_other_filesystems():
+    files = {"HELLO.TXT": b"Hello", "BIG": bytes(range(256)) * 11}
+    for name, disk in (("prodos", images.prodos(files)), ("exfat", images.exfat({**files, "a rather long name.txt": b"x"}))):
+        fs, found = filesystems.entries(disk, True)
+        got = {e.path[1:]: e.content for e in found}
+        assert fs == name and files.items() <= got.items() and len(got) == len(files) + (name == "exfat")
+
+
 def test_archives_round_trip():
     body = bytes(range(256)) * 9 + b"\x90\x90\x00" * 5
     made = archives.write_macbinary("Namé", b"TEXT", b"ttxt", body, b"fork")
