@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from platterlake.shipping import ship
+
 
 def four(data: Column) -> list[Column]:
     """CRC-32, MD5, SHA-1 and SHA-256 of a value in one projection."""
@@ -27,6 +29,7 @@ def of_chunks(chunks: DataFrame, keys: list[str], seq: str = "seq", data: str =
     A digest is sequential by nature, so the chunks of one stream meet in one task; they arrive sorted and are hashed one
     Arrow batch at a time, so a task never holds a whole stream.
     """
+    ship(chunks.sparkSession)
     names = ["size", "crc32", "md5", "sha1", "sha256"]
 
     def each(batches):

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, StringStartsWith
 
+from platterlake.shipping import ship
 from platterlake.sources import archives, containers, filesystems, partitions
 
 BLOCKS = "image_id string, block_no bigint, bytes binary"
@@ -38,6 +39,7 @@ def _entry_rows(path: str, data: bytes, contents: bool, only: int | None = None)
 
 
 def _mapped(spark: SparkSession, path: str, rows, schema: str, glob: str | None) -> DataFrame:
+    ship(spark)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if glob:
         files = files.option("pathGlobFilter", glob)
@@ -132,6 +134,7 @@ class FilesystemEntries(DataSource):
 
 def register(spark: SparkSession) -> None:
     """Make the formats known to a session, and let it hand filters to them."""
+    ship(spark)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", True)
     for source in (DiskPartitions, FilesystemEntries):
         spark.dataSource.register(source)
