@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from platterlake.shipping import ship
+
 #: ASCII white space, as the contracts of the word-based operators name it.
 SPACE = r"[\x20\x09-\x0D]"
 _RUN = uuid.uuid4().hex[:12]
@@ -28,6 +30,7 @@ def shared_dir(spark: SparkSession) -> str:
 def table(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and return the table: lineage ends there and survives lost executors."""
     spark = df.sparkSession
+    ship(spark)
     path = f"{shared_dir(spark)}/platterlake-{_RUN}/{name}-{uuid.uuid4().hex[:8]}"
     df.write.parquet(path)
     _kept[path] = spark
@@ -64,6 +67,7 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
