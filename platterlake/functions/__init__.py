@@ -1 +1 @@
-
+"""Column expressions: sizes, names, dates, digests and bitmaps."""

@@ -1 +1 @@
-
+"""Operators over catalogs, partitions, blocks and backups."""

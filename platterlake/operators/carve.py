@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from platterlake.functions.names import text_kind
 
 MIN_RUN, MAX_ENTRIES = 64, 4096
+#: Consecutive numbers that one task looks at together.
+SEGMENT = 1 << 20
 
 
 def text_runs(rows: DataFrame, key: str, text: str, least: int = MIN_RUN, entries: int | None = MAX_ENTRIES) -> DataFrame:
@@ -27,9 +29,19 @@ def islands(rows: DataFrame, keys: list[str], place: str, value: str) -> DataFra
     return runs.groupBy(*keys, "run", value).agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count(F.lit(1)).alias("n"))
 
 
-def block_runs(blocks: DataFrame, keys: list[str], place: str, flag: str, least: int = 1) -> DataFrame:
-    """keys, start and length of maximal runs of consecutive numbers whose flag is set; works on sparse tables."""
-    w = Window.partitionBy(*keys).orderBy(place)
-    island = F.col(place) - F.row_number().over(w)
-    found = blocks.where(F.col(flag)).withColumn("__island", island).groupBy(*keys, "__island").agg(F.min(place).alias("start"), F.count(F.lit(1)).alias("length"))
-    return found.where(F.col("length") >= least).drop("__island")
+def block_runs(blocks: DataFrame, keys: list[str], place: str, flag: str, least: int = 1, segment: int = SEGMENT) -> DataFrame:
+    """keys, start and length of maximal runs of consecutive numbers whose flag is set; works on sparse tables.
+
+    Runs are found within segments of the numbers, so one image's blocks are spread over many tasks; only runs that touch
+    the border of a segment meet again, to be joined with their neighbours.
+    """
+    cut = F.floor(F.col(place) / segment)
+    used = blocks.where(F.col(flag)).withColumn("__segment", cut)
+    island = F.col(place) - F.row_number().over(Window.partitionBy(*keys, "__segment").orderBy(place))
+    found = used.withColumn("__island", island).groupBy(*keys, "__segment", "__island").agg(F.min(place).alias("start"), F.count(F.lit(1)).alias("length"))
+    found = found.select(*keys, "start", "length")
+    border = (F.col("start") % segment == 0) | ((F.col("start") + F.col("length")) % segment == 0)
+    w = Window.partitionBy(*keys).orderBy("start")
+    fresh = F.when(F.lag(F.col("start") + F.col("length")).over(w) == F.col("start"), 0).otherwise(1)
+    joined = found.where(border).withColumn("__fresh", fresh).withColumn("__run", F.sum("__fresh").over(w)).groupBy(*keys, "__run").agg(F.min("start").alias("start"), F.sum("length").alias("length"))
+    return found.where(~border).unionByName(joined.drop("__run")).where(F.col("length") >= least)

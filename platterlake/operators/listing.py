@@ -39,12 +39,14 @@ def tree_text(entries: DataFrame) -> DataFrame:
 
 
 def select_range(rows: DataFrame, order: list[Column], first: Column, last: Column) -> DataFrame:
-    """Rows between the first row that satisfies `first` and the last that satisfies `last`, in the order."""
-    from pyspark.sql import Window
+    """Rows between those that satisfy `first` and those that satisfy `last`, in the order of unique keys.
 
-    ranked = rows.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
-    ends = ranked.agg(F.min(F.when(first, F.col("rank"))).alias("a"), F.max(F.when(last, F.col("rank"))).alias("b"))
-    return ranked.join(F.broadcast(ends), F.col("rank").between(F.least("a", "b"), F.greatest("a", "b"))).drop("a", "b")  # one row
+    Two bounds are aggregated and compared with; nothing is ranked, so no task sees all rows.
+    """
+    key = F.struct(*(c.alias(f"k{i}") for i, c in enumerate(order)))
+    keyed = rows.withColumn("__key", key)
+    either = keyed.where(first | last).agg(F.min("__key").alias("__a"), F.max("__key").alias("__b"))  # one row
+    return keyed.join(F.broadcast(either), F.col("__key").between(F.col("__a"), F.col("__b"))).drop("__key", "__a", "__b")
 
 
 def unique_names(rows: DataFrame, folder: str, name: str, ordinal: str) -> DataFrame:

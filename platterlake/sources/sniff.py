@@ -70,8 +70,9 @@ def filesystem(data: Column) -> Column:
 
 
 def container(data: Column, path: Column) -> Column:
-    """The container of a file by its bytes; raw where no rule fits. Bare codecs are told from tar inside by the name."""
-    out = F.when(F.lower(path).rlike(r"\.(iso|img|ima|dsk|hdv|po|do|raw|bin|st|ssd|dsd|d64|adf)$"), "raw").otherwise("raw")
+    """The container of a file by its bytes; by the ending where it has none; else raw."""
+    ending = F.lower(F.regexp_extract(path, r"\.([^./]*)$", 1))
+    out = F.when(ending.isin("d88", "dim"), ending).otherwise("raw")
     for name, offset, magic in reversed(CONTAINERS):
         out = F.when(at(data, offset, len(magic) // 2) == magic, name).otherwise(out)
     return out

@@ -132,6 +132,9 @@ def test_carving_and_compaction(spark):
     assert [r.truncated for r in carve.text_runs(rows, "id", "t", entries=1).collect()] == [True]
     used = spark.createDataFrame([("i", n, n not in (2, 3)) for n in range(6)], "image_id string, block_no long, used boolean")
     assert sorted((r.start, r.length) for r in carve.block_runs(used, ["image_id"], "block_no", "used").collect()) == [(0, 2), (4, 2)]
+    assert sorted((r.start, r.length) for r in carve.block_runs(used, ["image_id"], "block_no", "used", segment=2).collect()) == [(0, 2), (4, 2)]
+    dense = spark.range(40).selectExpr("'i' AS image_id", "id AS block_no", "id NOT IN (7, 20) AS used")
+    assert sorted((r.start, r.length) for r in carve.block_runs(dense, ["image_id"], "block_no", "used", segment=4).collect()) == [(0, 7), (8, 12), (21, 19)]
     assert sorted((r.block_no, r.new_block) for r in compaction.renumber(used, ["image_id"]).collect()) == [(0, 0), (1, 1), (4, 2), (5, 3)]
     blocks = spark.createDataFrame([("i", n, bytes([n])) for n in range(6)], "image_id string, block_no long, bytes binary")
     live = compaction.live(blocks, used, ["image_id", "block_no"])
