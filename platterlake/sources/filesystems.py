@@ -324,6 +324,136 @@ class ProDos:
                     yield made
 
 
+class _MacTree:
+    """Leaf records of a B-tree file in key order, along the chain of leaf nodes."""
+
+    def __init__(self, data: bytes):
+        self.data = data
+        (self.size,) = struct.unpack_from(">H", data, 32)
+        (self.first,) = struct.unpack_from(">I", data, 24)
+
+    def __iter__(self) -> Iterator[bytes]:
+        node, seen = self.first, set()
+        while node and node not in seen:
+            seen.add(node)
+            raw = self.data[node * self.size : (node + 1) * self.size]
+            if len(raw) < self.size:
+                return
+            (count,) = struct.unpack_from(">H", raw, 10)
+            places = [struct.unpack_from(">H", raw, self.size - 2 * (k + 1))[0] for k in range(count + 1)]
+            for a, b in zip(places, places[1:]):
+                yield raw[a:b]
+            (node,) = struct.unpack_from(">I", raw)
+
+
+class _Mac:
+    """What both hierarchical Macintosh filesystems share: catalog records to paths."""
+
+    def _bytes(self, extents: list[tuple[int, int]], size: int) -> bytes:
+        return b"".join(self.data[self.base + a * self.block :][: n * self.block] for a, n in extents)[:size]
+
+    @staticmethod
+    def _date(seconds: int) -> str | None:
+        from datetime import UTC, datetime
+
+        return datetime.fromtimestamp(max(0, seconds - 2_082_844_800), UTC).strftime("%Y-%m-%d %H:%M:%S") if seconds else None
+
+    def entries(self, contents: bool) -> Iterator[Entry]:
+        rows = list(self._records())
+        homes = {r["id"]: (r["parent"], r["name"]) for r in rows if r["folder"]}
+
+        def path(parent: int, name: str) -> str:
+            parts, seen = [name], set()
+            while parent in homes and parent != 2 and parent not in seen:
+                seen.add(parent)
+                parent, above = homes[parent]
+                parts.append(above)
+            return "/" + "/".join(p.replace("/", ":") for p in reversed(parts))
+
+        for r in sorted((r for r in rows if r["id"] != 2), key=lambda r: (not r["folder"], r["id"])):
+            kind = "directory" if r["folder"] else "symlink" if r.get("mode", 0) & 0xF000 == 0xA000 else "file"
+            size, extents = r.get("data", (0, []))
+            body = self._bytes(extents, size) if kind == "symlink" or (kind == "file" and contents) else None
+            yield Entry(
+                path(r["parent"], r["name"]), kind, size, r["id"], self._date(r["modified"]), r.get("mode") or None, r.get("uid"), r.get("gid"),
+                type_code=r.get("type"), creator_code=r.get("creator"), resource_fork_size=r.get("resource"), extents=extents,
+                symlink_target=body.decode("utf-8", "replace") if kind == "symlink" else None, content=body if kind == "file" else None,
+            )
+
+
+class HfsPlus(_Mac):
+    """HFS+ and HFSX; forks of more than eight extents continue in the overflow tree."""
+
+    def __init__(self, data: bytes):
+        self.data, self.base, head = data, 0, data[1024:1536]
+        (self.block,) = struct.unpack_from(">I", head, 40)
+        self.more: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
+        overflow = self._fork(head[192:272], 3, 0)
+        if overflow[0]:
+            for record in _MacTree(self._bytes(overflow[1], overflow[0])):
+                fork, owner, start = struct.unpack_from(">BxII", record, 2)
+                self.more.setdefault((owner, fork), []).append((start, *struct.unpack_from(">16I", record, 12)))
+        size, extents = self._fork(head[272:352], 4, 0)
+        self.catalog = self._bytes(extents, size)
+
+    def _fork(self, raw: bytes, owner: int, fork: int) -> tuple[int, list[tuple[int, int]]]:
+        size, total, *flat = struct.unpack_from(">Q4xI16I", raw)
+        for more in sorted(self.more.get((owner, fork), [])):
+            flat += more[1:]
+        extents = [(a, n) for a, n in zip(flat[::2], flat[1::2], strict=True) if n]
+        return size, extents
+
+    def _records(self) -> Iterator[dict]:
+        for r in _MacTree(self.catalog):
+            length, parent, letters = struct.unpack_from(">HIH", r)
+            name, at = r[8 : 8 + 2 * letters].decode("utf-16-be", "replace"), 2 + length
+            (kind,) = struct.unpack_from(">H", r, at)
+            if kind not in (1, 2):
+                continue
+            number, _, modified = struct.unpack_from(">III", r, at + 8)
+            uid, gid, mode = struct.unpack_from(">II2xH", r, at + 32)
+            row = {"parent": parent, "name": name, "id": number, "folder": kind == 1, "modified": modified, "uid": uid, "gid": gid, "mode": mode}
+            if kind == 2:
+                row |= {"type": r[at + 48 : at + 52].decode("mac_roman"), "creator": r[at + 52 : at + 56].decode("mac_roman")}
+                row |= {"data": self._fork(r[at + 88 : at + 168], number, 0), "resource": self._fork(r[at + 168 : at + 248], number, 0xFF)[0]}
+            yield row
+
+
+class Hfs(_Mac):
+    """HFS: three extents a fork, the others in the overflow tree."""
+
+    def __init__(self, data: bytes):
+        self.data, head = data, data[1024:1536]
+        (self.block,), (first,) = struct.unpack_from(">I", head, 20), struct.unpack_from(">H", head, 28)
+        self.base, self.more = first * 512, {}
+        size = struct.unpack_from(">I", head, 130)[0]
+        if size:
+            for record in _MacTree(self._bytes(self._extents(head[134:146], 3, 0), size)):
+                fork, owner, start = struct.unpack_from(">BIH", record, 1)
+                self.more.setdefault((owner, fork), []).append((start, *struct.unpack_from(">6H", record, 8)))
+        self.catalog = self._bytes(self._extents(head[150:162], 4, 0), struct.unpack_from(">I", head, 146)[0])
+
+    def _extents(self, raw: bytes, owner: int, fork: int) -> list[tuple[int, int]]:
+        flat = list(struct.unpack_from(">6H", raw))
+        for more in sorted(self.more.get((owner, fork), [])):
+            flat += more[1:]
+        return [(a, n) for a, n in zip(flat[::2], flat[1::2], strict=True) if n]
+
+    def _records(self) -> Iterator[dict]:
+        for r in _MacTree(self.catalog):
+            parent, letters = struct.unpack_from(">IB", r, 2)
+            name, at = r[7 : 7 + letters].decode("mac_roman"), r[0] + 1 + (r[0] + 1 & 1)
+            if r[at] == 1:
+                number, _, modified = struct.unpack_from(">III", r, at + 6)
+                yield {"parent": parent, "name": name, "id": number, "folder": True, "modified": modified}
+            elif r[at] == 2:
+                (number, size), (rsize,), (modified,) = struct.unpack_from(">I2xI", r, at + 20), struct.unpack_from(">I", r, at + 36), struct.unpack_from(">I", r, at + 48)
+                yield {
+                    "parent": parent, "name": name, "id": number, "folder": False, "modified": modified, "resource": rsize, "data": (size, self._extents(r[at + 74 : at + 86], number, 0)),
+                    "type": r[at + 4 : at + 8].decode("mac_roman"), "creator": r[at + 8 : at + 12].decode("mac_roman"),
+                }
+
+
 class Mfs:
     """The flat Macintosh filesystem: one directory, allocation map of 12 bits."""
 
@@ -401,7 +531,7 @@ class Carve:
             yield Entry(f"/text-{m.start():010x}.txt", "file", len(m[0]), m.start(), extents=[(m.start(), len(m[0]))], content=m[0] if contents else None)
 
 
-DRIVERS = {"fat": Fat, "exfat": ExFat, "ext": Ext, "prodos": ProDos, "mfs": Mfs, "iso9660": Iso, "carve": Carve}
+DRIVERS = {"fat": Fat, "exfat": ExFat, "ext": Ext, "prodos": ProDos, "hfs": Hfs, "hfsplus": HfsPlus, "mfs": Mfs, "iso9660": Iso, "carve": Carve}
 
 
 def sniff(data: bytes) -> str | None:

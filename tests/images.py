@@ -165,3 +165,85 @@ def exfat(files, clusters=200):
     disk[512 * 20 : 512 * 20 + len(table)] = table
     struct.pack_into("<II", disk, 512 * 10 + 8, 3, 0xFFFFFFFF)
     return bytes(disk)
+
+
+def _tree(records, size):
+    """A B-tree of a header node and one leaf node."""
+    head = bytearray(size)
+    struct.pack_into(">IIbBHH", head, 0, 0, 0, 1, 0, 3, 0)
+    struct.pack_into(">HIIIIH", head, 14, 1, 1, len(records), 1, 1, size)
+    leaf, at, places = bytearray(size), 14, []
+    struct.pack_into(">IIbBHH", leaf, 0, 0, 0, -1, 1, len(records), 0)
+    for r in records:
+        places.append(at)
+        leaf[at : at + len(r)] = r
+        at += len(r)
+    for k, place in enumerate([*places, at]):
+        struct.pack_into(">H", leaf, size - 2 * (k + 1), place)
+    return bytes(head + leaf)
+
+
+def hfsplus(files, block=4096):
+    """files: {path: bytes or None for a folder}, folders first; every file is one extent."""
+    ids = {"": 2} | {p: 16 + k for k, p in enumerate(files)}
+    first, body, records = 8, b"", []
+
+    def fork(data):
+        nonlocal body
+        n = -(-len(data) // block)
+        start = first + len(body) // block
+        body += data.ljust(n * block, b"\0")
+        return struct.pack(">QII", len(data), 0, n) + struct.pack(">II", start, n).ljust(64, b"\0")
+
+    def key(parent, name):
+        raw = name.encode("utf-16-be")
+        return struct.pack(">HIH", 6 + len(raw), parent, len(name)) + raw
+
+    records.append(key(1, "VOLUME") + struct.pack(">HHIIIIIII", 1, 0, 0, 2, 0, 0, 0, 0, 0).ljust(88, b"\0"))
+    for path, data in files.items():
+        parent, _, name = path.rpartition("/")
+        info = struct.pack(">HHIIIIIIIIIBBH", 1 if data is None else 2, 0, 0, ids[path], 0, 3786912000, 0, 0, 0, 501, 20, 0, 0, 0o40755 if data is None else 0o100644)
+        records.append(key(ids[parent], name) + (info.ljust(88, b"\0") if data is None else info.ljust(48, b"\0") + b"TEXTttxt".ljust(40, b"\0") + fork(data) + fork(b"")))
+    tree = _tree(records, 4096)
+    head = bytearray(512)
+    head[:2] = b"H+"
+    struct.pack_into(">II", head, 40, block, 64)
+    head[272:352] = struct.pack(">QII", len(tree), 0, 2) + struct.pack(">II", 4, 2).ljust(64, b"\0")
+    disk = bytearray(block * 64)
+    disk[1024:1536], disk[4 * block : 4 * block + len(tree)], disk[first * block : first * block + len(body)] = head, tree, body
+    return bytes(disk)
+
+
+def hfs(files, block=512):
+    ids = {"": 2} | {p: 16 + k for k, p in enumerate(files)}
+    base, first, body, records = 16, 4, b"", []
+
+    def key(parent, name):
+        raw = name.encode("mac_roman")
+        out = struct.pack(">BBIB", 6 + len(raw), 0, parent, len(raw)) + raw
+        return out + bytes(len(out) & 1)
+
+    for path, data in files.items():
+        parent, _, name = path.rpartition("/")
+        if data is None:
+            value = struct.pack(">BBHHIIII", 1, 0, 0, 0, ids[path], 0, 3786912000, 0).ljust(70, b"\0")
+        else:
+            n = -(-len(data) // block)
+            value = bytearray(102)
+            value[0], value[4:12] = 2, b"TEXTttxt"
+            struct.pack_into(">IHII", value, 20, ids[path], 0, len(data), n * block)
+            struct.pack_into(">I", value, 48, 3786912000)
+            struct.pack_into(">HH", value, 74, first + len(body) // block, n)
+            body += data.ljust(n * block, b"\0")
+        records.append(key(ids[parent], name) + bytes(value))
+    tree = _tree(records, 512)
+    head = bytearray(512)
+    head[:2] = b"BD"
+    struct.pack_into(">I", head, 20, block)
+    struct.pack_into(">H", head, 28, base)
+    struct.pack_into(">IHH", head, 146, len(tree), 1, 2)
+    disk = bytearray(512 * 200)
+    disk[1024:1536] = head
+    disk[(base + 1) * 512 : (base + 1) * 512 + len(tree)] = tree
+    disk[(base + first) * 512 : (base + first) * 512 + len(body)] = body
+    return bytes(disk)

@@ -113,6 +113,18 @@ def test_other_filesystems():
         assert fs == name and files.items() <= got.items() and len(got) == len(files) + (name == "exfat")
 
 
+def test_macintosh_volumes():
+    files = {"/Folder": None, "/Hello.txt": b"Hello, Mac!", "/Folder/Nested": bytes(range(256)) * 20}
+    for name, disk in (("hfsplus", images.hfsplus(files)), ("hfs", images.hfs({k: v for k, v in files.items() if k != "/Folder/Nested"} | {"/Folder/Nested": b"n" * 700}))):
+        fs, found = filesystems.entries(disk, True)
+        got = {e.path: e for e in found}
+        assert fs == name and set(got) == set(files) and got["/Folder"].kind == "directory"
+        assert got["/Hello.txt"].content == b"Hello, Mac!" and got["/Hello.txt"].type_code == "TEXT" and got["/Hello.txt"].modified == "2024-01-01 00:00:00"
+        assert got["/Folder/Nested"].content in (files["/Folder/Nested"], b"n" * 700) and got["/Folder/Nested"].size == len(got["/Folder/Nested"].content)
+        if name == "hfsplus":
+            assert (got["/Hello.txt"].mode, got["/Hello.txt"].uid) == (0o100644, 501)
+
+
 def test_archives_round_trip():
     body = bytes(range(256)) * 9 + b"\x90\x90\x00" * 5
     made = archives.write_macbinary("Namé", b"TEXT", b"ttxt", body, b"fork")
