@@ -247,3 +247,58 @@ def hfs(files, block=512):
     disk[(base + 1) * 512 : (base + 1) * 512 + len(tree)] = tree
     disk[(base + first) * 512 : (base + first) * 512 + len(body)] = body
     return bytes(disk)
+
+
+def ext(files, links=(), extents=True, block=1024, blocks=600):
+    """One group; files: {path: bytes or None for a folder}, folders first; links: (path, target)."""
+    disk = bytearray(block * blocks)
+    sb = bytearray(1024)
+    struct.pack_into("<IIII", sb, 0, 128, blocks, 0, 0)
+    struct.pack_into("<I", sb, 20, 1)
+    struct.pack_into("<I", sb, 32, 8192)
+    struct.pack_into("<I", sb, 40, 128)
+    struct.pack_into("<H", sb, 56, 0xEF53)
+    struct.pack_into("<I", sb, 76, 1)
+    struct.pack_into("<H", sb, 88, 128)
+    disk[1024:2048] = sb
+    struct.pack_into("<III", disk, 2048, 3, 4, 5)
+    ids = {"": 2} | {p: 12 + k for k, p in enumerate([*files, *(p for p, _ in links)])}
+    free = 5 + 128 * 128 // block
+
+    def inode(n, mode, data, target=None):
+        nonlocal free
+        at, count = 5 * block + 128 * (n - 1), -(-len(data) // block)
+        struct.pack_into("<HHIIII", disk, at, mode, 1000, len(target or data), 0, 0, 1704067200)
+        struct.pack_into("<H", disk, at + 24, 100)
+        if target:
+            disk[at + 40 : at + 40 + len(target)] = target
+            return
+        if extents:
+            struct.pack_into("<I", disk, at + 32, 0x80000)
+            struct.pack_into("<HHHHIIHHI", disk, at + 40, 0xF30A, 1, 4, 0, 0, 0, count, 0, free)
+            start = free
+        else:
+            start = free + (1 if count > 12 else 0)
+            struct.pack_into(f"<{min(12, count)}I", disk, at + 40, *range(start, start + min(12, count)))
+            if count > 12:
+                struct.pack_into("<I", disk, at + 40 + 48, free)
+                struct.pack_into(f"<{count - 12}I", disk, free * block, *range(start + 12, start + count))
+        disk[start * block : start * block + len(data)] = data
+        free = start + count
+
+    def folder(path):
+        parent = path.rpartition("/")[0]
+        rows = [(ids[path], "."), (ids.get(parent, 2), "..")] + [(n, p.rpartition("/")[2]) for p, n in ids.items() if p and p.rpartition("/")[0] == path]
+        out = b""
+        for k, (n, name) in enumerate(rows):
+            raw = name.encode()
+            length = 8 + -(-len(raw) // 4) * 4 if k < len(rows) - 1 else block - len(out)
+            out += struct.pack("<IHBB", n, length, len(raw), 0) + raw.ljust(length - 8, b"\0")
+        return out
+
+    inode(2, 0o40755, folder(""))
+    for path, data in files.items():
+        inode(ids[path], 0o40755 if data is None else 0o100644, folder(path) if data is None else data)
+    for path, target in links:
+        inode(ids[path], 0o120777, b"", target.encode())
+    return bytes(disk)

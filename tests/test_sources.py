@@ -1,4 +1,6 @@
 import gzip
+import shutil
+import subprocess
 
 import pytest
 
@@ -113,6 +115,32 @@ def test_other_filesystems():
         assert fs == name and files.items() <= got.items() and len(got) == len(files) + (name == "exfat")
 
 
+def test_ext_volumes():
+    files = {"/subdir": None, "/hello.txt": b"Hello, ext!", "/subdir/nested.txt": b"nested file" * 3000}
+    for extents in (True, False):
+        fs, found = filesystems.entries(images.ext(files, [("/link.txt", "hello.txt")], extents), True)
+        got = {e.path: e for e in found}
+        assert fs == "ext" and set(got) == {*files, "/link.txt"} and got["/link.txt"].symlink_target == "hello.txt"
+        assert got["/subdir/nested.txt"].content == files["/subdir/nested.txt"] and got["/hello.txt"].content == b"Hello, ext!"
+        assert (got["/hello.txt"].mode, got["/hello.txt"].uid, got["/hello.txt"].gid, got["/hello.txt"].modified) == (0o100644, 1000, 100, "2024-01-01 00:00:00")
+
+
+@pytest.mark.skipif(not shutil.which("mke2fs"), reason="no mke2fs")
+@pytest.mark.parametrize("kind", ["ext2", "ext4"])
+def test_ext_volumes_of_the_system_tool(tmp_path, kind):
+    top = tmp_path / "top"
+    (top / "subdir").mkdir(parents=True)
+    (top / "hello.txt").write_bytes(b"Hello, " + kind.encode())
+    (top / "subdir" / "big.bin").write_bytes(bytes(range(256)) * 4000)
+    (top / "link.txt").symlink_to("hello.txt")
+    image = tmp_path / "v.img"
+    subprocess.run(["mke2fs", "-q", "-t", kind, "-d", str(top), str(image), "8M"], check=True, capture_output=True, timeout=60)
+    fs, found = filesystems.entries(image.read_bytes(), True)
+    got = {e.path: e for e in found}
+    assert fs == "ext" and {"/hello.txt", "/subdir", "/subdir/big.bin", "/link.txt", "/lost+found"} == set(got)
+    assert got["/subdir/big.bin"].content == bytes(range(256)) * 4000 and got["/hello.txt"].content.endswith(kind.encode()) and got["/link.txt"].symlink_target == "hello.txt"
+
+
 def test_macintosh_volumes():
     files = {"/Folder": None, "/Hello.txt": b"Hello, Mac!", "/Folder/Nested": bytes(range(256)) * 20}
     for name, disk in (("hfsplus", images.hfsplus(files)), ("hfs", images.hfs({k: v for k, v in files.items() if k != "/Folder/Nested"} | {"/Folder/Nested": b"n" * 700}))):
