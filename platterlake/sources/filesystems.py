@@ -454,6 +454,169 @@ class Hfs(_Mac):
                 }
 
 
+class Ntfs:
+    """NTFS: file records of the master table, resident values and run lists; attribute lists and compression are not followed."""
+
+    def __init__(self, data: bytes):
+        self.data = data
+        sector, per_cluster = struct.unpack_from("<HB", data, 11)
+        self.cluster = sector * (per_cluster if per_cluster < 128 else 1 << 256 - per_cluster)
+        (mft,) = struct.unpack_from("<Q", data, 48)
+        (size,) = struct.unpack_from("<b", data, 64)
+        self.record, self.sector = size * self.cluster if size > 0 else 1 << -size, sector
+        first = self._fixed(data[mft * self.cluster :][: self.record])
+        self.table = next((v for kind, name, v, _, _ in self._attributes(first) if kind == 0x80 and not name), b"")
+
+    def _fixed(self, raw: bytes) -> bytes:
+        """A record with the last two bytes of every sector put back from its update sequence."""
+        at, count = struct.unpack_from("<HH", raw, 4)
+        out = bytearray(raw)
+        for k in range(1, count):
+            out[k * self.sector - 2 : k * self.sector] = raw[at + 2 * k : at + 2 * k + 2]
+        return bytes(out)
+
+    def _runs(self, raw: bytes) -> list[tuple[int | None, int]]:
+        """(first cluster, or None for a hole, and clusters)."""
+        out, at, place = [], 0, 0
+        while at < len(raw) and raw[at]:
+            a, b = raw[at] & 15, raw[at] >> 4
+            length = int.from_bytes(raw[at + 1 : at + 1 + a], "little")
+            place += int.from_bytes(raw[at + 1 + a : at + 1 + a + b], "little", signed=True)
+            out.append((place if b else None, length))
+            at += 1 + a + b
+        return out
+
+    def _attributes(self, record: bytes) -> Iterator[tuple]:
+        """(type, name, value, its size, runs)."""
+        (at,) = struct.unpack_from("<H", record, 20)
+        while at + 24 <= len(record):
+            kind, length, away, letters, name_at = struct.unpack_from("<IIBBH", record, at)
+            if kind == 0xFFFFFFFF or not length:
+                return
+            name = record[at + name_at : at + name_at + 2 * letters].decode("utf-16-le", "replace")
+            if away:
+                (runs_at,), (size,) = struct.unpack_from("<H", record, at + 32), struct.unpack_from("<Q", record, at + 48)
+                runs = self._runs(record[at + runs_at : at + length])
+                body = b"".join(bytes(n * self.cluster) if c is None else self.data[c * self.cluster : (c + n) * self.cluster] for c, n in runs)
+                yield kind, name, body[:size], size, [(c, n) for c, n in runs if c is not None]
+            else:
+                size, value_at = struct.unpack_from("<IH", record, at + 16)
+                yield kind, name, record[at + value_at : at + value_at + size], size, []
+            at += length
+
+    def entries(self, contents: bool) -> Iterator[Entry]:
+        from datetime import UTC, datetime, timedelta
+
+        found = {}
+        for n in range(len(self.table) // self.record):
+            raw = self.table[n * self.record : (n + 1) * self.record]
+            if raw[:4] != b"FILE" or not struct.unpack_from("<H", raw, 22)[0] & 1:
+                continue
+            raw = self._fixed(raw)
+            parts = list(self._attributes(raw))
+            names = sorted((v[65] == 2, v) for kind, _, v, _, _ in parts if kind == 0x30)  # names of the DOS space come last
+            if names:
+                data = next(((v, size, runs) for kind, name, v, size, runs in parts if kind == 0x80 and not name), (b"", 0, []))
+                found[n] = (names[0][1], bool(struct.unpack_from("<H", raw, 22)[0] & 2), data)
+        home = lambda v: struct.unpack_from("<Q", v)[0] & (1 << 48) - 1
+        text = lambda v: v[66 : 66 + 2 * v[64]].decode("utf-16-le", "replace")
+
+        def path(n: int) -> str | None:
+            out, seen = [], set()
+            while n != 5:
+                if n not in found or n in seen:
+                    return None
+                seen.add(n)
+                out.append(text(found[n][0]))
+                n = home(found[n][0])
+            return "/" + "/".join(reversed(out))
+
+        for n, (v, folder, (body, size, runs)) in sorted(found.items(), key=lambda x: (not x[1][1], x[0])):
+            if n < 16 or (where := path(n)) is None:
+                continue
+            (ticks,), (attributes,) = struct.unpack_from("<Q", v, 16), struct.unpack_from("<I", v, 56)
+            when = (datetime(1601, 1, 1, tzinfo=UTC) + timedelta(microseconds=ticks // 10)).strftime("%Y-%m-%d %H:%M:%S") if ticks else None
+            yield Entry(where, "directory" if folder else "file", 0 if folder else size, n, when, dos_attributes=attributes & 0xFFFF, extents=runs, content=None if folder or not contents else body)
+
+
+class Cbm:
+    """1541 floppies: a directory from track 18, files as linked sectors."""
+
+    def __init__(self, data: bytes):
+        self.data = data
+        per_track = [21] * 17 + [19] * 7 + [18] * 6 + [17] * 10
+        self.starts = [sum(per_track[:t]) for t in range(len(per_track))]
+
+    def _sector(self, track: int, sector: int) -> bytes:
+        at = (self.starts[track - 1] + sector) * 256
+        return self.data[at : at + 256]
+
+    def _chain(self, track: int, sector: int) -> Iterator[tuple[int, bytes]]:
+        seen = set()
+        while 0 < track <= len(self.starts) and (track, sector) not in seen:
+            seen.add((track, sector))
+            raw = self._sector(track, sector)
+            yield self.starts[track - 1] + sector, raw
+            track, sector = raw[0], raw[1]
+
+    def entries(self, contents: bool) -> Iterator[Entry]:
+        for _, table in self._chain(18, 1):
+            for k in range(8):
+                slot = table[32 * k : 32 * k + 32]
+                if slot[2] & 7 and slot[2] & 0x80:
+                    blocks = list(self._chain(slot[3], slot[4]))
+                    body = b"".join(raw[2 : raw[1] + 1] if raw[0] == 0 else raw[2:] for _, raw in blocks)
+                    name = slot[5:21].rstrip(b"\xa0").decode("latin-1").replace("/", ":")
+                    yield Entry("/" + name, "file", len(body), blocks[0][0] if blocks else 0, type_code=("DEL", "SEQ", "PRG", "USR", "REL")[min(slot[2] & 7, 4)], extents=_grouped([n for n, _ in blocks]), content=body if contents else None)
+
+
+class AppleDos:
+    """DOS 3.3: a chain of catalog sectors, lists of track and sector pairs."""
+
+    def __init__(self, data: bytes):
+        self.data = data
+
+    def _sector(self, track: int, sector: int) -> bytes:
+        return self.data[(track * 16 + sector) * 256 :][:256]
+
+    def entries(self, contents: bool) -> Iterator[Entry]:
+        table, seen = self._sector(17, 0), set()
+        while (table[1], table[2]) != (0, 0) and (table[1], table[2]) not in seen:
+            seen.add((table[1], table[2]))
+            table = self._sector(table[1], table[2])
+            for k in range(7):
+                slot = table[11 + 35 * k : 46 + 35 * k]
+                if slot[0] in (0, 0xFF):
+                    continue
+                pairs, at, lists = [], (slot[0], slot[1]), set()
+                while at != (0, 0) and at not in lists:
+                    lists.add(at)
+                    raw = self._sector(*at)
+                    pairs += [(raw[i], raw[i + 1]) for i in range(12, 256, 2)]
+                    at = (raw[1], raw[2])
+                while pairs and pairs[-1] == (0, 0):
+                    pairs.pop()
+                body = b"".join(self._sector(*p) if p != (0, 0) else bytes(256) for p in pairs)
+                name = bytes(c & 0x7F for c in slot[3:33]).decode("ascii").rstrip().replace("/", ":")
+                kind = {0: "T", 1: "I", 2: "A", 4: "B"}.get(slot[2] & 0x7F, f"${slot[2] & 0x7F:02X}")
+                yield Entry("/" + name, "file", len(body), slot[0] * 16 + slot[1], type_code=kind, extents=_grouped([t * 16 + x for t, x in pairs if (t, x) != (0, 0)]), content=body if contents else None)
+
+
+class AcornDfs:
+    """Acorn DFS: a catalogue of two sectors, contiguous files; a directory is a letter of the name."""
+
+    def __init__(self, data: bytes):
+        self.data = data
+
+    def entries(self, contents: bool) -> Iterator[Entry]:
+        for k in range(1, self.data[261] // 8 + 1):
+            name, info = self.data[8 * k : 8 * k + 8], self.data[256 + 8 * k : 264 + 8 * k]
+            size = info[4] | info[5] << 8 | (info[6] >> 4 & 3) << 16
+            start = info[7] | (info[6] & 3) << 8
+            path = f"/{chr(name[7] & 0x7F)}.{name[:7].decode('latin-1').rstrip()}"
+            yield Entry(path, "file", size, start, extents=[(start, -(-size // 256))], content=self.data[start * 256 : start * 256 + size] if contents else None)
+
+
 class Mfs:
     """The flat Macintosh filesystem: one directory, allocation map of 12 bits."""
 
@@ -531,7 +694,7 @@ class Carve:
             yield Entry(f"/text-{m.start():010x}.txt", "file", len(m[0]), m.start(), extents=[(m.start(), len(m[0]))], content=m[0] if contents else None)
 
 
-DRIVERS = {"fat": Fat, "exfat": ExFat, "ext": Ext, "prodos": ProDos, "hfs": Hfs, "hfsplus": HfsPlus, "mfs": Mfs, "iso9660": Iso, "carve": Carve}
+DRIVERS = {"fat": Fat, "exfat": ExFat, "ext": Ext, "ntfs": Ntfs, "prodos": ProDos, "cbmdos": Cbm, "applesdos33": AppleDos, "acorndfs": AcornDfs, "hfs": Hfs, "hfsplus": HfsPlus, "mfs": Mfs, "iso9660": Iso, "carve": Carve}
 
 
 def sniff(data: bytes) -> str | None:
@@ -552,6 +715,17 @@ def sniff(data: bytes) -> str | None:
             return "affs"
         if name == "prodos" and len(data) > 1100 and data[1028] >> 4 == 15 and data[1059] == 39 and data[1060] == 13:
             return "prodos"
+    return _by_geometry(data)
+
+
+def _by_geometry(data: bytes) -> str | None:
+    """Floppies without magic bytes, told by their size and the plausibility of their directories."""
+    if len(data) == 143_360 and data[0x11001] == 17 and data[0x11003] == 3 and data[0x11027] == 122:
+        return "applesdos33"
+    if len(data) in (174_848, 175_531, 196_608, 197_376) and data[0x16500] == 18 and data[0x16502] == 0x41:
+        return "cbmdos"
+    if len(data) in (102_400, 204_800) and len(data) >= 512 and data[261] % 8 == 0 and data[261] <= 248 and (data[262] & 3) << 8 | data[263] == len(data) // 256:
+        return "acorndfs"
     return None
 
 

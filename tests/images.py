@@ -302,3 +302,97 @@ def ext(files, links=(), extents=True, block=1024, blocks=600):
     for path, target in links:
         inode(ids[path], 0o120777, b"", target.encode())
     return bytes(disk)
+
+
+def ntfs(files, cluster=4096):
+    """files: {path: bytes or None for a folder}, folders first; bytes beyond 500 are not resident."""
+    ids, record, mft = {"": 5} | {p: 24 + k for k, p in enumerate(files)}, 1024, 4
+    count = 24 + len(files)
+    table, body, first = bytearray(record * count), b"", 40
+
+    def resident(kind, value, name=""):
+        raw = name.encode("utf-16-le")
+        at = 24 + -(-len(raw) // 8) * 8
+        size = at + -(-len(value) // 8) * 8
+        return (struct.pack("<IIBBHHHIHH", kind, size, 0, len(name), 24, 0, 0, len(value), at, 0) + raw.ljust(at - 24, b"\0") + value).ljust(size, b"\0")
+
+    def away(start, size):
+        n = -(-size // cluster)
+        runs = bytes([0x22]) + struct.pack("<Hh", n, start) + b"\0"
+        return struct.pack("<IIBBHHHQQHH4xQQQ", 0x80, 72, 1, 0, 64, 0, 0, 0, n - 1, 64, 0, n * cluster, size, size) + runs.ljust(8, b"\0")
+
+    def put(n, flags, parts):
+        raw = bytearray(record)
+        raw[:4] = b"FILE"
+        struct.pack_into("<HH", raw, 4, 48, 3)
+        struct.pack_into("<HH", raw, 20, 56, flags)
+        inner = b"".join(parts) + b"\xff\xff\xff\xff"
+        raw[56 : 56 + len(inner)] = inner
+        raw[48:50] = b"\x07\x00"
+        for k in (1, 2):
+            raw[48 + 2 * k : 50 + 2 * k] = raw[512 * k - 2 : 512 * k]
+            raw[512 * k - 2 : 512 * k] = b"\x07\x00"
+        table[n * record : (n + 1) * record] = raw
+
+    put(0, 1, [away(mft, len(table))])
+    for path, data in files.items():
+        parent, _, name = path.rpartition("/")
+        value = struct.pack("<QQQQQQQII", ids[parent], 0, 133485408000000000, 0, 0, 0, 0, 0x20, 0) + bytes([len(name), 1]) + name.encode("utf-16-le")
+        parts = [resident(0x30, value)]
+        if data is not None and len(data) <= 500:
+            parts.append(resident(0x80, data))
+        elif data is not None:
+            parts.append(away(first + len(body) // cluster, len(data)))
+            body += data.ljust(-(-len(data) // cluster) * cluster, b"\0")
+        put(ids[path], 3 if data is None else 1, parts)
+    disk = bytearray(cluster * 128)
+    disk[:11] = b"\xeb\x52\x90NTFS    "
+    struct.pack_into("<HB", disk, 11, 512, cluster // 512)
+    struct.pack_into("<Q", disk, 48, mft)
+    disk[64], disk[510:512] = 0xF6, b"\x55\xaa"
+    disk[mft * cluster : mft * cluster + len(table)] = table
+    disk[first * cluster : first * cluster + len(body)] = body
+    return bytes(disk)
+
+
+def d64(files):
+    disk, per_track = bytearray(174_848), [21] * 17 + [19] * 7 + [18] * 6 + [17] * 10
+    at = lambda t, s: (sum(per_track[: t - 1]) + s) * 256
+    disk[0x16500:0x16503] = bytes([18, 1, 0x41])
+    places = [(t, s) for t in (17, 19, 20) for s in range(per_track[t - 1])]
+    for k, (name, body) in enumerate(files.items()):
+        parts = [body[i : i + 254] for i in range(0, len(body), 254)] or [b""]
+        own = [places.pop(0) for _ in parts]
+        for (t, s), following, part in zip(own, [*own[1:], (0, len(parts[-1]) + 1)], parts):
+            disk[at(t, s) : at(t, s) + 2 + len(part)] = bytes(following) + part
+        slot = at(18, 1) + 32 * k
+        disk[slot + 2 : slot + 21] = bytes([0x82, *own[0]]) + name.encode().ljust(16, b"\xa0")
+    disk[at(18, 1) + 1] = 255
+    return bytes(disk)
+
+
+def apple_dos(files):
+    disk = bytearray(143_360)
+    at = lambda t, s: (t * 16 + s) * 256
+    disk[at(17, 0) + 1 : at(17, 0) + 4], disk[at(17, 0) + 0x27] = bytes([17, 15, 3]), 122
+    places = [(t, s) for t in range(3, 17) for s in range(16)]
+    for k, (name, body) in enumerate(files.items()):
+        index = places.pop(0)
+        slot = at(17, 15) + 11 + 35 * k
+        disk[slot : slot + 33] = bytes([*index, 4]) + bytes(c | 0x80 for c in name.encode().ljust(30))
+        for i in range(0, len(body), 256):
+            own = places.pop(0)
+            disk[at(*index) + 12 + i // 128 : at(*index) + 14 + i // 128] = bytes(own)
+            disk[at(*own) : at(*own) + len(body[i : i + 256])] = body[i : i + 256]
+    return bytes(disk)
+
+
+def acorn_dfs(files):
+    disk, start = bytearray(102_400), 2
+    disk[261], disk[262], disk[263] = 8 * len(files), 400 >> 8, 400 & 255
+    for k, (name, body) in enumerate(files.items(), 1):
+        disk[8 * k : 8 * k + 8] = name.encode().ljust(7) + b"$"
+        disk[256 + 8 * k : 264 + 8 * k] = bytes([0, 0, 0, 0, len(body) & 255, len(body) >> 8 & 255, (len(body) >> 16 & 3) << 4 | start >> 8, start & 255])
+        disk[start * 256 : start * 256 + len(body)] = body
+        start += -(-len(body) // 256)
+    return bytes(disk)

@@ -141,6 +141,23 @@ def test_ext_volumes_of_the_system_tool(tmp_path, kind):
     assert got["/subdir/big.bin"].content == bytes(range(256)) * 4000 and got["/hello.txt"].content.endswith(kind.encode()) and got["/link.txt"].symlink_target == "hello.txt"
 
 
+def test_ntfs_volumes():
+    files = {"/Folder": None, "/Hello.txt": b"Hello, NTFS!", "/Folder/big.bin": bytes(range(256)) * 60}
+    fs, found = filesystems.entries(images.ntfs(files), True)
+    got = {e.path: e for e in found}
+    assert fs == "ntfs" and {p: None if e.kind == "directory" else e.content for p, e in got.items()} == files
+    assert got["/Hello.txt"].modified == "2024-01-01 00:00:00" and got["/Folder/big.bin"].extents == [(40, 4)]
+
+
+def test_floppies_without_magic():
+    files = {"HELLO": b"Hello", "BIG": bytes(range(1, 256)) * 7}
+    for name, disk, path in (("cbmdos", images.d64(files), "/{}"), ("applesdos33", images.apple_dos(files), "/{}"), ("acorndfs", images.acorn_dfs(files), "/$.{}")):
+        fs, found = filesystems.entries(disk, True)
+        got = {e.path: e.content for e in found}
+        assert fs == name and set(got) == {path.format(n) for n in files}
+        assert all(got[path.format(n)].rstrip(b"\0") == body for n, body in files.items())
+
+
 def test_macintosh_volumes():
     files = {"/Folder": None, "/Hello.txt": b"Hello, Mac!", "/Folder/Nested": bytes(range(256)) * 20}
     for name, disk in (("hfsplus", images.hfsplus(files)), ("hfs", images.hfs({k: v for k, v in files.items() if k != "/Folder/Nested"} | {"/Folder/Nested": b"n" * 700}))):
