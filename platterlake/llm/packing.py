@@ -16,6 +16,7 @@ import re
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,9 +24,13 @@ from pyspark.sql import functions as F
 from platterlake.llm.common import numbered, read
 
 SIZE, SEPARATOR, GROUP_BINS, SEED = 4096, 2, 256, 5
-#: White-space-free strings whose ids a worker remembers.
-MAX_CACHE = 400_000
-_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+#: White-space-free strings, and words, numbers and marks in them, whose ids a worker remembers.
+MAX_CHUNKS, MAX_PIECES = 400_000, 1_000_000
+#: Characters of texts whose unknown strings are encoded together.
+TOGETHER = 1 << 21
+#: Strings of ASCII and Latin-1 letters, which normalisation changes letter by letter, and the tokenizer's pattern on them.
+_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
 _ODD = re.compile("[\x1c-\x1f]")
 _loaded: dict[str, "Encoder"] = {}
 
@@ -33,8 +38,8 @@ _loaded: dict[str, "Encoder"] = {}
 class Encoder:
     """Ids, as little-endian unsigned 32-bit numbers, of a tokenizer that never joins across white space.
 
-    Such a tokenizer's ids of a text are those of its white-space-free strings, one after the other, and of an ASCII
-    string those of its words, numbers and marks; each is encoded once and remembered.
+    Such a tokenizer's ids of a text are those of its white-space-free strings, one after the other, and of a plain string
+    those of its words, numbers and marks; each is encoded once and remembered.
     """
 
     def __init__(self, path: str):
@@ -46,42 +51,42 @@ class Encoder:
         self.pieces: dict[str, bytes] = {}
 
     def _raw(self, texts: list[str]) -> list[bytes]:
-        pack = lambda ids: b"".join(i.to_bytes(4, "little") for i in ids)
-        return [pack(e.ids) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, new: list[str]) -> None:
-        if len(self.chunks) + len(new) > MAX_CACHE:
+        if len(self.chunks) + len(new) > MAX_CHUNKS:
             self.chunks.clear()
-        if len(self.pieces) > MAX_CACHE:
+        if len(self.pieces) > MAX_PIECES:
             self.pieces.clear()
-        plain = {c: _ASCII.findall(c.lower()) for c in new if c.isascii()}
+        plain = {c: _SPLIT.findall(c.lower()) for c in new if _PLAIN.fullmatch(c)}
         other = [c for c in new if c not in plain]
         pieces = list({p for found in plain.values() for p in found if p not in self.pieces})
         ids = self._raw(pieces + other)
         self.pieces.update(zip(pieces, ids))
         self.chunks.update(zip(other, ids[len(pieces) :], strict=True))
         get = self.pieces.__getitem__
-        self.chunks.update((c, b"".join(map(get, found))) for c, found in plain.items())
+        self.chunks.update((c, get(found[0]) if len(found) == 1 else b"".join(map(get, found))) for c, found in plain.items())
+
+    def _some(self, texts: list[str]) -> Iterator[bytes]:
+        # separators that only Python takes for white space keep a text whole
+        split = [None if _ODD.search(t) else t.split() for t in texts]
+        distinct = set().union(*(c for c in split if c))
+        if new := [c for c in distinct if c not in self.chunks]:
+            if len(self.chunks) + len(new) > MAX_CHUNKS:
+                self.chunks.clear()
+                new = list(distinct)
+            self._learn(new)
+        get = self.chunks.__getitem__
+        for text, chunks in zip(texts, split, strict=True):
+            yield self._raw([text])[0] if chunks is None else b"".join(map(get, chunks))
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        for text in texts:
-            if _ODD.search(text):  # separators that only Python takes for white space
-                yield self._raw([text])[0]
-                continue
-            chunks = text.split()
-            try:
-                yield b"".join(map(self.chunks.__getitem__, chunks))
-            except KeyError:
-                distinct = set(chunks)
-                if len(distinct) > MAX_CACHE // 2:
-                    yield self._raw([text])[0]
-                    continue
-                new = [c for c in distinct if c not in self.chunks]
-                if len(self.chunks) + len(new) > MAX_CACHE:
-                    self.chunks.clear()
-                    new = list(distinct)
-                self._learn(new)
-                yield b"".join(map(self.chunks.__getitem__, chunks))
+        first = size = 0
+        for at, text in enumerate(texts):
+            size += len(text)
+            if size >= TOGETHER or at == len(texts) - 1:
+                yield from self._some(texts[first : at + 1])
+                first, size = at + 1, 0
 
 
 def encoder(path: str) -> Encoder:

@@ -29,11 +29,12 @@ def test_encoder_equals_the_tokenizer():
 
 
 def test_small_caches_change_nothing(monkeypatch):
-    monkeypatch.setattr(packing, "MAX_CACHE", 20)
+    for name in ("MAX_CHUNKS", "MAX_PIECES", "TOGETHER"):
+        monkeypatch.setattr(packing, name, 20)
     texts = odd_texts()
     one = packing.Encoder(PATH)
     assert list(one.encode(texts)) == list(packing.Encoder(PATH).encode(texts))
-    assert len(one.chunks) <= 40
+    assert len(one.chunks) <= 40  # 20 and those of the last texts
 
 
 def test_first_fit_matches_a_plain_scan():
