@@ -3,8 +3,10 @@
 A text is the set of its lower-cased terms, hashed into SLOTS slots. The machine adds a weight for every slot and the
 inner product of two vectors for every pair, so it learns that two terms together are toxic where neither is alone. It is
 trained on at most MAX_LABELLED labelled rows (those first in the order of a hash of the id), none of them held out, and
-scores every whole text. A slot carries weight only if at least MIN_ROWS rows of the training set have it and their share
-of toxic rows is MIN_Z standard errors or more from that of all; what chance gives a slot is not learned.
+scores every whole text. Every slot that at least MIN_ROWS rows of the training set have takes part in pairs. It carries a
+weight of its own only if the share of toxic rows among them is MIN_Z standard errors or more from that of all. The vectors of
+other slots start shorter (WEAK_START) and slower (WEAK_STEPS), so that they learn what many rows show, not what chance gives.
+Pairs learn from epoch PAIRS_FROM on, after what a term shows by itself.
 
 Defined results: a null or empty text has no terms and scores the bias; a null id is never held out and never trained on;
 labels that are null, or that contradict each other for one id, are not trained on; without labels every score is 0;
@@ -25,6 +27,7 @@ from platterlake.llm.common import read, table
 
 SLOTS, RANK, MAX_LABELLED, MIN_ROWS, MIN_Z = 1 << 18, 8, 20_000, 4, 3.0
 EPOCHS, RATE, DECAY, SEED = 8, 0.1, 2e-5, 17
+WEAK_START, WEAK_STEPS, PAIRS_FROM = 0.1, 100.0, 2
 FOLDS = 5
 _TO_TERMS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 _MAX_CACHE = 500_000
@@ -49,7 +52,7 @@ class Machine:
     bias: float
     weights: np.ndarray  # by slot
     factors: np.ndarray  # slot x rank
-    known: np.ndarray  # whether a slot carries weight
+    known: np.ndarray  # whether a slot takes part
 
     def score(self, found: np.ndarray) -> float:
         found = found[self.known[found]]
@@ -64,12 +67,16 @@ def train(rows: list[np.ndarray], labels: np.ndarray) -> Machine:
     seen = np.bincount(np.concatenate([*rows, np.empty(0, np.int32)]), minlength=SLOTS)
     rate = np.clip(labels.mean(), 1e-3, 1 - 1e-3)
     toxic = np.bincount(np.concatenate([*(r for r, y in zip(rows, labels, strict=True) if y), np.empty(0, np.int32)]), minlength=SLOTS)
-    known = (seen >= MIN_ROWS) & (np.abs(toxic - seen * rate) >= MIN_Z * np.sqrt(seen * rate * (1 - rate)))
+    known = seen >= MIN_ROWS
+    strong = known & (np.abs(toxic - seen * rate) >= MIN_Z * np.sqrt(seen * rate * (1 - rate)))
     rows = [r[known[r]] for r in rows]
-    machine = Machine(float(np.log(rate / (1 - rate))), np.zeros(SLOTS, np.float32), (rnd.standard_normal((SLOTS, RANK)) * 0.01 * known[:, None]).astype(np.float32), known)
+    start = 0.01 * np.where(strong, 1.0, WEAK_START) * known
+    machine = Machine(float(np.log(rate / (1 - rate))), np.zeros(SLOTS, np.float32), (rnd.standard_normal((SLOTS, RANK)) * start[:, None]).astype(np.float32), known)
     w, v = machine.weights, machine.factors
     gw, gv, gb = np.full(SLOTS, 1e-2, np.float32), np.full((SLOTS, RANK), 1e-2, np.float32), 1.0
-    for _ in range(EPOCHS):
+    gv[~strong] = WEAK_STEPS
+    own = strong.astype(np.float32)
+    for epoch in range(EPOCHS):
         for k in rnd.permutation(len(rows)):
             found = rows[k]
             part = v[found]
@@ -78,10 +85,11 @@ def train(rows: list[np.ndarray], labels: np.ndarray) -> Machine:
             g = np.float32(1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[k])
             dw = g + DECAY * w[found]
             gw[found] += dw * dw
-            w[found] -= RATE * dw / np.sqrt(gw[found])
-            dv = g * (total - part) + DECAY * part
-            gv[found] += dv * dv
-            v[found] = part - 0.2 * RATE * dv / np.sqrt(gv[found])
+            w[found] -= own[found] * RATE * dw / np.sqrt(gw[found])
+            if epoch >= PAIRS_FROM:
+                dv = g * (total - part) + DECAY * part
+                gv[found] += dv * dv
+                v[found] = part - 0.2 * RATE * dv / np.sqrt(gv[found])
             gb += float(g) ** 2
             machine.bias -= RATE * float(g) / gb**0.5
     return machine

@@ -21,6 +21,23 @@ def test_learns_a_pair_that_neither_term_shows():
     assert score("w1 w2 insult group") > 0.5 > max(score("w1 w2 insult"), score("w1 w2 group"), score(""))
 
 
+def test_learns_a_group_term_that_is_neutral_by_itself():
+    rnd = random.Random(5)
+    rows, y = [], []
+    for _ in range(4000):
+        a, b, g = rnd.random() < 0.2, rnd.random() < 0.2, rnd.random() < 0.5
+        terms = rnd.choices([f"w{i}" for i in range(200)], k=12) + ["insult"] * a + ["other"] * b + ["group"] * g
+        rows.append(t.slots(" ".join(terms).encode()))
+        y.append(float((a and g) or (b and not g)))
+    y = np.array(y, np.float32)
+    slot = t.slots(b"group")[0]
+    seen, toxic = sum(slot in r for r in rows), sum(slot in r for r, x in zip(rows, y) if x)
+    assert abs(toxic - seen * y.mean()) < t.MIN_Z * (seen * y.mean() * (1 - y.mean())) ** 0.5
+    machine = t.train(rows[:3000], y[:3000])
+    found = np.array([machine.score(r) >= 0.5 for r in rows[3000:]])
+    assert found[y[3000:] == 1].mean() > 0.9 and found[y[3000:] == 0].mean() < 0.02
+
+
 def test_whole_tables(spark):
     rnd = random.Random(2)
     docs, labels = [], []
