@@ -73,3 +73,14 @@ def test_edited_copy_goes_in_the_pipeline(spark):
 
 def test_no_documents(spark):
     assert r.survivors(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_rows_that_repeat_an_id_with_different_texts_stay(spark):
+    rnd = random.Random(8)
+    text = lambda: " ".join(f"w{rnd.randrange(10**5)}" for _ in range(30))
+    rows = [(7, text(), "en") for _ in range(20)] + [(k, text(), "en") for k in range(20, 50)] + [(None, text(), "en") for _ in range(5)]
+    again = [(7, rows[0][1], "en"), (3, rows[1][1], "en"), (None, rows[25][1], "en")]
+    want = sorted([*rows[:1], again[1], *rows[2:]], key=str)
+    docs = spark.createDataFrame(rows + again, SCHEMA)
+    assert sorted(map(tuple, r.survivors(docs).collect()), key=str) == want
+    assert simhash.survivors(docs).count() < len(want)  # keeps ids, not rows
