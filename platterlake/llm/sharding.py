@@ -128,7 +128,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text: s
     groups = table(rows.where("grp IS NOT NULL").groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("grp"), "groups")
     start = F.pmod(F.xxhash64("uid"), F.lit(shards)).cast("int")
     linked = table(rows.join(groups, "grp", "left_semi").withColumn("shard", start), "linked")
-    linked = propagate(linked, capacity * (1 - SLACK), shards)
+    linked = propagate(linked, capacity * (1 + SLACK), shards)  # room to move in where linked rows are nearly all; the excess goes below
     loads = _loads(linked, shards)
     weights = [max(0.0, capacity - x) for x in loads]
     # a shard that lumps have overfilled gives up the share of its linked rows that is too much

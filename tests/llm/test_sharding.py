@@ -35,6 +35,16 @@ def test_a_group_larger_than_a_shard_is_split(spark):
     assert max(loads.values()) - min(loads.values()) < 0.03 * sum(loads.values()) / 4
 
 
+def test_groups_stay_whole_where_every_document_has_a_copy(spark):
+    rows = [(i, f"text {i % 2000} " * (5 + i % 2000 % 7), "", "", "") for i in range(4000)]
+    loads, homes = Counter(), defaultdict(set)
+    for r in sharding.shard(spark.createDataFrame(rows, SCHEMA), 4).collect():
+        loads[r.shard] += r["size"]
+        homes[r.text_crc32].add(r.shard)
+    assert max(loads.values()) - min(loads.values()) < 0.01 * sum(loads.values()) / 4
+    assert sum(len(h) == 1 for h in homes.values()) >= 0.8 * len(homes)
+
+
 def test_admission_respects_the_capacity():
     share = sharding.admitted({(0, 1): 50.0, (2, 1): 50.0, (1, 0): 10.0}, [60.0, 80.0, 60.0], 100.0)
     assert abs(share[1] - 0.3) < 1e-6 and share[0] == 1.0
