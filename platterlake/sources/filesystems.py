@@ -681,9 +681,12 @@ class Iso:
 
 
 class Carve:
-    """A volume that no driver knows: its runs of printable text."""
+    """A volume that no driver knows: its runs of printable text.
 
-    def __init__(self, data: bytes, least: int = 64, limit: int = 10 << 20):
+    limit: bytes scanned for text, None for all; an entry /truncated has the place and the size of what was not scanned.
+    """
+
+    def __init__(self, data: bytes, least: int = 64, limit: int | None = None):
         self.data, self.least, self.limit = data, least, limit
 
     def entries(self, contents: bool) -> Iterator[Entry]:
@@ -692,6 +695,8 @@ class Carve:
         yield Entry("/disk", "file", len(self.data))
         for m in re.finditer(rb"[\t\n\r -~]{%d,}" % self.least, self.data[: self.limit]):
             yield Entry(f"/text-{m.start():010x}.txt", "file", len(m[0]), m.start(), extents=[(m.start(), len(m[0]))], content=m[0] if contents else None)
+        if self.limit is not None and self.limit < len(self.data):
+            yield Entry("/truncated", "file", len(self.data) - self.limit, self.limit)
 
 
 DRIVERS = {"fat": Fat, "exfat": ExFat, "ext": Ext, "ntfs": Ntfs, "prodos": ProDos, "cbmdos": Cbm, "applesdos33": AppleDos, "acorndfs": AcornDfs, "hfs": Hfs, "hfsplus": HfsPlus, "mfs": Mfs, "iso9660": Iso, "carve": Carve}
@@ -729,8 +734,8 @@ def _by_geometry(data: bytes) -> str | None:
     return None
 
 
-def entries(data: bytes, contents: bool = False) -> tuple[str, Iterator[Entry]]:
-    """The name of a volume's filesystem and its entries; text runs where no driver reads it."""
+def entries(data: bytes, contents: bool = False, limit: int | None = None) -> tuple[str, Iterator[Entry]]:
+    """The name of a volume's filesystem and its entries; text runs where no driver reads it, of its first limit bytes or of all."""
     name = sniff(data)
     driver = DRIVERS.get(name or "carve", Carve)
-    return name or "carve", driver(data).entries(contents)
+    return name or "carve", (Carve(data, limit=limit) if driver is Carve else driver(data)).entries(contents)

@@ -25,7 +25,7 @@ def _partition_rows(path: str, data: bytes) -> Iterator[tuple]:
         yield (path, *row)
 
 
-def _entry_rows(path: str, data: bytes, contents: bool, only: int | None = None) -> Iterator[tuple]:
+def _entry_rows(path: str, data: bytes, contents: bool, only: int | None = None, limit: int | None = None) -> Iterator[tuple]:
     if kind := archives.kind_of(data):
         for e in archives.READERS[kind](data, contents):
             yield e.row(path, 0, kind)
@@ -33,7 +33,7 @@ def _entry_rows(path: str, data: bytes, contents: bool, only: int | None = None)
     disk = containers.flat(data, path)
     for index, _, _, _, _, _, start, size, _, _, extended in partitions.partitions(_reader(disk), len(disk)):
         if not extended and (only is None or index == only):
-            fs, found = filesystems.entries(disk[start : start + size], contents)
+            fs, found = filesystems.entries(disk[start : start + size], contents, limit)
             for e in found:
                 yield e.row(path, index, fs)
 
@@ -58,9 +58,9 @@ def read_partitions(spark: SparkSession, path: str, glob: str | None = None) ->
     return _mapped(spark, path, _partition_rows, partitions.SCHEMA, glob)
 
 
-def read_entries(spark: SparkSession, path: str, contents: bool = False, glob: str | None = None) -> DataFrame:
-    """The catalog of every volume of all images and archives under a path."""
-    return _mapped(spark, path, lambda name, data: _entry_rows(name, data, contents), filesystems.SCHEMA, glob)
+def read_entries(spark: SparkSession, path: str, contents: bool = False, glob: str | None = None, carve_limit: int | None = None) -> DataFrame:
+    """The catalog of every volume of all images and archives under a path; carve_limit: bytes of an unknown volume scanned for text, None for all."""
+    return _mapped(spark, path, lambda name, data: _entry_rows(name, data, contents, limit=carve_limit), filesystems.SCHEMA, glob)
 
 
 def read_blocks(spark: SparkSession, path: str, size: int = 65536, glob: str | None = None) -> DataFrame:
@@ -118,7 +118,7 @@ class DiskPartitions(DataSource):
 
 
 class FilesystemEntries(DataSource):
-    """spark.read.format("fsentries"): catalogs; options partition (a number) and contents (true or false)."""
+    """spark.read.format("fsentries"): catalogs; options partition (a number), contents (true or false) and carve_limit (bytes)."""
 
     @classmethod
     def name(cls):
@@ -129,7 +129,8 @@ class FilesystemEntries(DataSource):
 
     def reader(self, schema):
         contents, only = self.options.get("contents", "false").lower() == "true", self.options.get("partition")
-        return _ImageReader(self.options, lambda p, d: _entry_rows(p, d, contents, None if only is None else int(only)), 3)
+        limit = self.options.get("carve_limit")
+        return _ImageReader(self.options, lambda p, d: _entry_rows(p, d, contents, None if only is None else int(only), None if limit is None else int(limit)), 3)
 
 
 def register(spark: SparkSession) -> None:

@@ -180,3 +180,16 @@ def test_archives_round_trip():
     assert archives.kind_of(made) == "binhex" and (e.path, e.content, e.creator_code) == ("/Name", body, "ttxt")
     assert archives.appledouble(archives.write_appledouble(b"f" * 32, b"rsrc")) == {9: b"f" * 32, 2: b"rsrc"}
     assert archives.safe("/etc/x") is None and archives.safe("a/../b") is None and archives.safe("./a//b") == ["a", "b"]
+
+
+def test_text_behind_ten_mebibytes_is_carved(spark, tmp_path):
+    text = b"text far behind the first ten mebibytes of a volume that no driver knows, carved"
+    (tmp_path / "big.img").write_bytes(bytes(11 << 20) + text + bytes(1 << 20))
+    at = f"/text-{11 << 20:010x}.txt"
+    found = {r.path: r for r in readers.read_entries(spark, str(tmp_path), contents=True).collect()}
+    assert bytes(found[at].content) == text and "/truncated" not in found
+    part = {r.path: r for r in readers.read_entries(spark, str(tmp_path), carve_limit=10 << 20).collect()}
+    assert at not in part and (part["/truncated"].location, part["/truncated"].size) == (10 << 20, (2 << 20) + len(text))
+    readers.register(spark)
+    rows = lambda **o: {r.path for r in spark.read.format("fsentries").options(**o).load(str(tmp_path)).collect()}
+    assert at in rows() and "/truncated" in rows(carve_limit=1 << 20)
