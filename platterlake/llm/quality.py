@@ -45,15 +45,12 @@ def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
         chars(r"[^0-9]+").alias(_P + "n_digits"), chars(r"[^!-/:-@\[-`{-~]+").alias(_P + "n_marks"),
     )
     n = F.size(c("words"))
-    bits = F.length(F.bin(n)).cast("int")
-    gram = lambda i: F.call_function("shiftleft", F.xxhash64(*(F.get(c("words"), i + k) for k in range(GRAM))), c("bits")).bitwiseOR(i.cast("long"))
-    two = one.select("*", bits.alias(_P + "bits"), n.cast("long").alias(_P + "n_words"))
-    # a gram's hash, and below it, in as many bits as the count of words needs, its place: sorting brings equal grams together
-    three = two.withColumn(_P + "grams", F.when(n >= GRAM, F.sort_array(F.transform(F.sequence(F.lit(0), n - GRAM), gram))).otherwise(F.array().cast("array<bigint>")))
-    high = lambda x: F.call_function("shiftright", x, c("bits"))
-    again = lambda x, i: F.coalesce(high(x) == high(F.get(c("grams"), i - 1)), F.lit(False)) | F.coalesce(high(x) == high(F.get(c("grams"), i + 1)), F.lit(False))
-    low = F.call_function("shiftleft", F.lit(1).cast("long"), c("bits")) - 1
-    four = three.withColumn(_P + "repeats", F.sort_array(F.transform(F.filter(c("grams"), again), lambda x: x.bitwiseAND(low))))
+    gram = lambda i: F.struct(F.xxhash64(*(F.get(c("words"), i + k) for k in range(GRAM))).alias("h"), i.cast("long").alias("at"))
+    two = one.select("*", n.cast("long").alias(_P + "n_words"))
+    # a gram's whole hash and its place: sorting brings equal grams together
+    three = two.withColumn(_P + "grams", F.when(n >= GRAM, F.sort_array(F.transform(F.sequence(F.lit(0), n - GRAM), gram))).otherwise(F.array().cast("array<struct<h:bigint,at:bigint>>")))
+    again = lambda x, i: F.coalesce(x["h"] == F.get(c("grams"), i - 1)["h"], F.lit(False)) | F.coalesce(x["h"] == F.get(c("grams"), i + 1)["h"], F.lit(False))
+    four = three.withColumn(_P + "repeats", F.sort_array(F.transform(F.filter(c("grams"), again), lambda x: x["at"])))
     zero = F.lit(0).cast("long")
     step = lambda a, p: F.struct((a["n"] + p + GRAM - F.greatest(p, a["end"])).alias("n"), (p + GRAM).alias("end"))
     covered = F.aggregate(c("repeats"), F.struct(zero.alias("n"), zero.alias("end")), step, lambda a: a["n"])

@@ -36,6 +36,13 @@ def test_counts_match_brute_force(spark):
         assert r[q._P + "kept"] == (not r[q._P + "base_failed"])
 
 
+def test_grams_whose_hashes_share_44_bits_are_not_repeats(spark):
+    # "a b c d v11104121" and "a b c d v7364856" have equal low 44 bits of xxhash64, all that a text of 2**19 words had left
+    words = "a b c d v11104121".split() + [f"x{i}" for i in range(1 << 19)] + "a b c d v7364856".split()
+    docs = spark.createDataFrame([(1, " ".join(words), "c", "c")], SCHEMA)
+    assert q.with_counts(docs).select(q._P + "n_repeat_words").first()[0] == 0
+
+
 def test_list_learns_a_conjunction_and_ignores_noise():
     rnd = np.random.default_rng(3)
     x = rnd.random((3000, len(q.FEATURES)))
