@@ -11,9 +11,7 @@ SCHEMA = "doc_id long, text string, start long, offset long"
 
 
 def direct(texts):
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+    return [e.ids for e in Tokenizer.from_file(PATH).encode_batch(texts, add_special_tokens=False)]
 
 
 def odd_texts():
@@ -28,13 +26,36 @@ def test_encoder_equals_the_tokenizer():
     assert got == direct(texts)
 
 
+def as_ids(found):
+    return [[int.from_bytes(b[i : i + 4], "little") for i in range(0, len(b), 4)] for b in found]
+
+
+def test_every_plain_character_in_context():
+    plain = [chr(c) for c in range(0x2100) if not packing._OTHER.search(chr(c))]
+    assert len(plain) > 180
+    texts = [f"{a}{c}{b}" for c in plain for a in ("", "A", "7", "'", "é ") for b in ("", "s", "Ü", "!")]
+    assert as_ids(packing.Encoder(PATH).encode(texts)) == direct(texts)
+
+
+def test_special_strings_have_their_own_ids():
+    assert as_ids(packing.Encoder(PATH).encode(["x <|endoftext|> y", "a<|startoftext|>", "<|other|>"])) == direct(["x <|endoftext|> y", "a<|startoftext|>", "<|other|>"])
+    assert 49407 in direct(["x <|endoftext|> y"])[0]
+
+
+def test_another_tokenizer_encodes_whole_texts():
+    path, texts = public_tokenizers.path("byte_bpe_50k.json"), odd_texts()
+    one = packing.Encoder(path)
+    assert not one.by_pieces
+    assert as_ids(one.encode(texts)) == [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+
+
 def test_small_caches_change_nothing(monkeypatch):
-    for name in ("MAX_CHUNKS", "MAX_PIECES", "TOGETHER"):
+    for name in ("MAX_PIECES", "TOGETHER"):
         monkeypatch.setattr(packing, name, 20)
     texts = odd_texts()
     one = packing.Encoder(PATH)
-    assert list(one.encode(texts)) == list(packing.Encoder(PATH).encode(texts))
-    assert len(one.chunks) <= 40  # 20 and those of the last texts
+    assert as_ids(one.encode(texts)) == direct(texts)
+    assert len(one.new) <= 20
 
 
 def test_first_fit_matches_a_plain_scan():
