@@ -1,22 +1,27 @@
 """Suffix-array removal of long repeats: every byte covered by a string of LENGTH bytes that also starts elsewhere.
 
+Passages may also be told by their words: a string of WORDS whole words, of FLOOR to LENGTH bytes, that also stands
+elsewhere as whole words. Fewer bytes than FLOOR never count as a passage, more than LENGTH always do.
+
 1.  Equal texts are one text with a count. Those of LENGTH bytes or more that occur twice are removed whole.
-2.  Every start of LENGTH bytes belongs to the leftmost smallest hashed gram inside it, its anchor. Equal strings have equal
-    anchors, so only starts whose anchor's gram occurs twice can repeat. Consecutive starts of one anchor form a run, and a
-    run's bytes a segment; equal segments are one segment with a count, and repeat whole if it is two or more.
+2.  Every start of FLOOR bytes (of LENGTH where words do not count) belongs to the leftmost smallest hashed gram inside
+    them, its anchor. Equal strings have equal anchors, so only starts whose anchor's gram occurs twice can repeat.
+    Consecutive starts of one anchor form a run, and a run's bytes a segment, up to LENGTH bytes from its last start; equal
+    segments (with the bytes around them) are one segment with a count, and repeat whole if it is two or more.
 3.  Buckets of different segments with the same gram are suffix-sorted by two stages: suffixes smaller than their
     successors are sorted directly, the others are induced by one scan over the buckets of first bytes. Adjacent suffixes
-    with LENGTH common bytes repeat.
+    with LENGTH common bytes repeat; of the starts of words, those whose words another start of the bucket has.
 4.  A bucket of more than MAX_BUCKET segments, such as a passage that very many documents share, is not gathered: its
-    strings are counted by a 128-bit hash in an aggregation, which needs no task to hold the group.
+    strings are dealt out by a 128-bit hash to as many parts as its size asks for, and counted there.
 
 Defined results: a null text is an empty one; strings never cross documents; repeated rows are documents of their own, so
-each is the other's repeat; nothing shorter than LENGTH bytes is removed; further columns are ignored.
+each is the other's repeat; a word is a run of bytes other than ASCII white space; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,14 +34,17 @@ from pyspark.sql import functions as F
 
 from platterlake.llm.common import drop, numbered, read, table
 
-LENGTH, GRAM = 400, 64
-MAX_BUCKET = 1024
-#: Bytes of segments sorted at once; a bucket is never split.
-BLOCK = 1 << 21
+LENGTH, GRAM = 400, 48
+#: A passage of over 50 words. Of 51 words of the test tables, 99 % have 240 bytes or more.
+WORDS, FLOOR = 51, 240
+MAX_BUCKET = 2048
+#: Bytes of segments sorted at once; a bucket is never split. Sorting takes some 200 times as much memory.
+BLOCK = 1 << 19
 #: Shared grams that may be broadcast, of 8 bytes each.
 MAX_BROADCAST = 1_000_000
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18
 _BASE = 0x9E3779B97F4A7C15 | 1
+_IS_SPACE = np.array([c == 32 or 9 <= c <= 13 for c in range(256)])
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -141,34 +149,80 @@ def suffix_order(segments: list[bytes], counts: list[int], length: int = LENGTH)
 def repeated_starts(segments: list[bytes], counts: list[int], length: int = LENGTH) -> list[np.ndarray]:
     """For each segment, which of its first counts strings of `length` bytes occur at another place of the segments too."""
     buffer, order, places = suffix_order(segments, counts, length)
+    whole = [max(0, min(n, len(s) - length + 1)) for s, n in zip(segments, counts, strict=True)]
+    inside = np.zeros(len(buffer) + 1, np.int32)
+    np.add.at(inside, places, 1)
+    np.add.at(inside, places + np.array(whole), -1)
+    inside = (np.cumsum(inside) > 0).tobytes()
     hit = bytearray(len(buffer))
-    before = None
-    for i, p in enumerate(order):
-        now = buffer[p : p + length]
-        if now == before:
-            hit[p] = hit[order[i - 1]] = 1
-        before = now
+    before, at = None, 0
+    for p in order:
+        if inside[p]:
+            now = buffer[p : p + length]
+            if now == before:
+                hit[p] = hit[at] = 1
+            before, at = now, p
     hit = np.frombuffer(hit, np.uint8)
     return [np.flatnonzero(hit[p : p + n]) for p, n in zip(places, counts, strict=True)]
 
 
+def word_strings(data: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where strings of so many whole words start and stop."""
+    gap = np.concatenate([[True], _IS_SPACE[data], [True]])
+    first, stop = np.flatnonzero(gap[:-1] & ~gap[1:]), np.flatnonzero(~gap[:-1] & gap[1:])
+    return first[: max(0, len(first) - words + 1)], stop[words - 1 :]
+
+
+def words_of_segments(rows: list[bytes], counts: list[int], words: int, floor: int, length: int) -> Iterator[tuple[int, int, bytes]]:
+    """(row, start, string) of the word strings that start among the first counts bytes of a segment.
+
+    Of a row's bytes the first and the last stand around its segment."""
+    buffer = b"\n".join([*rows, b""])
+    edges = np.concatenate([[0], np.cumsum([len(r) + 1 for r in rows])])
+    first, stop = word_strings(np.frombuffer(buffer, np.uint8), words)
+    row = np.searchsorted(edges, first, "right") - 1
+    at, size = first - edges[row] - 1, stop - first
+    good = (at >= 0) & (at < np.array(counts)[row]) & (size >= floor) & (size <= length) & (stop < edges[row + 1] - 1)
+    for r, i, a, b in zip(row[good].tolist(), at[good].tolist(), first[good].tolist(), stop[good].tolist(), strict=True):
+        yield r, i, buffer[a:b]
+
+
 def ranges(starts: np.ndarray) -> tuple[list[int], list[int]]:
     """Ascending starts as ranges [first, stop)."""
+    if not len(starts):
+        return [], []
     cut = np.flatnonzero(np.diff(starts) > 1) + 1
     return starts[np.concatenate([[0], cut])].tolist(), (starts[np.concatenate([cut - 1, [len(starts) - 1]])] + 1).tolist()
 
 
-def covered(first, stop, length: int = LENGTH) -> list[tuple[int, int]]:
-    """Maximal runs of bytes that the strings starting in the ranges cover."""
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Maximal runs of bytes that the spans cover."""
     out: list[list[int]] = []
-    for a, b in sorted(zip(first, stop, strict=True)):
+    for a, b in sorted(spans):
         if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b - 1 + length)
+            out[-1][1] = max(out[-1][1], b)
         else:
-            out.append([a, b - 1 + length])
+            out.append([a, b])
     return [tuple(x) for x in out]
 
 
+def by_bytes(first, stop, length: int) -> list[tuple[int, int]]:
+    """The bytes that strings starting in the ranges cover."""
+    return [(int(a), int(b) - 1 + length) for a, b in zip(first, stop, strict=True)]
+
+
+def by_words(text: bytes, first, stop, words: int | None, floor: int, length: int) -> list[tuple[int, int]]:
+    """The word strings that start in the ranges."""
+    if words is None or not len(first):
+        return []
+    wanted = np.zeros(len(text) + 1, np.int32)
+    np.add.at(wanted, np.asarray(first, np.int64), 1)
+    np.add.at(wanted, np.asarray(stop, np.int64), -1)
+    a, b = word_strings(np.frombuffer(text, np.uint8), words)
+    good = (np.cumsum(wanted)[a] > 0) & (b - a >= floor) & (b - a <= length)
+    return list(zip(a[good].tolist(), b[good].tolist(), strict=True))
+
+
 def kept(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     parts, last = [], 0
     for a, b in spans:
@@ -177,158 +231,249 @@ def kept(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*parts, text[last:]])
 
 
-def _with_runs(docs: DataFrame, id_col: str, text: str, length: int) -> DataFrame:
-    """(doc_id, key, n_bytes, h, a, n): the digest of each text and the runs of its starts."""
+def _named(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    """(doc_id, key, n_bytes, text): the digest and the bytes of each text."""
+    data = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
+    return docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.sha2(data, 256)).alias("key"), F.octet_length(data).cast("long").alias("n_bytes"), data.alias("text"))
+
+
+def _with_runs(named: DataFrame, length: int) -> DataFrame:
+    """(key, n_bytes, h, a, n): the runs of the starts of each text."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [runs(t.as_buffer().to_pybytes() if t.is_valid else b"", length) for t in batch["text"]]
+            found = [runs(t.as_buffer().to_pybytes(), length) for t in batch["text"]]
             ends = np.concatenate([[0], np.cumsum([len(x[0]) for x in found])]).astype(np.int32)
             flat = [np.concatenate([x[k] for x in found] or [np.empty(0, np.int64)]) for k in range(3)]
             lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(f.astype(kind))) for f, kind in zip(flat, (np.int64, np.int32, np.int32), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["key"], batch["n_bytes"], *lists], ["doc_id", "key", "n_bytes", "h", "a", "n"])
+            yield pa.RecordBatch.from_arrays([batch["key"], batch["n_bytes"], *lists], ["key", "n_bytes", "h", "a", "n"])
 
-    data = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.sha2(data, 256)).alias("key"), F.octet_length(data).cast("long").alias("n_bytes"), data.alias("text"))
-    return rows.mapInArrow(each, f"doc_id {dict(docs.dtypes)[id_col]}, key binary, n_bytes long, h array<bigint>, a array<int>, n array<int>")
+    return named.select("key", "n_bytes", "text").mapInArrow(each, "key binary, n_bytes long, h array<bigint>, a array<int>, n array<int>")
+
+
+@dataclass(frozen=True)
+class Rule:
+    """Strings of `length` bytes repeat and, unless words is None, those of so many words, of `floor` to `length` bytes."""
+
+    length: int = LENGTH
+    words: int | None = WORDS
+    floor: int = FLOOR
+
+    @property
+    def least(self) -> int:
+        return self.length if self.words is None else min(self.floor, self.length)
 
 
-def _cut_out(texts: DataFrame, length: int, how: str) -> DataFrame:
-    """texts: text and h, a, n of runs. A row for every run: its segment's digest ("digest"), its bytes ("bytes"), or the
-    hashes of its strings ("strings")."""
+def _cut_out(texts: DataFrame, rule: Rule, how: str, max_bucket: int = MAX_BUCKET) -> DataFrame:
+    """texts: text and h, a, n of runs, and d, their buckets' sizes. A row for every run: its segment's digest ("digest"), its
+    bytes and one on either side ("bytes"), or the hashes of its strings ("strings"), each with the part of its bucket that
+    it falls into. Beyond the ends of a text stand line ends."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for tid, text, hs, firsts, counts in zip(batch["tid"], batch["text"], batch["h"], batch["a"], batch["n"], strict=True):
-                for h, a, n in zip(hs, firsts, counts, strict=True):
-                    segment = text[a : a + n + length - 1]
-                    sd = xxhash.xxh3_128_digest(segment)
+            for tid, text, hs, firsts, counts, sizes in zip(*(batch[c] for c in ("tid", "text", "h", "a", "n", "d")), strict=True):
+                around = b"\n" + text + b"\n"
+                for h, a, n, d in zip(hs.tolist(), firsts.tolist(), counts.tolist(), sizes.tolist(), strict=True):
+                    segment = around[a : a + n + rule.length + 1]
+                    sd = xxhash.xxh3_128_digest(segment, n)
                     if how == "digest":
-                        rows.append((h, sd, tid, a, n))
+                        rows.append((h, sd, tid, a, n, len(segment) - 2))
                     elif how == "bytes":
                         rows.append((h, sd, n, segment))
                     else:
-                        rows.extend((h, sd, i, xxhash.xxh3_128_digest(segment[i : i + length])) for i in range(n))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
-
-    schema = {"digest": "h long, sd binary, tid long, a int, n int", "bytes": "h long, sd binary, n int, segment binary", "strings": "h long, sd binary, i int, string binary"}[how]
-    return texts.select("tid", "text", "h", "a", "n").mapInPandas(each, schema)
-
-
-def _sorted_buckets(segments: DataFrame, length: int) -> DataFrame:
-    """segments: (h, sd, n, segment), no two alike. (h, sd, first, stop): ranges of the starts that repeat in their bucket."""
+                        parts = -(-d // max_bucket)
+                        found = [(i, False, xxhash.xxh3_128_digest(segment[i + 1 : i + 1 + rule.length])) for i in range(min(n, len(segment) - 1 - rule.length))]
+                        if rule.words:
+                            found += [(i, True, xxhash.xxh3_128_digest(w, 1)) for _, i, w in words_of_segments([segment], [n], rule.words, rule.floor, rule.length)]
+                        rows.extend((h, int.from_bytes(x[:4], "little") % parts, sd, i, w, x) for i, w, x in found)
+                if len(rows) > 50_000:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows = []
+            yield pd.DataFrame(rows, columns=names)
+
+    schema = {"digest": "h long, sd binary, tid long, a int, n int, size int", "bytes": "h long, sd binary, n int, segment binary", "strings": "h long, part int, sd binary, i int, w boolean, string binary"}[how]
+    names = [c.split()[0] for c in schema.split(", ")]
+    return texts.select("tid", "text", "h", "a", "n", "d").mapInPandas(each, schema)
+
+
+def repeats_in(rows: list[tuple[int, bytes, int, bytes]], rule: Rule) -> list[tuple]:
+    """rows: (h, sd, n, segment and the bytes around it) of whole buckets. (h, sd, first, stop, wfirst, wstop): ranges of the
+    starts whose bytes, and whose words, repeat in the buckets."""
+    counts, out = [r[2] for r in rows], []
+    words = [[] for _ in rows]
+    if rule.words:
+        found = list(words_of_segments([r[3] for r in rows], counts, rule.words, rule.floor, rule.length))
+        often = Counter(w for *_, w in found)
+        for r, i, w in found:
+            if often[w] > 1:
+                words[r].append(i)
+    for (h, sd, *_), hit, said in zip(rows, repeated_starts([r[3][1:-1] for r in rows], counts, rule.length), words, strict=True):
+        if len(hit) or said:
+            out.append((h, sd, *ranges(hit), *ranges(np.array(said, np.int64))))
+    return out
+
+
+_FOUND = "h long, sd binary, first array<int>, stop array<int>, wfirst array<int>, wstop array<int>"
+_NAMES = [c.split()[0] for c in _FOUND.split(", ")]
+
+
+def _sorted_buckets(segments: DataFrame, rule: Rule) -> DataFrame:
+    """segments: (h, sd, n, segment), no two alike. What repeats_in finds."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple] = []
         size = 0
-
-        def done(rows: list[tuple]) -> pd.DataFrame:
-            out = []
-            if rows:
-                for (h, sd, *_), hit in zip(rows, repeated_starts([r[3] for r in rows], [r[2] for r in rows], length), strict=True):
-                    if len(hit):
-                        out.append((h, sd, *ranges(hit)))
-            return pd.DataFrame(out, columns=["h", "sd", "first", "stop"])
-
         for batch in batches:
             for row in zip(batch["h"], batch["sd"], batch["n"], batch["segment"], strict=True):
                 if size >= BLOCK and row[0] != held[-1][0]:
-                    yield done(held)
+                    yield pd.DataFrame(repeats_in(held, rule), columns=_NAMES)
                     held, size = [], 0
                 held.append(row)
                 size += len(row[3])
-        yield done(held)
+        if held:
+            yield pd.DataFrame(repeats_in(held, rule), columns=_NAMES)
 
-    count = int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return segments.repartition(4 * count, "h").sortWithinPartitions("h").mapInPandas(each, "h long, sd binary, first array<int>, stop array<int>")
+    return segments.repartition("h").sortWithinPartitions("h").mapInPandas(each, _FOUND)
+
+
+def _counted_parts(strings: DataFrame) -> DataFrame:
+    """strings: (h, part, sd, i, w, string). The starts whose string another place of the bucket has too, as in repeats_in; equal
+    strings lie in one part, so a segment comes out once for every part that holds some of it."""
+
+    def counted(rows: list[tuple]) -> pd.DataFrame:
+        often = Counter(r[4] for r in rows)
+        found: dict[tuple, tuple[list, list]] = {}
+        for h, sd, i, w, x in rows:
+            if often[x] > 1:
+                found.setdefault((h, sd), ([], []))[w].append(i)
+        return pd.DataFrame([(*key, *ranges(np.array(sorted(a), np.int64)), *ranges(np.array(sorted(b), np.int64))) for key, (a, b) in found.items()], columns=_NAMES)
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, held = None, []
+        for batch in batches:
+            for h, part, *row in zip(*(batch[c] for c in ("h", "part", "sd", "i", "w", "string")), strict=True):
+                if (h, part) != now:
+                    if held:
+                        yield counted(held)
+                    now, held = (h, part), []
+                held.append((h, row[0], row[1], int(row[2]), row[3]))
+        if held:
+            yield counted(held)
+
+    return strings.repartition("h", "part").sortWithinPartitions("h", "part").mapInPandas(each, _FOUND)
 
 
 @dataclass
 class Repeats:
-    """rows: (doc_id, key, n_bytes); classes: (tid, key, copies); texts: (tid, key, text) of texts that may hold repeats; spans:
-    (tid, first, stop), ranges of starts that repeat."""
+    """rows: (doc_id, key, n_bytes); classes: (tid, key, n_bytes, copies); texts: (tid, key, text) of texts that may hold
+    repeats; spans: (tid, first, stop, wfirst, wstop), ranges of starts whose bytes, and whose words, repeat."""
 
     rows: DataFrame
     classes: DataFrame
     texts: DataFrame
     spans: DataFrame
+    rule: Rule
+
+    @property
+    def whole(self) -> DataFrame:
+        """The classes that are removed whole."""
+        return self.classes.where((F.col("copies") > 1) & (F.col("n_bytes") >= self.rule.length))
+
+    @property
+    def partly(self) -> DataFrame:
+        """(key, text, first, stop, wfirst, wstop) of all others that hold repeats."""
+        return self.texts.join(self.spans, "tid").join(self.whole.select("tid"), "tid", "left_anti").select("key", "text", "first", "stop", "wfirst", "wstop")
+
+    def cuts(self, text: bytes, first, stop, wfirst, wstop) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+        """What repeated bytes cover, and what these and repeated words cover."""
+        spans = by_bytes(first, stop, self.rule.length)
+        return merged(spans), merged(spans + by_words(text, wfirst, wstop, self.rule.words, self.rule.floor, self.rule.length))
+
+
+def _runs_of(chosen: DataFrame) -> DataFrame:
+    """chosen: (tid, h, a, n, d). A row for every tid, with lists."""
+    lists = chosen.groupBy("tid").agg(F.collect_list(F.struct("h", "a", "n", "d")).alias("r"))
+    return lists.select("tid", *(F.col(f"r.{c}").alias(c) for c in ("h", "a", "n", "d")))
 
 
-def find_repeats(docs: DataFrame, length: int = LENGTH, max_bucket: int = MAX_BUCKET, id_col: str = "doc_id", text: str = "text") -> Repeats:
-    rows = table(_with_runs(docs, id_col, text, length), "documents")
-    one = rows.where(F.col("n_bytes") >= length).groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.first(F.struct("h", "a", "n")).alias("r"))
+def find_repeats(docs: DataFrame, rule: Rule = Rule(), max_bucket: int = MAX_BUCKET, id_col: str = "doc_id", text: str = "text") -> Repeats:
+    length, least = rule.length, rule.least
+    named = _named(docs, id_col, text)
+    one = _with_runs(named.where(F.col("n_bytes") >= least), least).groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.first(F.struct("n_bytes", "h", "a", "n")).alias("r"))
     classes = numbered(one.select("key", "copies", "r.*"), "classes", "tid")
-    each_run = classes.select("tid", F.inline(F.arrays_zip("h", "a", "n")))
-    shared = table(each_run.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h"), "shared")
+    # copies too short to be removed whole repeat themselves
+    each_run = classes.select("tid", F.when(F.col("n_bytes") < length, F.col("copies")).otherwise(F.lit(1)).alias("times"), F.inline(F.arrays_zip("h", "a", "n")))
+    shared = table(each_run.groupBy("h").agg(F.sum("times").alias("c")).where("c > 1").select("h"), "shared")
     few = shared.count() <= MAX_BROADCAST
-    candidates = each_run.join(F.broadcast(shared) if few else shared, "h")
-    by_text = candidates.groupBy("tid").agg(F.collect_list(F.struct("h", "a", "n")).alias("r")).select("tid", F.col("r.h").alias("h"), F.col("r.a").alias("a"), F.col("r.n").alias("n"))
-    wanted = table(by_text.join(classes.select("tid", "key"), "tid"), "wanted")
-    data = F.col(text).cast("binary")
-    once = docs.where(F.octet_length(text) >= length).select(F.unhex(F.sha2(data, 256)).alias("key"), data.alias("text")).groupBy("key").agg(F.first("text").alias("text"))
+    candidates = each_run.select("tid", "h", "a", "n", F.lit(0).cast("long").alias("d")).join(F.broadcast(shared) if few else shared, "h")
+    wanted = _runs_of(candidates).join(classes.select("tid", "key"), "tid")
+    once = named.where(F.col("n_bytes") >= least).groupBy("key").agg(F.first("text").alias("text"))
     texts = table(once.join(wanted, "key"), "texts")
-    drop(wanted, shared)
+    drop(shared)
 
-    places = table(_cut_out(texts, length, "digest"), "places")
-    kinds = table(places.groupBy("h", "sd").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("tid", "a", "n")).alias("owner")), "kinds")
+    places = table(_cut_out(texts, rule, "digest"), "places")
+    again = classes.where((F.col("copies") > 1) & (F.col("n_bytes") < length)).select("tid", "copies")
+    counted = places.join(again, "tid", "left")
+    kinds = table(counted.groupBy("h", "sd").agg(F.sum(F.coalesce("copies", F.lit(1))).alias("c"), F.min(F.struct("tid", "a", "n")).alias("owner")), "kinds")
     buckets = table(kinds.groupBy("h").agg(F.count(F.lit(1)).alias("d")).where("d > 1"), "buckets")
 
     def owners(which: str) -> DataFrame:
-        chosen = kinds.join(buckets.where(which).select("h"), "h").select("h", "owner.*")
-        lists = chosen.groupBy("tid").agg(F.collect_list(F.struct("h", "a", "n")).alias("r")).select("tid", F.col("r.h").alias("h"), F.col("r.a").alias("a"), F.col("r.n").alias("n"))
-        return texts.select("tid", "text").join(lists, "tid")
+        return texts.select("tid", "text").join(_runs_of(kinds.join(buckets.where(which), "h").select("h", "owner.*", "d")), "tid")
 
-    partly = _sorted_buckets(_cut_out(owners(f"d <= {max_bucket}"), length, "bytes"), length)
+    partly = _sorted_buckets(_cut_out(owners(f"d <= {max_bucket}"), rule, "bytes"), rule)
     if buckets.where(f"d > {max_bucket}").count():
-        strings = table(_cut_out(owners(f"d > {max_bucket}"), length, "strings"), "strings")
-        often = table(strings.groupBy("string").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("string"), "often")
-        again = strings.join(often, "string").groupBy("h", "sd").agg(F.array_sort(F.collect_list("i")).alias("first"))
-        partly = partly.union(again.select("h", "sd", "first", F.transform("first", lambda i: i + 1).alias("stop")))
-    partly = table(partly, "partly")
-    whole = places.join(kinds.where("c > 1").select("h", "sd"), ["h", "sd"]).select("tid", F.array("a").alias("first"), F.array(F.col("a") + F.col("n")).alias("stop"))
-    alone = places.join(partly, ["h", "sd"])
-    alone = alone.select("tid", F.transform("first", lambda i: i + F.col("a")).alias("first"), F.transform("stop", lambda i: i + F.col("a")).alias("stop"))
-    spans = whole.union(alone).groupBy("tid").agg(F.flatten(F.collect_list("first")).alias("first"), F.flatten(F.collect_list("stop")).alias("stop"))
-    spans = table(spans, "spans")
-    drop(places, kinds, buckets, partly)
-    return Repeats(rows.select("doc_id", "key", "n_bytes"), classes.select("tid", "key", "copies"), texts.select("tid", "key", "text"), spans)
-
-
-def removals(found: Repeats, length: int = LENGTH) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256), a row for every document."""
+        partly = partly.union(_counted_parts(_cut_out(owners(f"d > {max_bucket}"), rule, "strings", max_bucket)))
+    none = F.array().cast("array<int>")
+    here, last = F.col("a"), F.col("a") + F.least("n", F.col("size") - (length - 1))
+    long = last > here
+    whole = places.join(kinds.where("c > 1").select("h", "sd"), ["h", "sd"]).select(
+        "tid", F.when(long, F.array(here)).otherwise(none).alias("first"), F.when(long, F.array(last)).otherwise(none).alias("stop"),
+        F.array(here).alias("wfirst"), F.array(here + F.col("n")).alias("wstop"),
+    )
+    shift = lambda c: F.transform(c, lambda i: i + F.col("a")).alias(c)
+    alone = places.join(partly, ["h", "sd"]).select("tid", *(shift(c) for c in ("first", "stop", "wfirst", "wstop")))
+    spans = whole.union(alone).groupBy("tid").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("first", "stop", "wfirst", "wstop")))
+    return Repeats(named.select("doc_id", "key", "n_bytes"), classes.select("tid", "key", "n_bytes", "copies"), texts.select("tid", "key", "text"), spans, rule)
+
+
+def removals(found: Repeats) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passage_bytes), a row for every document. n_removed counts what
+    strings of `length` bytes cover, n_passage_bytes what these and the rule's word strings cover."""
+    names = ["key", "n_removed", "n_spans", "kept_sha256", "n_passage_bytes"]
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for key, text, first, stop in zip(batch["key"], batch["text"], batch["first"], batch["stop"], strict=True):
-                spans = covered(first, stop, length)
-                rows.append((key, sum(b - a for a, b in spans), len(spans), hashlib.sha256(kept(text, spans)).hexdigest()))
-            yield pd.DataFrame(rows, columns=["key", "n_removed", "n_spans", "kept_sha256"])
-
-    cut = found.texts.join(found.spans, "tid").join(found.classes.where("copies = 1").select("tid"), "tid", "left_semi")
-    cut = table(cut.select("key", "text", "first", "stop").mapInPandas(each, "key binary, n_removed long, n_spans long, kept_sha256 string"), "removals")
-    gone = found.classes.where("copies > 1").select("key", F.lit(-1).cast("long").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(hashlib.sha256(b"").hexdigest()).alias("kept_sha256"))
-    changed = table(cut.union(gone), "changed")
+            for key, text, *starts in zip(*(batch[c] for c in ("key", "text", "first", "stop", "wfirst", "wstop")), strict=True):
+                spans, more = cuts(text, *starts)
+                rows.append((key, sum(b - a for a, b in spans), len(spans), hashlib.sha256(kept(text, spans)).hexdigest(), sum(b - a for a, b in more)))
+            yield pd.DataFrame(rows, columns=names)
+
+    cuts = Repeats(None, None, None, None, found.rule).cuts
+    cut = found.partly.mapInPandas(each, "key binary, n_removed long, n_spans long, kept_sha256 string, n_passage_bytes long")
+    every = F.lit(-1).cast("long")
+    gone = found.whole.select("key", every.alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(hashlib.sha256(b"").hexdigest()).alias("kept_sha256"), every.alias("n_passage_bytes"))
+    changed = cut.union(gone)
     joined = found.rows.join(changed, "key", "left")
-    removed = F.when(F.col("n_removed") < 0, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0)))
-    return joined.select("doc_id", "n_bytes", removed.alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"), F.coalesce("kept_sha256", F.lower(F.hex("key"))).alias("kept_sha256"))
+    count = lambda c: F.when(F.col(c) < 0, F.col("n_bytes")).otherwise(F.coalesce(c, F.lit(0))).alias(c)
+    return joined.select("doc_id", "n_bytes", count("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"), F.coalesce("kept_sha256", F.lower(F.hex("key"))).alias("kept_sha256"), count("n_passage_bytes"))
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without repeated bytes, nor the rest of a character cut in two; what loses all its words is removed."""
-    found = find_repeats(docs, length, id_col=id_col, text=text)
+def remove_repeats(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs without repeated passages, nor the rest of a character cut in two; what loses all its words is removed."""
+    found = find_repeats(docs, rule, id_col=id_col, text=text)
+    cuts = Repeats(None, None, None, None, rule).cuts
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            left = [kept(t, covered(a, b, length)).decode("utf-8", "ignore") for t, a, b in zip(batch["text"], batch["first"], batch["stop"], strict=True)]
+            columns = zip(*(batch[c] for c in ("text", "first", "stop", "wfirst", "wstop")), strict=True)
+            left = [kept(t, cuts(t, *starts)[1]).decode("utf-8", "ignore") for t, *starts in columns]
             yield pd.DataFrame({"__platterlake_key": batch["key"], "__platterlake_left": left})
 
-    cut = found.texts.join(found.spans, "tid").select("key", "text", "first", "stop")
-    cut = cut.mapInPandas(each, "__platterlake_key binary, __platterlake_left string")
-    gone = found.classes.where("copies > 1").select(F.col("key").alias("__platterlake_key"), F.lit("").alias("__platterlake_left"))
-    some = cut.join(gone, "__platterlake_key", "left_anti")
-    changed = table(some.union(gone).withColumn("__platterlake_key", F.lower(F.hex("__platterlake_key"))), "changed")
+    some = found.partly.mapInPandas(each, "__platterlake_key binary, __platterlake_left string")
+    gone = found.whole.select(F.col("key").alias("__platterlake_key"), F.lit("").alias("__platterlake_left"))
+    changed = some.union(gone).withColumn("__platterlake_key", F.lower(F.hex("__platterlake_key")))
     joined = docs.withColumn("__platterlake_sha", F.sha2(F.col(text), 256)).join(changed, F.col("__platterlake_sha") == F.col("__platterlake_key"), "left")
     left = F.col("__platterlake_left")
     return joined.where(left.isNull() | left.rlike(r"[^\x20\x09-\x0D]")).select(*(F.coalesce(left, F.col(c)).alias(c) if c == text else F.col(c) for c in docs.columns))

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -23,6 +24,26 @@ def brute(texts, length):
     return out
 
 
+def brute_passages(texts, rule):
+    """Whether each byte is covered by a repeated string of the rule's bytes or words."""
+    data = [(t or "").encode() for t in texts]
+    words = [[m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", d)] for d in data]
+    strings = [[(w[i][0], w[i + rule.words - 1][1]) for i in range(len(w) - rule.words + 1) if rule.floor <= w[i + rule.words - 1][1] - w[i][0] <= rule.length] for w in words]
+    seen = Counter(d[i : i + rule.length] for d in data for i in range(len(d) - rule.length + 1))
+    said = Counter(d[a:b] for d, spans in zip(data, strings) for a, b in spans)
+    out = []
+    for d, spans in zip(data, strings):
+        gone = np.zeros(len(d), bool)
+        for i in range(len(d) - rule.length + 1):
+            if seen[d[i : i + rule.length]] > 1:
+                gone[i : i + rule.length] = True
+        for a, b in spans:
+            if said[d[a:b]] > 1:
+                gone[a:b] = True
+        out.append(gone)
+    return out
+
+
 def sample():
     rnd = random.Random(21)
     make = lambda n: "".join(rnd.choice("abcdeé ") for _ in range(n))
@@ -69,23 +90,55 @@ def test_long_texts_are_cut_in_chunks(monkeypatch):
     assert (whole == parts).all()
 
 
+def rules():
+    return [(s.Rule(100, None), 1024), (s.Rule(100, None), 2), (s.Rule(400, None), 1024), (s.Rule(100, 5, 70), 1024), (s.Rule(100, 5, 70), 2), (s.Rule(130, 4, 64), 3)]
+
+
 def test_removals_match_brute_force(spark):
     texts = sample()
     rows = [(i if i % 13 else None, t, "c", "c", "c") for i, t in enumerate(texts)]
     docs = spark.createDataFrame(rows, SCHEMA)
-    for length, bucket in ((100, 1024), (100, 2), (400, 1024)):
-        want = Counter((r[0], *b) for r, b in zip(rows, brute(texts, length)))
-        got = s.removals(s.find_repeats(docs, length, bucket), length).collect()
+    for rule, bucket in rules():
+        all_ = [int(x.sum()) for x in brute_passages(texts, rule)] if rule.words else [b[1] for b in brute(texts, rule.length)]
+        want = Counter((r[0], *b, n) for r, b, n in zip(rows, brute(texts, rule.length), all_))
+        got = s.removals(s.find_repeats(docs, rule, bucket)).collect()
         assert Counter(tuple(r) for r in got) == want
 
 
 def test_texts_without_repeats(spark):
     texts = sample()
     docs = spark.createDataFrame([(i, t, "c", "c", "c") for i, t in enumerate(texts)], SCHEMA)
-    kept = {r.doc_id: r.text for r in s.remove_repeats(docs, 100).collect()}
-    for i, (t, (size, removed, *_, digest)) in enumerate(zip(texts, brute(texts, 100))):
-        if removed == 0:
-            assert i in kept and kept[i] == t
-        elif i in kept:
-            assert len(kept[i].encode()) <= size - removed
+    for rule in (s.Rule(100, 5, 70), s.Rule(100, None)):
+        kept = {r.doc_id: r.text for r in s.remove_repeats(docs, rule).collect()}
+        gone = brute_passages(texts, rule) if rule.words else brute_passages(texts, s.Rule(100, 10**6))
+        for i, (t, cut) in enumerate(zip(texts, gone)):
+            left = bytes(np.frombuffer((t or "").encode(), np.uint8)[~cut]).decode("utf-8", "ignore")
+            if not cut.any():
+                assert i in kept and kept[i] == t
+            else:
+                assert kept.get(i, "") == (left if left.strip() else "")
     assert s.removals(s.find_repeats(docs.limit(0))).count() == 0
+
+
+def test_passages_of_over_fifty_words(spark):
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(rnd.randrange(3, 8)))
+    some = lambda n: " ".join(word() for _ in range(n))
+    passage, short = some(52), some(49)
+    texts = [f"{some(30)} {passage}\n{some(20)}", f"{some(5)}\t{passage}", f"{some(9)} {short} {some(30)}", f"{short}, {some(60)}", some(200)]
+    assert 200 < len(passage) < 400
+    docs = spark.createDataFrame([(i, t, "c", "c", "c") for i, t in enumerate(texts)], SCHEMA)
+    got = {r.doc_id: r for r in s.removals(s.find_repeats(docs)).collect()}
+    assert [got[i].n_removed for i in range(5)] == [0] * 5
+    assert [got[i].n_passage_bytes for i in range(5)] == [len(passage), len(passage), 0, 0, 0]
+    kept = {r.doc_id: r.text for r in s.remove_repeats(docs).collect()}
+    assert [kept[i] for i in range(5)] == [texts[0].replace(passage, ""), texts[1].replace(passage, ""), *texts[2:]]
+
+
+def test_a_bucket_of_thousands_of_segments(spark):
+    rnd = random.Random(6)
+    passage = "".join(rnd.choice("abcdefgh ") for _ in range(150))
+    texts = ["".join(rnd.choice("ijklmn ") for _ in range(60)) + passage + "".join(rnd.choice("ijklmn ") for _ in range(60)) for _ in range(3000)]
+    docs = spark.createDataFrame([(i, t, "c", "c", "c") for i, t in enumerate(texts)], SCHEMA)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in s.removals(s.find_repeats(docs, s.Rule(120, None))).collect()}
+    assert [got[i] for i in range(3000)] == brute(texts, 120)
