@@ -18,6 +18,16 @@ def four(data: Column) -> list[Column]:
     return [F.lpad(F.lower(F.hex(F.crc32(raw))), 8, "0").alias("crc32"), F.md5(raw).alias("md5"), F.sha1(raw).alias("sha1"), F.sha2(raw, 256).alias("sha256")]
 
 
+def one(data: Column, kind: str) -> Column:
+    """One of the four, by its name."""
+    return dict(zip(("crc32", "md5", "sha1", "sha256"), four(data), strict=True))[kind]
+
+
+def distinct_contents(rows: DataFrame, data: Column) -> DataFrame:
+    """n: how many different contents rows have."""
+    return rows.agg(F.count_distinct(F.sha2(data.cast("binary"), 256)).alias("n"))
+
+
 def of_range(data: Column, offset: int, length: int) -> Column:
     """SHA-256 of a range of a binary value."""
     return F.sha2(F.substring(data.cast("binary"), offset + 1, length), 256)

@@ -55,10 +55,11 @@ def control_pictures(name: Column) -> Column:
 
 
 def text_kind(text: Column) -> Column:
-    """json for one object or array, jsonl where an object's text has inner line ends, else txt."""
-    body = F.regexp_replace(text, r"^\s+", "")
-    brace, lines = F.startswith(body, F.lit("{")), F.rtrim(body).contains("\n")
-    return F.when(brace & lines, "jsonl").when(brace | F.startswith(body, F.lit("[")), "json").otherwise("txt")
+    """By its first character that is no white space, of the first 128: jsonl for a brace where another line follows, json
+    for a brace or a bracket, else txt. A line end that begins the text, or ends it, starts no other line."""
+    first = F.regexp_extract(F.substring(text, 1, 128), r"\A[ \t\n\r\f]*([^ \t\n\r\f])", 1)
+    lines = text.rlike(r"(?s).\n[^\n]")
+    return F.when((first == "{") & lines, "jsonl").when(first.isin("{", "["), "json").otherwise("txt")
 
 
 def ostype(code: Column) -> Column:

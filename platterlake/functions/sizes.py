@@ -40,6 +40,11 @@ def align_up(value: Column, unit: int | Column) -> Column:
     return F.when(unit > 0, value + F.pmod(unit - value % unit, unit)).otherwise(value)
 
 
+def units(value: Column, unit: int) -> Column:
+    """How many units hold a value."""
+    return F.floor((value + (unit - 1)) / unit).cast("long")
+
+
 def format_size(size: Column) -> Column:
     """One decimal of the largest unit, ties to the even digit; bytes below one KiB."""
     out = F.concat(size.cast("string"), F.lit(" B"))

@@ -43,8 +43,13 @@ def verify(expected: DataFrame, found: DataFrame, keys: list[str], digest: str =
     return a.join(b, keys, "full").select(*keys, state.alias("state"))
 
 
+def json_lines(rows: DataFrame) -> DataFrame:
+    """(line): every row as JSON, for results of any size."""
+    return rows.select(F.to_json(F.struct(*rows.columns)).alias("line"))
+
+
 def envelope(rows: DataFrame, status: str = "ok") -> DataFrame:
-    """One JSON result: schema version, status and the rows."""
+    """One JSON result: schema version, status and the rows, which one task holds; json_lines has no such bound."""
     return rows.agg(F.to_json(F.struct(F.lit(1).alias("schema_version"), F.lit(status).alias("status"), F.collect_list(F.struct(*rows.columns)).alias("result"))).alias("envelope"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from platterlake.functions.names import text_kind
@@ -12,6 +12,11 @@ MIN_RUN, MAX_ENTRIES = 64, 4096
 SEGMENT = 1 << 20
 
 
+def text_bytes(text: Column) -> Column:
+    """How many characters of a value are text for carving: tab, line ends and printable ASCII."""
+    return F.length(F.regexp_replace(text, r"[^\t\n\r -~]", "")).cast("long")
+
+
 def text_runs(rows: DataFrame, key: str, text: str, least: int = MIN_RUN, entries: int | None = MAX_ENTRIES) -> DataFrame:
     """(key, ordinal, run, kind, truncated): the first `entries` runs of tab, line ends and printable ASCII of every value."""
     runs = F.regexp_extract_all(F.col(text), F.lit(f"([\\t\\n\\r -~]{{{least},}})"), 1)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -93,3 +93,39 @@ def check_catalog(directories: DataFrame, threads: DataFrame, entries: DataFrame
     valence = directories.join(children, key, "left").where(F.col("valence") != F.coalesce("found", F.lit(0)))
     twice = issue(duplicates(entries, key), "DuplicateCnid", text("entry", "cnid"))
     return report([missing, loose, lost, differ, issue(valence, "ParentValenceMismatch", text("directory", "cnid")), twice])
+
+
+def catalog_relations(catalog: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What check_catalog takes, from catalog records (image_id, part_index, record, cnid, parent, name, valence) of volumes."""
+    rows = catalog.withColumn("image_id", F.concat("image_id", F.lit("@"), F.col("part_index").cast("string")))
+    folders = rows.where("record = 'directory'").select("image_id", "cnid", "parent", "name", "valence")
+    threads = rows.where("record = 'directory thread'").select("image_id", "cnid", "parent", "name")
+    # the root folder lies below the number 1, which no folder has
+    entries = rows.where("record IN ('directory', 'file') AND parent != 1").select("image_id", "cnid", "parent", "name", F.col("record").alias("kind"))
+    return folders, threads, entries
+
+
+def check_blocks(entries: DataFrame, allocation: DataFrame, span: int = 1 << 15) -> DataFrame:
+    """Issues of files' extents: blocks that a volume's map calls free, and blocks that two files have.
+
+    entries: (image_id, part_index, path, extents); allocation: (image_id, part_index, start, blocks, used). Ranges meet in the
+    spans of block numbers that they touch, so no task sees a whole volume.
+    """
+    key = ["image_id", "part_index", "span"]
+    spans = lambda a, n: F.explode(F.sequence(F.floor(F.col(a) / span), F.floor((F.col(a) + F.col(n) - 1) / span)))
+    held = entries.select("image_id", "part_index", "path", F.inline("extents")).where("blocks > 0").select("image_id", "part_index", "path", "start", "blocks", spans("start", "blocks").alias("span"))
+    free = allocation.where("NOT used").select("image_id", "part_index", F.col("start").alias("a"), F.col("blocks").alias("n"), spans("start", "blocks").alias("span"))
+    wrong = held.join(free, key).where((F.col("start") < F.col("a") + F.col("n")) & (F.col("a") < F.col("start") + F.col("blocks")))
+    unmapped = issue(wrong.select("image_id", "part_index", "path", "start").distinct(), "ReferencedButFree", F.concat(F.lit("extent "), F.col("start").cast("string"), F.lit(" of "), F.col("path")))
+    w = Window.partitionBy(*key).orderBy("start", "path").rowsBetween(Window.unboundedPreceding, -1)
+    twice = held.withColumn("before", F.max(F.col("start") + F.col("blocks")).over(w)).where(F.col("start") < F.col("before"))
+    shared = issue(twice.select("image_id", "part_index", "path", "start").distinct(), "OverlappingExtents", F.concat(F.lit("extent "), F.col("start").cast("string"), F.lit(" of "), F.col("path")))
+    return report([unmapped, shared])
+
+
+def check_images(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+    """Issues of all volumes of the images under a path: catalogs of HFS and HFS+, and blocks where a map is read."""
+    from platterlake.sources import readers
+
+    catalog = check_catalog(*catalog_relations(readers.read_catalog(spark, path, glob)))
+    return report([catalog, check_blocks(readers.read_entries(spark, path, glob=glob), readers.read_allocation(spark, path, glob))])

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Block numbers ranked, or made, by one task at a time.
+SEGMENT = 1 << 20
+
 
 def live(blocks: DataFrame, allocation: DataFrame, keys: list[str]) -> DataFrame:
     """Blocks that the allocation marks as used."""
@@ -12,15 +15,29 @@ def live(blocks: DataFrame, allocation: DataFrame, keys: list[str]) -> DataFrame
 
 
 def expand(totals: DataFrame, used: DataFrame, image: str = "image_id") -> DataFrame:
-    """A row for every block of an image (image, blocks); bytes are null where no used block has them."""
-    every = totals.select(image, F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block_no"))
+    """A row for every block of an image (image, blocks); bytes are null where no used block has them.
+
+    Numbers are made in two steps, SEGMENT at a time and dealt out in between, so no row holds those of a whole image.
+    """
+    last = F.col("blocks") - 1
+    segments = totals.where("blocks > 0").select(image, "blocks", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(last / SEGMENT))).alias("segment"))
+    first = F.col("segment") * SEGMENT
+    every = segments.repartition(image, "segment").select(image, F.explode(F.sequence(first, F.least(first + SEGMENT - 1, last))).alias("block_no"))
     return every.join(used, [image, "block_no"], "left")
 
 
 def renumber(allocation: DataFrame, keys: list[str], block: str = "block_no") -> DataFrame:
-    """keys, block and new_block: the place of each live block once packed."""
-    n = F.row_number().over(Window.partitionBy(*keys).orderBy(block)) - 1
-    return allocation.where("used").select(*keys, block, n.cast("long").alias("new_block"))
+    """keys, block and new_block: the place of each live block once packed.
+
+    Blocks are ranked within segments of their numbers; a segment starts at the count of all before it, so no task ranks a
+    whole image.
+    """
+    live = allocation.where("used").select(*keys, block, F.floor(F.col(block) / SEGMENT).alias("__segment"))
+    counts = live.groupBy(*keys, "__segment").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(*keys).orderBy("__segment").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select(*keys, "__segment", before.alias("__first"))
+    n = F.row_number().over(Window.partitionBy(*keys, "__segment").orderBy(block)) - 1
+    return live.withColumn("__n", n).join(starts, [*keys, "__segment"]).select(*keys, block, (F.col("__n") + F.col("__first")).cast("long").alias("new_block"))
 
 
 def fragmentation(extents: DataFrame, keys: list[str], file: str = "path") -> DataFrame:

@@ -46,7 +46,7 @@ def to_regex(pattern: str, ignore_case: bool = True) -> str:
         else:
             out.append(re.escape(t[-1]))
     # a path's own leading slash belongs to the folders of an unanchored pattern
-    return ("(?i)" if ignore_case else "") + ("^" if pattern.startswith("/") else "^/?") + "".join(out) + "$"
+    return ("(?is)" if ignore_case else "(?s)") + ("\\A" if pattern.startswith("/") else "\\A/?") + "".join(out) + "\\z"
 
 
 def matches(path: Column, patterns: str | list[str], ignore_case: bool = True) -> Column:
@@ -74,6 +74,12 @@ def select(entries: DataFrame, include: str | list[str], exclude: list[str] = ()
     return entries.where(keep)
 
 
+def lookup(entries: DataFrame, paths: list[str], path: str = "path") -> DataFrame:
+    """The entries at some paths, told by their components: doubled and final slashes do not count."""
+    wanted = ["/" + "/".join(split_path(p)) for p in paths]
+    return entries.where(F.concat(F.lit("/"), F.regexp_replace(F.regexp_replace(F.col(path), r"\A/+|/+\z", ""), "/+", "/")).isin(wanted))
+
+
 def split_path(path: str, colon: bool = False) -> list[str]:
     """Components of a path; in the slash grammar a backslash escapes a slash or a backslash, and is literal elsewhere."""
     if colon:

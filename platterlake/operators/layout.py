@@ -15,6 +15,17 @@ def _folded(rows: DataFrame, order: Column, fields: list[str], start: Column, st
     return gathered.select("image_id", F.aggregate("rows", start, step)["out"].alias("out"))
 
 
+def running(rows: DataFrame, keys: list[str], order: list[str], value: str, name: str) -> DataFrame:
+    """rows and the sum of a value up to each of them, in the order within their keys."""
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn(name, F.sum(value).over(w))
+
+
+def size_choices(partitions: DataFrame, choices: DataFrame, key: str, default: str = "original") -> DataFrame:
+    """partitions and choice: what is chosen for their key in (key, choice), else the default."""
+    return partitions.join(choices.select(F.col(key).alias("__key"), F.col("choice").alias("__choice")), F.col(key).eqNullSafe(F.col("__key")), "left").withColumn("choice", F.coalesce("__choice", F.lit(default))).drop("__key", "__choice")
+
+
 def resize_plan(partitions: DataFrame, alignment_sectors: int = 0) -> DataFrame:
     """(image_id, part_index, old_start, new_start, new_size, move_delta, fits), bytes, of primary partitions in their order.
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from platterlake.staging import settled
+
 
 def sort_listing(rows: DataFrame, key: Column, is_dir: Column, ordinal: Column, descending: bool = False) -> DataFrame:
     """Folders first in both directions; ties in the order of input, reversed where descending."""
@@ -16,19 +18,23 @@ def tree_counts(entries: DataFrame, keys: list[str], kind: str = "kind") -> Data
     return entries.groupBy(*keys).agg(F.count_if(F.col(kind) == "directory").alias("directories"), F.count_if(F.col(kind) != "directory").alias("files"))
 
 
-def closure(edges: DataFrame, node: str, parent: str, max_depth: int = 128) -> DataFrame:
-    """(node, root, depth, path) of a forest by pointer doubling: joins in the logarithm of its depth.
+def closure(edges: DataFrame, node: str, parent: str) -> DataFrame:
+    """(node, root, depth, path) of a forest by pointer doubling: rounds in the logarithm of its depth.
 
-    Edges whose parent is absent are roots. Nodes on a cycle are not reached and are left out.
+    Edges whose parent is absent are roots. Nodes on a cycle, or below one, are left out: in a round that finishes no node,
+    only these remain.
     """
     nodes = edges.select(F.col(node).alias("node"), F.col(parent).alias("parent"))
-    known = nodes.select(F.col("node").alias("k"))
-    state = nodes.join(known, F.col("parent") == F.col("k"), "left").select("node", F.col("k").alias("up"), F.array("node").alias("path"))
-    reach = 1
-    while reach < max_depth:
+    known = nodes.select(F.col("node").alias("k")).distinct()
+    state = settled(nodes.join(known, F.col("parent") == F.col("k"), "left").select("node", F.col("k").alias("up"), F.array("node").alias("path")))
+    left = state.where("up IS NOT NULL").count()
+    while left:
         above = state.select(F.col("node").alias("n"), F.col("up").alias("up2"), F.col("path").alias("p2"))
-        state = state.join(above, F.col("up") == F.col("n"), "left").select("node", F.col("up2").alias("up"), F.concat(F.coalesce("p2", F.array().cast("array<bigint>")), "path").alias("path"))
-        reach *= 2
+        moved = state.where("up IS NOT NULL").join(above, F.col("up") == F.col("n")).select("node", F.col("up2").alias("up"), F.concat("p2", "path").alias("path"))
+        state = settled(state.where("up IS NULL").union(moved))
+        before, left = left, state.where("up IS NOT NULL").count()
+        if left == before:
+            break
     return state.where("up IS NULL").select("node", F.col("path")[0].alias("root"), (F.size("path") - 1).alias("depth"), "path")
 
 
@@ -49,9 +55,45 @@ def select_range(rows: DataFrame, order: list[Column], first: Column, last: Colu
     return keyed.join(F.broadcast(either), F.col("__key").between(F.col("__a"), F.col("__b"))).drop("__key", "__a", "__b")
 
 
+def _stem_and_ending(name: Column) -> tuple[Column, Column]:
+    """The text before the last dot, and the dot and what follows; no ending where either part is empty."""
+    split = name.rlike(r"(?s)\A.+\.[^.]+\z")
+    return F.when(split, F.regexp_extract(name, r"(?s)\A(.+)\.[^.]+\z", 1)).otherwise(name), F.when(split, F.regexp_extract(name, r"(\.[^.]+)\z", 1)).otherwise("")
+
+
 def unique_names(rows: DataFrame, folder: str, name: str, ordinal: str) -> DataFrame:
-    """Repeated names of a folder get the suffix ~1, ~2 and so on, in the order of `ordinal`."""
+    """Names that a folder already has get the suffix ~1, ~2 and so on before their ending, the first that is free, in the
+    order of `ordinal`.
+
+    Only names alike but for such suffixes compete. Where none of these has a suffix of its own, the rank among equal names is
+    the suffix; only groups in which one has are walked row by row.
+    """
     from pyspark.sql import Window
 
-    n = F.row_number().over(Window.partitionBy(folder, F.lower(name)).orderBy(ordinal)) - 1
-    return rows.withColumn("unique_name", F.when(n > 0, F.concat(F.col(name), F.lit("~"), n.cast("string"))).otherwise(F.col(name)))
+    stem, ending = _stem_and_ending(F.col(name))
+    bare = F.regexp_replace(stem, r"(?:~[0-9]+)+\z", "")
+    keyed = rows.withColumn("__key", F.concat(bare, ending)).withColumn("__suffixed", bare != stem)
+    odd = settled(keyed.where("__suffixed").select(F.col(folder).alias("__f"), F.col("__key").alias("__k")).distinct())
+    here = F.col(folder).eqNullSafe(F.col("__f")) & F.col("__key").eqNullSafe(F.col("__k"))
+    n = F.row_number().over(Window.partitionBy(folder, name).orderBy(ordinal)) - 1
+    plain = keyed.join(odd, here, "left_anti").withColumn("unique_name", F.when(n > 0, F.concat(stem, F.lit("~"), n.cast("string"), ending)).otherwise(F.col(name)))
+
+    def walk(frame):
+        taken, out = set(), []
+        frame = frame.sort_values(ordinal, kind="stable")
+        for text in frame[name]:
+            if text is not None and text in taken:
+                head, dot, tail = text.rpartition(".")
+                head, tail = (head, dot + tail) if head and tail else (text, "")
+                k = 1
+                while f"{head}~{k}{tail}" in taken:
+                    k += 1
+                text = f"{head}~{k}{tail}"
+            taken.add(text)
+            out.append(text)
+        return frame.assign(unique_name=out)
+
+    some = keyed.join(odd, here, "left_semi")
+    schema = ", ".join(f"`{c}` {t}" for c, t in some.dtypes) + ", unique_name string"
+    walked = some.groupBy(folder, "__key").applyInPandas(walk, schema)
+    return plain.unionByName(walked).drop("__key", "__suffixed")

@@ -161,7 +161,54 @@ def test_listing(spark):
     order = lambda desc: [r.name for r in listing.sort_listing(rows, F.lower("name"), F.col("d"), F.col("i"), desc).collect()]
     assert order(False) == ["z", "A", "a", "b"] and order(True) == ["z", "b", "a", "A"]
     tree = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 3), (5, 9), (6, 7), (7, 6)], "n long, p long")
-    assert {(r.node, r.root, r.depth) for r in listing.closure(tree, "n", "p", 16).collect()} == {(1, 1, 0), (2, 1, 1), (3, 1, 2), (4, 1, 3), (5, 5, 0)}
+    assert {(r.node, r.root, r.depth) for r in listing.closure(tree, "n", "p").collect()} == {(1, 1, 0), (2, 1, 1), (3, 1, 2), (4, 1, 3), (5, 5, 0)}
+
+
+def test_deep_trees_are_whole(spark):
+    chain = spark.range(500).selectExpr("id AS n", "CASE WHEN id > 0 THEN id - 1 END AS p")
+    assert {(r.node, r.root, r.depth) for r in listing.closure(chain, "n", "p").collect()} == {(n, 0, n) for n in range(500)}
+
+
+def test_names_are_made_unique_until_they_are_free(spark):
+    names_ = ["a", "a", "a~1", "b.txt", "b.txt", "b.txt", "b~2.txt", "A", ".x", ".x", "c.", "c.", None, None, "a~1"]
+    rows = spark.createDataFrame([("f", n, i) for i, n in enumerate(names_)] + [("g", "a", 99)], "folder string, name string, i int")
+    got = [r.unique_name for r in listing.unique_names(rows, "folder", "name", "i").orderBy("i").collect()]
+    assert got[:8] == ["a", "a~1", "a~1~1", "b.txt", "b~1.txt", "b~2.txt", "b~2~1.txt", "A"]
+    assert got[8:12] == [".x", ".x~1", "c.", "c.~1"] and got[14:] == ["a~1~2", "a"]
+    assert len(set(filter(None, got[:-1]))) == 13
+
+
+def test_edits_apply_in_order(spark):
+    schema = "path string, kind string, size long, mode int"
+    log = "seq int, op string, path string, kind string, size long, mode int, new_path string"
+    tree = [("/a", "directory", None, 1), ("/a/b", "file", 5, 1), ("/a/b.c", "file", 6, 1), ("/ab", "file", 7, 1), ("/z", "file", 8, 1)]
+
+    def after(*edits_):
+        return sorted(map(tuple, edits.apply_edits(spark.createDataFrame(tree, schema), spark.createDataFrame([(k, *e) for k, e in enumerate(edits_, 1)], log)).collect()))
+
+    none = (None, None, None, None)
+    assert after(("set", "/z", None, None, 9, None), ("set", "/z", None, 3, None, None))[-1] == ("/z", "file", 3, 9)
+    assert after(("create", "/a/new", "file", 1, 1, None), ("delete", "/a", *none)) == [("/ab", "file", 7, 1), ("/z", "file", 8, 1)]
+    assert after(("rename", "/a", None, None, None, "/q")) == [("/ab", "file", 7, 1), ("/q", "directory", None, 1), ("/q/b", "file", 5, 1), ("/q/b.c", "file", 6, 1), ("/z", "file", 8, 1)]
+    assert after(("rename", "/a/b", None, None, None, "/t"), ("rename", "/z", None, None, None, "/a/b"), ("rename", "/t", None, None, None, "/z"))[1:3] == [("/a/b", "file", 8, 1), ("/a/b.c", "file", 6, 1)]
+    assert after(("delete", "/z", *none), ("create", "/z", "file", 1, 2, None), ("set", "/z", None, None, 4, None))[-1] == ("/z", "file", 1, 4)
+    assert after(("set", "/nothing", None, 1, 1, None), ("delete", "/none", *none)) == sorted(tree)
+    assert after(("rename", "/ab", None, None, None, "/z"))[-1] == ("/z", "file", 7, 1)
+
+
+def test_comparison_takes_the_last_of_repeated_paths(spark):
+    make = lambda rows: spark.createDataFrame(rows, "path string, size int, n int")
+    a, b = make([("x", 1, 0), ("x", 2, 1), (None, 3, 0)]), make([("x", 9, 0), ("x", 2, 1), (None, 3, 0)])
+    assert sorted(map(tuple, diff.compare(a, b, ["path"], ["size"], "n").collect()), key=str) == [("x", "unchanged"), (None, "unchanged")]
+    assert [r["size"] for r in diff.last_of(make([("x", 1, None), ("x", 2, 0)]), ["path"], "n").collect()] == [2]
+
+
+def test_text_kinds_and_line_ends_in_globs(spark):
+    texts = ['{"a":1}\n', '{"a":1}\n\n', '{"a":1}\n{', "\n{", "\n\n{", " [1]\n2", "x{\n1", " " * 200 + "{"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    assert [r.k for r in rows.select("i", names.text_kind(F.col("t")).alias("k")).orderBy("i").collect()] == ["json", "json", "jsonl", "json", "jsonl", "json", "txt", "txt"]
+    paths = spark.createDataFrame([("/en/a\n",), ("/en/a",), ("/en/a\nb",)], "path string")
+    assert [r.path for r in glob.select(paths, "/en/?").collect()] == ["/en/a"] and glob.select(paths, "/en/*b").count() == 1
 
 
 def test_rates_and_backups(spark, tmp_path):
