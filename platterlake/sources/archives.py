@@ -8,6 +8,7 @@ import io
 import re
 import struct
 import tarfile
+import zlib
 from collections.abc import Iterator
 
 from platterlake.functions.digests import crc16
@@ -27,8 +28,19 @@ def peeled(data: bytes) -> bytes:
     return data
 
 
-def is_tar(data: bytes) -> bool:
-    return peeled(data)[257:262] == b"ustar"
+def is_tar(data) -> bool:
+    """By the first block, of which no more is unpacked."""
+    head = data[:4096]
+    if head[:2] == b"\x1f\x8b":
+        head = zlib.decompressobj(31).decompress(head, 512)
+    elif head[:4] == b"\x28\xb5\x2f\xfd":
+        import zstandard
+
+        try:
+            head = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(bytes(data[: 1 << 18]))).read(512)
+        except zstandard.ZstdError:
+            return False
+    return head[257:262] == b"ustar"
 
 
 def safe(path: str) -> list[str] | None:
@@ -61,8 +73,8 @@ def write_tar(rows: list[Entry]) -> bytes:
     return out.getvalue()
 
 
-def is_macbinary(data: bytes) -> bool:
-    return len(data) >= 128 and data[0] == 0 and data[74] == 0 and 1 <= data[1] <= 63 and crc16(data[:124]) == struct.unpack_from(">H", data, 124)[0]
+def is_macbinary(data) -> bool:
+    return len(data) >= 128 and data[0] == 0 and data[74] == 0 and 1 <= data[1] <= 63 and crc16(data[:124]) == struct.unpack(">H", data[124:126])[0]
 
 
 def macbinary(data: bytes, contents: bool = False) -> Iterator[Entry]:
@@ -129,7 +141,7 @@ def write_appledouble(finder: bytes, resource: bytes) -> bytes:
     return head + struct.pack(">III", 9, at, len(finder)) + struct.pack(">III", 2, at + len(finder), len(resource)) + finder + resource
 
 
-def kind_of(data: bytes) -> str | None:
+def kind_of(data) -> str | None:
     if is_tar(data):
         return "tar"
     if b"(This file must be converted with BinHex" in data[:4096]:

@@ -1,4 +1,4 @@
-"""Disk images that tests build for themselves."""
+"""Small disk images built of given files: what queries and tests read back."""
 
 import struct
 import uuid
@@ -216,7 +216,7 @@ def hfsplus(files, block=4096):
 
 def hfs(files, block=512):
     ids = {"": 2} | {p: 16 + k for k, p in enumerate(files)}
-    base, first, body, records = 16, 4, b"", []
+    base, first, body, records = 16, 8, b"", []
 
     def key(parent, name):
         raw = name.encode("mac_roman")
@@ -236,12 +236,12 @@ def hfs(files, block=512):
             struct.pack_into(">HH", value, 74, first + len(body) // block, n)
             body += data.ljust(n * block, b"\0")
         records.append(key(ids[parent], name) + bytes(value))
-    tree = _tree(records, 512)
+    tree = _tree(records, 1024)
     head = bytearray(512)
     head[:2] = b"BD"
     struct.pack_into(">I", head, 20, block)
     struct.pack_into(">H", head, 28, base)
-    struct.pack_into(">IHH", head, 146, len(tree), 1, 2)
+    struct.pack_into(">IHH", head, 146, len(tree), 1, len(tree) // block)
     disk = bytearray(512 * 200)
     disk[1024:1536] = head
     disk[(base + 1) * 512 : (base + 1) * 512 + len(tree)] = tree
@@ -358,8 +358,8 @@ def ntfs(files, cluster=4096):
 def d64(files):
     disk, per_track = bytearray(174_848), [21] * 17 + [19] * 7 + [18] * 6 + [17] * 10
     at = lambda t, s: (sum(per_track[: t - 1]) + s) * 256
-    disk[0x16500:0x16503] = bytes([18, 1, 0x41])
-    places = [(t, s) for t in (17, 19, 20) for s in range(per_track[t - 1])]
+    disk[0x16500:0x16503], disk[0x165A5:0x165A7] = bytes([18, 1, 0x41]), b"2A"
+    places = [(t, s) for t in range(1, 36) if t != 18 for s in range(per_track[t - 1])]
     for k, (name, body) in enumerate(files.items()):
         parts = [body[i : i + 254] for i in range(0, len(body), 254)] or [b""]
         own = [places.pop(0) for _ in parts]
@@ -375,6 +375,7 @@ def apple_dos(files):
     disk = bytearray(143_360)
     at = lambda t, s: (t * 16 + s) * 256
     disk[at(17, 0) + 1 : at(17, 0) + 4], disk[at(17, 0) + 0x27] = bytes([17, 15, 3]), 122
+    disk[at(17, 0) + 0x34 : at(17, 0) + 0x38] = b"\x23\x10\0\1"
     places = [(t, s) for t in range(3, 17) for s in range(16)]
     for k, (name, body) in enumerate(files.items()):
         index = places.pop(0)
@@ -396,3 +397,365 @@ def acorn_dfs(files):
         disk[start * 256 : start * 256 + len(body)] = body
         start += -(-len(body) // 256)
     return bytes(disk)
+
+
+def atari_dos(files):
+    """files: {name: bytes} on a single-density disk."""
+    disk = bytearray(720 * 128)
+    disk[359 * 128 : 359 * 128 + 5] = b"\2" + struct.pack("<HH", 707, 700)
+    n = 10
+    for k, (name, body) in enumerate(files.items()):
+        pieces = [body[i : i + 125] for i in range(0, len(body), 125)] or [b""]
+        base, _, ending = name.partition(".")
+        disk[360 * 128 + 16 * k : 360 * 128 + 16 * k + 16] = struct.pack("<BHH8s3s", 0x42, len(pieces), n, base.ljust(8).encode(), ending.ljust(3).encode())
+        for i, piece in enumerate(pieces):
+            following = n + 1 if i + 1 < len(pieces) else 0
+            disk[128 * (n - 1) : 128 * n] = piece.ljust(125, b"\0") + bytes([k << 2 | following >> 8, following & 255, len(piece)])
+            n += 1 if n + 1 < 360 else 11  # past the directory
+    return bytes(disk)
+
+
+def rsdos(files):
+    """files: {name: bytes} on 35 tracks."""
+    disk = bytearray(35 * 18 * 256)
+    table, directory, granule = bytearray(b"\xff" * 68), bytearray(b"\xff" * 72 * 32), 0
+    for k, (name, body) in enumerate(files.items()):
+        base, _, ending = name.partition(".")
+        n, last = max(1, -(-len(body) // 2304)), len(body) % 2304 or (2304 if body else 0)
+        sectors, rest = (last - 1) // 256 + 1 if last else 1, (last - 1) % 256 + 1 if last else 0
+        directory[32 * k : 32 * k + 32] = struct.pack(">8s3sBBBH16x", base.ljust(8).encode(), ending.ljust(3).encode(), 1, 0, granule, rest)
+        for i in range(n):
+            at = ((granule // 2 + (granule // 2 >= 17)) * 18 + granule % 2 * 9) * 256
+            piece = body[2304 * i : 2304 * (i + 1)]
+            disk[at : at + len(piece)] = piece
+            table[granule] = granule + 1 if i + 1 < n else 0xC0 + sectors
+            granule += 1
+    disk[(17 * 18 + 1) * 256 : (17 * 18 + 1) * 256 + 68] = table
+    disk[(17 * 18 + 2) * 256 : (17 * 18 + 2) * 256 + len(directory)] = directory
+    return bytes(disk)
+
+
+def dragon_dos(files):
+    """files: {name: bytes} on 40 tracks of one side; every file is one extent."""
+    disk = bytearray(40 * 18 * 256)
+    home, lsn = 20 * 18 * 256, 18
+    disk[home + 0xFC : home + 0x100] = bytes([40, 18, 255 - 40, 255 - 18])
+    for k in range(160):
+        at = home + 512 + k // 10 * 256 + k % 10 * 25
+        disk[at] = 0x89
+        if k < len(files):
+            name, body = list(files.items())[k]
+            base, _, ending = name.partition(".")
+            n = -(-len(body) // 256)
+            lsn = 21 * 18 if lsn <= 20 * 18 < lsn + n + 18 else lsn
+            disk[at : at + 25] = b"\0" + base.ljust(8, "\0").encode() + ending.ljust(3, "\0").encode() + struct.pack(">HB", lsn, n) + bytes(9) + bytes([len(body) % 256])
+            disk[256 * lsn : 256 * lsn + len(body)] = body
+            lsn += n
+    return bytes(disk)
+
+
+def os9(files, sectors=630):
+    """files: {path: bytes or None for a folder}, folders first; every file is one segment."""
+    disk = bytearray(sectors * 256)
+    disk[0:3], disk[4:8], disk[8:11] = sectors.to_bytes(3, "big"), struct.pack(">HH", 79, 1), (2).to_bytes(3, "big")
+    homes, lsn = {"": 2} | {p: 3 + k for k, p in enumerate(files)}, 3 + len(files)
+
+    def put(fd, attributes, body):
+        nonlocal lsn
+        n = -(-len(body) // 256)
+        disk[256 * fd : 256 * fd + 21] = bytes([attributes, 0, 0, 124, 1, 2, 3, 4, 1]) + struct.pack(">I", len(body)) + bytes(3) + (lsn.to_bytes(3, "big") + struct.pack(">H", n) if n else bytes(5))
+        disk[256 * lsn : 256 * lsn + len(body)] = body
+        lsn += n
+
+    def name(text):
+        raw = text.encode("latin-1")
+        return (raw[:-1] + bytes([raw[-1] | 0x80])).ljust(29, b"\0")
+
+    for path in ["", *(p for p, body in files.items() if body is None)]:
+        own = b"".join(name(n) + homes[h].to_bytes(3, "big") for n, h in (("..", path.rpartition("/")[0]), (".", path)))
+        own += b"".join(name(p.rpartition("/")[2]) + homes[p].to_bytes(3, "big") for p in files if p.rpartition("/")[0] == path)
+        put(homes[path], 0xBF, own)
+    for path, body in files.items():
+        if body is not None:
+            put(homes[path], 0x1B, body)
+    return bytes(disk)
+
+
+def affs(files, fast=True, blocks=1760):
+    """files: {path: bytes or None for a folder}, folders first."""
+    disk, half = bytearray(512 * blocks), blocks // 2
+    disk[:4] = b"DOS" + bytes([int(fast)])
+    struct.pack_into(">I", disk, 8, half)
+    longs = lambda n, k, *v: struct.pack_into(f">{len(v)}i", disk, 512 * n + 4 * k, *v)
+    get = lambda n, k: struct.unpack_from(">i", disk, 512 * n + 4 * k)[0]
+    longs(half, 0, 2, 0, 0, 72)
+    longs(half, 127, 1)
+    homes, following = {"": half}, half + 1
+
+    def new():
+        nonlocal following
+        following += 1
+        return following
+
+    def link(folder, n, name):
+        h = len(name)
+        for c in name.upper().encode("latin-1"):
+            h = (h * 13 + c) & 0x7FF
+        slot = 6 + h % 72
+        longs(n, 124, get(folder, slot))
+        longs(folder, slot, n)
+
+    for path, body in files.items():
+        parent, _, name = path.rpartition("/")
+        n = homes[path] = new()
+        longs(n, 0, 2, n)
+        raw = name.encode("latin-1")
+        disk[512 * n + 432 : 512 * n + 433 + len(raw)] = bytes([len(raw)]) + raw
+        longs(n, 105, 1, 2, 150)
+        longs(n, 125, homes[parent])
+        longs(n, 127, 2 if body is None else -3)
+        if body is not None:
+            longs(n, 81, len(body))
+            room = 512 if fast else 488
+            pieces, table = [body[i : i + room] for i in range(0, len(body), room)], n
+            for k, piece in enumerate(pieces):
+                if k and k % 72 == 0:
+                    more = new()
+                    longs(table, 126, more)
+                    longs(more, 0, 16, more)
+                    longs(more, 127, -3)
+                    table = more
+                at = new()
+                head = b"" if fast else struct.pack(">IIIIII", 8, n, k + 1, len(piece), 0, 0)
+                disk[512 * at : 512 * at + len(head) + len(piece)] = head + piece
+                longs(table, 77 - k % 72, at)
+                longs(table, 2, k % 72 + 1)
+        link(homes[parent], n, name)
+    return bytes(disk)
+
+
+def cpm(files):
+    """files: {name: bytes} on a single-density eight-inch disk: blocks of 1024 bytes, 64 names."""
+    disk, k, block = bytearray(77 * 26 * 128), 0, 2
+    start = 2 * 26 * 128
+    disk[start : start + 2048] = b"\xe5" * 2048
+    for name, body in files.items():
+        base, _, ending = name.partition(".")
+        for extent in range(max(1, -(-len(body) // 16_384))):
+            piece = body[16_384 * extent : 16_384 * (extent + 1)]
+            numbers = list(range(block, block + -(-len(piece) // 1024)))
+            block += len(numbers)
+            disk[start + 32 * k : start + 32 * k + 32] = b"\0" + base.ljust(8).encode() + ending.ljust(3).encode() + bytes([extent, 0, 0, -(-len(piece) // 128)]) + bytes(numbers).ljust(16, b"\0")
+            if numbers:
+                disk[start + 1024 * numbers[0] : start + 1024 * numbers[0] + len(piece)] = piece
+            k += 1
+    return bytes(disk)
+
+
+def mfs(files, blocks=391, block=1024):
+    """files: {name: bytes} in the one directory of a 400 KB disk."""
+    disk, table, first = bytearray(400 << 10), [], 2
+    data_at = 16
+    entries = b""
+    for number, (name, body) in enumerate(files.items(), 16):
+        n = -(-len(body) // block)
+        raw = name.encode("mac_roman")
+        entry = struct.pack(">BB4s4s8xIHIIHIIII", 0x80, 0, b"TEXT", b"ttxt", number, first if n else 0, len(body), n * block, 0, 0, 0, 0, 0) + bytes([len(raw)]) + raw
+        entries += entry + bytes(len(entry) & 1)
+        disk[data_at * 512 + (first - 2) * block : data_at * 512 + (first - 2) * block + len(body)] = body
+        table += [*range(first + 1, first + n), 1] if n else []
+        first += n
+    struct.pack_into(">H", disk, 1024, 0xD2D7)
+    struct.pack_into(">HHHHI", disk, 1024 + 12, len(files), 4, 12, blocks, block)
+    struct.pack_into(">H", disk, 1024 + 28, data_at)
+    bits = "".join(f"{n:012b}" for n in table)
+    bits += "0" * (-len(bits) % 8)
+    disk[1024 + 64 : 1024 + 64 + len(bits) // 8] = bytes(int(bits[i : i + 8], 2) for i in range(0, len(bits), 8))
+    disk[4 * 512 : 4 * 512 + len(entries)] = entries  # of at most one block
+    return bytes(disk)
+
+
+def iso9660(files):
+    """files: {path: bytes or None for a folder}, folders first."""
+    folders, at = ["", *(p for p, b in files.items() if b is None)], 20
+    places = {}
+    for p in folders:
+        places[p], at = at, at + 1
+    for p, b in files.items():
+        if b is not None:
+            places[p], at = at, at + max(1, -(-len(b) // 2048))
+    disk = bytearray(at * 2048)
+
+    def record(name, start, size, folder):
+        raw = name if isinstance(name, bytes) else name.encode() + b"" if folder else name.encode() + b";1"
+        body = struct.pack("<IIII", 0, 0, 0, 0)
+        both = lambda v: struct.pack("<I", v) + struct.pack(">I", v)
+        body = bytes(2) + both(start) + both(size) + bytes([124, 1, 2, 3, 4, 5, 0]) + bytes([2 if folder else 0, 0, 0]) + struct.pack("<HHB", 1, 256, len(raw)) + raw
+        body = body[1:] + bytes(len(body) & 1)
+        return bytes([len(body) + 1]) + body
+
+    for p in folders:
+        own = record(b"\0", places[p], 2048, True) + record(b"\1", places[p.rpartition("/")[0]], 2048, True)
+        own += b"".join(record(q.rpartition("/")[2], places[q], 2048 if b is None else len(b), b is None) for q, b in files.items() if q.rpartition("/")[0] == p)
+        disk[places[p] * 2048 : places[p] * 2048 + len(own)] = own
+    for p, b in files.items():
+        if b is not None:
+            disk[places[p] * 2048 : places[p] * 2048 + len(b)] = b
+    disk[16 * 2048 : 16 * 2048 + 7] = b"\1CD001\1"
+    root = record(b"\0", places[""], 2048, True)
+    disk[16 * 2048 + 156 : 16 * 2048 + 156 + len(root)] = root
+    return bytes(disk)
+
+
+def raw_vhd(disk):
+    foot = bytearray(512)
+    foot[:8] = b"conectix"
+    struct.pack_into(">Q", foot, 48, len(disk))
+    struct.pack_into(">I", foot, 60, 2)
+    return disk + bytes(foot)
+
+
+def vmdk(disk, grain=128):
+    """A sparse extent of one table level."""
+    sectors, per = -(-len(disk) // 512), 512
+    tables = -(-sectors // (grain * per))
+    head = bytearray(512)
+    struct.pack_into("<4sIIQQQQIQQQ", head, 0, b"KDMV", 1, 3, sectors, grain, 0, 0, per, 0, 1, 0)
+    directory, table_at, at = [], 1 + -(-tables * 4 // 512), 1 + -(-tables * 4 // 512) + tables * (per * 4 // 512)
+    body, entries = b"", []
+    for t in range(tables):
+        directory.append(table_at + t * (per * 4 // 512))
+        for j in range(per):
+            k = t * per + j
+            piece = disk[k * grain * 512 : (k + 1) * grain * 512].ljust(grain * 512, b"\0")
+            if piece.count(0) == len(piece):
+                entries.append(0)
+            else:
+                entries.append(at + len(body) // 512)
+                body += piece
+    return bytes(head) + struct.pack(f"<{tables}I", *directory).ljust((table_at - 1) * 512, b"\0") + struct.pack(f"<{len(entries)}I", *entries) + body
+
+
+def twomg(disk):
+    return struct.pack("<4s4sHHIIIII", b"2IMG", b"TEST", 64, 1, 1, 0, len(disk) // 512, 64, len(disk)).ljust(64, b"\0") + disk
+
+
+def dc42(disk):
+    return (bytes([4]) + b"disk").ljust(64, b"\0") + struct.pack(">IIII", len(disk), 0, 0, 0) + b"\0\0\1\0" + disk
+
+
+def dmg(disk, sectors=64):
+    """A compressed image: pieces of zlib, bzip2, raw and zeros in turn."""
+    import bz2
+    import plistlib
+    import zlib
+
+    body, runs = b"", []
+    for k, at in enumerate(range(0, len(disk), sectors * 512)):
+        piece = disk[at : at + sectors * 512]
+        if piece.count(0) == len(piece):
+            kind, packed = 0, b""
+        else:
+            kind, packed = ((0x80000005, zlib.compress(piece)), (0x80000006, bz2.compress(piece)), (1, piece))[k % 3]
+        runs.append(struct.pack(">IIQQQQ", kind, 0, at // 512, len(piece) // 512, len(body), len(packed)))
+        body += packed
+    runs.append(struct.pack(">IIQQQQ", 0xFFFFFFFF, 0, len(disk) // 512, 0, len(body), 0))
+    mish = struct.pack(">4sIQQQ", b"mish", 1, 0, len(disk) // 512, 0).ljust(200, b"\0") + struct.pack(">I", len(runs)) + b"".join(runs)
+    plist = plistlib.dumps({"resource-fork": {"blkx": [{"Data": mish, "Name": "disk"}]}})
+    koly = bytearray(512)
+    koly[:4] = b"koly"
+    struct.pack_into(">QQ", koly, 24, 0, len(body))
+    struct.pack_into(">QQ", koly, 216, len(body), len(plist))
+    struct.pack_into(">Q", koly, 492, len(disk) // 512)
+    return body + plist + bytes(koly)
+
+
+def edsk(disk, tracks=40, sectors=9):
+    """One side of sectors of 512 bytes, stored in an interleaved order."""
+    order = [*range(1, sectors + 1, 2), *range(2, sectors + 1, 2)]
+    size = 256 + sectors * 512
+    out = b"EXTENDED CPC DSK File\r\nDisk-Info\r\n".ljust(48, b"\0") + bytes([tracks, 1, 0, 0]) + bytes([size >> 8] * tracks)
+    out = out.ljust(256, b"\0")
+    for t in range(tracks):
+        head = b"Track-Info\r\n".ljust(16, b"\0") + bytes([t, 0, 0, 0, 2, sectors, 0x4E, 0xE5]) + b"".join(bytes([t, 0, 0xC0 + n, 2, 0, 0]) + struct.pack("<H", 512) for n in order)
+        out += head.ljust(256, b"\0") + b"".join(disk[(t * sectors + n - 1) * 512 : (t * sectors + n) * 512].ljust(512, b"\0") for n in order)
+    return out
+
+
+#: The five bits that record a nibble on Commodore disks.
+GCR = (0b01010, 0b01011, 0b10010, 0b10011, 0b01110, 0b01111, 0b10110, 0b10111, 0b01001, 0b11001, 0b11010, 0b11011, 0b01101, 0b11101, 0b11110, 0b10101)
+
+
+def g64(disk):
+    """The tracks of a 35-track disk as recorded bits."""
+    per = [21] * 17 + [19] * 7 + [18] * 6 + [17] * 5
+    gcr = lambda raw: "".join(f"{GCR[b >> 4]:05b}{GCR[b & 15]:05b}" for b in raw)
+    tracks, at = [], 0
+    for t, n in enumerate(per, 1):
+        bits = "01010101" * 3
+        for s in range(n):
+            body = disk[at : at + 256]
+            at += 256
+            check = 0
+            for b in body:
+                check ^= b
+            bits += "1" * 40 + gcr(bytes([8, s ^ t ^ 0x41 ^ 0x42, s, t, 0x42, 0x41, 15, 15])) + "01010101" * 9 + "1" * 40 + gcr(bytes([7, *body, check, 0, 0])) + "01010101" * 8
+        bits += "0" * (-len(bits) % 8)
+        tracks.append(bytes(int(bits[i : i + 8], 2) for i in range(0, len(bits), 8)))
+    offsets, body, at = [], b"", 12 + 84 * 8
+    for raw in tracks:
+        offsets += [at + len(body), 0]
+        body += struct.pack("<H", len(raw)) + raw
+    offsets += [0] * (84 - len(offsets))
+    return b"GCR-1541\0" + bytes([84]) + struct.pack("<H", 7928) + struct.pack("<84I", *offsets) + struct.pack("<84I", *[3] * 84) + body
+
+
+def chd(disk, hunk=4096):
+    """Version 5; hunks are deflated, stored, or repeat an earlier one."""
+    import zlib
+
+    hunks = [disk[i : i + hunk].ljust(hunk, b"\0") for i in range(0, len(disk), hunk)]
+    kinds, body, seen, start = [], b"", {}, 124
+    bits = ""
+    for k, piece in enumerate(hunks):
+        if piece in seen:
+            kinds.append((5, seen[piece], 0))
+            continue
+        seen[piece] = k
+        packer = zlib.compressobj(9, zlib.DEFLATED, -15)
+        packed = packer.compress(piece) + packer.flush()
+        if len(packed) < hunk and k % 5:
+            kinds.append((0, len(packed), 0))
+            body += packed
+        else:
+            kinds.append((4, 0, 0))
+            body += piece
+    for _ in range(16):
+        bits += f"{4:04b}"  # all codes have four bits
+    for kind, _, _ in kinds:
+        bits += f"{kind:04b}"
+    for kind, value, _ in kinds:
+        bits += f"{value:024b}" + "0" * 16 if kind == 0 else "0" * 16 if kind == 4 else f"{value:016b}"
+    bits += "0" * (-len(bits) % 8)
+    packed_map = bytes(int(bits[i : i + 8], 2) for i in range(0, len(bits), 8))
+    header = struct.pack(">8sII4s4s4s4sQQQII", b"MComprHD", 124, 5, b"zlib", b"\0" * 4, b"\0" * 4, b"\0" * 4, len(disk), start + len(body), 0, hunk, 512).ljust(124, b"\0")
+    return header + body + struct.pack(">I", len(packed_map)) + start.to_bytes(6, "big") + struct.pack(">HBBBB", 0, 24, 16, 0, 0) + packed_map
+
+
+def partclone(disk, block=4096, per=3):
+    """Version 2: used blocks only, a checksum behind every few of them."""
+    import zlib
+
+    blocks = [disk[i : i + block].ljust(block, b"\0") for i in range(0, len(disk), block)]
+    used = [b.count(0) != len(b) for b in blocks]
+    bitmap = bytearray(-(-len(blocks) // 8))
+    for k, u in enumerate(used):
+        bitmap[k // 8] |= u << k % 8
+    head = b"partclone-image\0" + b"0.3.0".ljust(14, b"\0") + b"0002" + struct.pack("<H", 0xC0DE)
+    head += b"RAW".ljust(16, b"\0") + struct.pack("<QQQQI", len(disk), len(blocks), sum(used), sum(used), block)
+    head += struct.pack("<IHHHHIBB", 18, 2, 64, 32, 4, per, 1, 1)
+    head += struct.pack("<I", zlib.crc32(head))
+    body = b""
+    for n, piece in enumerate((b for b, u in zip(blocks, used) if u), 1):
+        body += piece + (struct.pack("<I", zlib.crc32(piece)) if n % per == 0 else b"")
+    return head + bytes(bitmap) + struct.pack("<I", zlib.crc32(bytes(bitmap))) + body

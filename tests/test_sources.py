@@ -4,10 +4,10 @@ import subprocess
 
 import pytest
 
-from platterlake.sources import archives, containers, filesystems, partitions, readers, sniff
+from platterlake.sources import archives, containers, filesystems, partitions, ranged, readers, sniff
 from platterlake.sources.filesystems import Entry
 from pyspark.sql import functions as F
-from tests import images
+from platterlake.sources import samples as images
 
 FILES = {"/HELLO.TXT": b"Hello, FAT!", "/SUBDIR": None, "/SUBDIR/NESTED.TXT": b"nested file" * 200, "/EMPTY.DAT": b""}
 
@@ -89,7 +89,7 @@ def test_partitions_blocks_and_probe(spark, folder):
     assert sorted((r.image_id.rsplit("/", 1)[1], r.part_index, r.type_name) for r in parts) == [(n, i, t) for n in ("disk.img", "disk.img.gz", "disk.vhd") for i, t in ((0, "FAT12"), (1, "Linux"))]
     blocks = readers.read_blocks(spark, folder, 4096, "disk.*").groupBy("block_no").agg(F.count_distinct("bytes").alias("n"), F.count(F.lit(1)).alias("images")).collect()
     assert blocks and all(r.n == 1 and r.images == 3 for r in blocks)
-    probed = {r.path.rsplit("/", 1)[1]: (r.container, r.scheme, r.fs_type) for r in sniff.probe(spark, folder).collect()}
+    probed = {r.path.rsplit("/", 1)[1]: (r.container, r.scheme, r.fs_type) for r in readers.probe(spark, folder).collect()}
     assert probed["floppy.img"] == ("raw", "none", "fat") and probed["disk.img"][:2] == ("raw", "mbr") and probed["disk.vhd"][0] == "vhd-dynamic" and probed["files.tar"][0] == "tar"
 
 
@@ -104,7 +104,82 @@ def test_sniff_rules_agree(spark):
     wrapped[1148:1150] = b"H+"
     rows.append(("hfsplus", bytes(wrapped)))
     got = spark.createDataFrame(rows, "name string, data binary").select("name", sniff.filesystem(F.col("data")).alias("found")).collect()
-    assert [r.name for r in got] == [r.found for r in got] == [filesystems.sniff(d) for _, d in rows]
+    assert [r.name for r in got] == [r.found for r in got] == [sniff.filesystem_of(d) for _, d in rows]
+
+
+class Counted(ranged.Source):
+    """A sparse disk of given pieces that counts what is read of it."""
+
+    def __init__(self, size, pieces):
+        self.size, self.pieces, self.taken = size, pieces, 0
+
+    def __len__(self):
+        return self.size
+
+    def read(self, start, size):
+        self.taken += size
+        out = bytearray(size)
+        for at, piece in self.pieces:
+            low, high = max(start, at), min(start + size, at + len(piece))
+            if low < high:
+                out[low - start : high - start] = piece[low - at : high - at]
+        return bytes(out)
+
+
+def test_only_ranges_of_large_images_are_read():
+    volume = images.fat12(FILES)
+    start = 5 << 30
+    disk = images.gpt([("EBD0A0A2-B9E5-4433-87C0-68B6B72699C7", 2048, b"", "data")], 1 << 20)
+    table = bytearray(disk[:34 * 512])
+    import struct
+
+    struct.pack_into("<QQ", table, 1024 + 32, start // 512, start // 512 + len(volume) // 512)
+    big = Counted(8 << 30, [(0, bytes(table)), (start, volume)])
+    found = [e for v in readers._volumes("x.img", big) for e in readers._volume_rows(*v, big, True, None)]
+    assert {r[3]: r[-1] for r in found if r[6] == "file"} == {p: b for p, b in FILES.items() if b is not None}
+    assert big.taken < 4 << 20
+    assert sniff.filesystem_of(big) is None and partitions.detect(readers._reader(big)) == "gpt"
+
+
+def test_files_are_read_by_blocks(tmp_path):
+    data = bytes(range(256)) * 4096
+    (tmp_path / "a b.bin").write_bytes(data)
+    f = ranged.open_file(f"file://{tmp_path}/a%20b.bin")
+    assert len(f) == len(data) and f[5:9] == data[5:9] and f[65530:65550] == data[65530:65550] and f[-3:] == data[-3:] and f[len(data) - 1] == data[-1] and f[:] == data
+    assert f[len(data) :] == b"" and ranged.View(f, 10, 20)[5:] == data[15:30] and ranged.reachable("s3a://b/k") and not ranged.reachable("viewfs://x/y")
+
+
+def test_carving_joins_runs_across_windows():
+    import random
+
+    rnd = random.Random(3)
+    data = bytes(rnd.choice(b"ab\0\1") if rnd.random() < 0.1 else 97 for _ in range(5000))
+    whole = list(filesystems.Carve(data, 10).runs())
+    assert whole and all(list(filesystems.Carve(data, 10).runs(w)) == whole for w in (1, 7, 64, 999))
+
+
+def test_floppies_are_told_by_size_and_structure(spark):
+    cases = []
+
+    def disk(name, size, *pieces):
+        data = bytearray(size)
+        for at, piece in pieces:
+            data[at : at + len(piece)] = piece
+        cases.append((name, bytes(data)))
+
+    disk("ataridos", 92_160, (359 * 128, b"\2" + (707).to_bytes(2, "little") + (600).to_bytes(2, "little")))
+    disk(None, 92_161, (359 * 128, b"\2" + (707).to_bytes(2, "little") + (600).to_bytes(2, "little")))
+    disk("dragondos", 40 * 18 * 256, (20 * 18 * 256 + 0xFC, bytes([40, 18, 215, 237])))
+    disk("cbmdos", 174_848, (0x16500, b"\x12\x01A"), (0x165A5, b"2A"))
+    disk("acorndfs", 102_400, (262, b"\1\x90"))
+    disk("os9", 35 * 18 * 256, (0, (630).to_bytes(3, "big")), (4, b"\0\x4f\0\1"), (8, b"\0\0\2"), (512, b"\xbf"), (521, b"\0\0\0\x40"), (528, b"\0\0\3\0\7"))
+    disk("rsdos", 35 * 18 * 256, (307 * 256, b"\xff" * 68), (308 * 256, b"\xff" * 32))
+    disk("adfs", 4096, (0xDC0, bytes([9, 10, 2, 2, 15, 0, 0, 0, 0, 1])))
+    disk("andos", 1024, (0xE0, b"ANDOS"))
+    disk("qdos_mdv", 255 * 686, (10, b"\0\xff\xff\0MYCART    "))
+    disk("applesdos33", 143_360, (0x11001, b"\x11\x0f\3"), (0x11027, b"\x7a"), (0x11034, b"\x23\x10\0\1"))
+    got = spark.createDataFrame([(i, d) for i, (_, d) in enumerate(cases)], "i int, d binary").select("i", sniff.filesystem(F.col("d")).alias("fs")).orderBy("i").collect()
+    assert [r.fs for r in got] == [n for n, _ in cases] == [sniff.filesystem_of(d) for _, d in cases]
 
 
 def test_other_filesystems():
@@ -193,3 +268,100 @@ def test_text_behind_ten_mebibytes_is_carved(spark, tmp_path):
     readers.register(spark)
     rows = lambda **o: {r.path for r in spark.read.format("fsentries").options(**o).load(str(tmp_path)).collect()}
     assert at in rows() and "/truncated" in rows(carve_limit=1 << 20)
+
+
+def body(n, seed=0):
+    import random
+
+    return random.Random(n + seed).randbytes(n)
+
+
+TREE = {"/DIR": None, "/HELLO.TXT": b"Hello there", "/DIR/BIG.BIN": body(9000), "/DIR/EMPTY": b"", "/ODD": body(777)}
+FLAT = {"HELLO.TXT": b"Hello there", "BIG.BIN": body(5000), "ODD": body(777)}
+
+
+@pytest.mark.parametrize(("name", "disk"), [("os9", images.os9(TREE)), ("affs", images.affs(TREE)), ("affs", images.affs(TREE | {"/HUGE": body(60_000)}, fast=False)), ("iso9660", images.iso9660(TREE))])
+def test_trees(name, disk):
+    fs, found = filesystems.entries(disk, True)
+    got = {e.path: e for e in found}
+    want = TREE | ({"/HUGE": body(60_000)} if "/HUGE" in got else {})
+    assert fs == name and {p: e.content for p, e in got.items()} == want
+    assert got["/DIR"].kind == "directory" and got["/DIR/BIG.BIN"].size == 9000
+    if name == "affs":
+        assert got["/ODD"].modified == "1978-01-02 00:02:03"
+
+
+@pytest.mark.parametrize(("name", "disk"), [("ataridos", images.atari_dos(FLAT)), ("rsdos", images.rsdos(FLAT)), ("dragondos", images.dragon_dos(FLAT)), ("mfs", images.mfs(FLAT))])
+def test_flat_volumes(name, disk):
+    fs, found = filesystems.entries(disk, True)
+    assert fs == name and {e.path[1:]: e.content for e in found} == FLAT
+
+
+def test_cpm_with_a_given_layout():
+    from platterlake.sources.floppies import CpM
+
+    files = {"A.COM": body(20_000), "B": body(300)}
+    got = {e.path[1:]: e.content for e in CpM(images.cpm(files)).entries(True)}
+    assert {n: c[: len(files[n])] for n, c in got.items()} == files and all(len(c) % 128 == 0 for c in got.values())
+
+
+def test_more_containers_give_the_same_bytes():
+    disk = images.mbr([(0x06, 63, images.fat12(FILES), False)], 3 << 20)
+    small, flat = images.d64(FLAT), body(40 * 9 * 512)
+    for made, path, want in (
+        (images.raw_vhd(disk), "a.vhd", disk), (images.vmdk(disk), "a.vmdk", disk), (images.twomg(disk), "a.2mg", disk), (images.dc42(disk), "a.dsk", disk), (images.dmg(disk), "a.dmg", disk),
+        (images.chd(disk), "a.chd", disk), (images.partclone(disk), "a.img", disk), (images.edsk(flat), "a.dsk", flat), (images.g64(small), "a.g64", small[: 683 * 256]),
+    ):
+        assert containers.flat(made, path) == want, path
+    import pyarrow as pa
+
+    out = pa.BufferOutputStream()
+    with pa.CompressedOutputStream(out, "lz4") as z:
+        z.write(disk)
+    assert containers.flat(out.getvalue().to_pybytes(), "a.lz4") == disk
+    assert containers._adc(b"\x82abc\x00\x02\x41\x00\x05") == b"abcabc" + b"abcab"
+
+
+def test_allocation_maps_and_checks(spark, tmp_path):
+    from platterlake.operators import checks
+
+    disk = bytearray(images.fat12(FILES))
+    fs, unit, runs = filesystems.allocation(bytes(disk))
+    runs = list(runs)
+    used = sum(n for _, n, u in runs if u)
+    assert (fs, unit) == ("fat", 512) and used == 1 + 1 + -(-len(FILES["/SUBDIR/NESTED.TXT"]) // 512) and sum(n for _, n, _ in runs) == 2847
+    (tmp_path / "good.img").write_bytes(disk)
+    assert checks.check_images(spark, str(tmp_path)).count() == 0
+    first = next(e for e in filesystems.entries(bytes(disk))[1] if e.path == "/HELLO.TXT").extents[0][0]
+    at = 512 + first * 3 // 2  # the cluster of a file of one cluster is called free
+    pair = int.from_bytes(disk[at : at + 2], "little")
+    disk[at : at + 2] = (pair & 0x000F if first & 1 else pair & 0xF000).to_bytes(2, "little")
+    (tmp_path / "bad.img").write_bytes(disk)
+    assert [(r.image_id.rsplit("/", 1)[1], r.code, r.message) for r in checks.check_images(spark, str(tmp_path)).collect()] == [("bad.img", "ReferencedButFree", f"extent {first} of /HELLO.TXT")]
+    rows = readers.read_allocation(spark, str(tmp_path)).groupBy("image_id").agg(F.sum("blocks").alias("n")).collect()
+    assert [r.n for r in rows] == [2847, 2847]
+
+
+def test_catalog_records_feed_the_checks(spark, tmp_path):
+    from platterlake.operators import checks
+
+    (tmp_path / "mac.img").write_bytes(images.hfs({"/Folder": None, "/Folder/a": b"x", "/b": b"y"}))
+    rows = readers.read_catalog(spark, str(tmp_path)).collect()
+    assert {(r.record, r.name) for r in rows} == {("directory", "Folder"), ("file", "a"), ("file", "b")}
+    codes = {r.code for r in checks.check_catalog(*checks.catalog_relations(readers.read_catalog(spark, str(tmp_path)))).collect()}
+    # the sample has no threads, no root folder, and stores no valences
+    assert codes == {"MissingDirThread", "MissingParent", "ParentValenceMismatch"}
+
+
+def test_runs_of_bitmaps():
+    import random
+
+    from platterlake.sources.entries import runs_of_bits
+
+    rnd = random.Random(2)
+    for count in (0, 1, 8, 9, 40_001, 100_000):
+        bits = [rnd.random() < 0.5 if rnd.random() < 0.1 else i % 5000 < 3000 for i in range(count)]
+        for high in (False, True):
+            raw = bytes(sum(b << (7 - k if high else k) for k, b in enumerate(bits[i : i + 8])) for i in range(0, count, 8))
+            found = list(runs_of_bits(raw, count, 7, high))
+            assert [u for _, n, u in found for _ in range(n)] == bits and all(a[0] + a[1] == b[0] for a, b in zip(found, found[1:]))
