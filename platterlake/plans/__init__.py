@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("catalog", "relations")
+MODULES = ("catalog", "relations", "scalars", "volumes")
 
 
 def queries() -> dict:

@@ -29,9 +29,9 @@ def ls_folders_first(spark, sf_dir):
     return listing.sort_listing(found, F.lower("path"), F.endswith("path", F.lit("/")), F.col("page_id"))
 
 
-@R.add("SELECT page_id, url FROM pages WHERE regexp_matches(url, '^https?://[^/]*/en/[^/]*$')")
+@R.add(f"SELECT page_id, regexp_full_match(lower(path), '/[^/]n/.*') AS hit FROM {FILES}")
 def glob_filter(spark, sf_dir):
-    return read(spark, sf_dir, "pages").where(F.col("url").rlike("^https?://[^/]*/en/[^/]*$")).select("page_id", "url")
+    return files(spark, sf_dir).select("page_id", glob.matches(F.col("path"), "/?N/**").alias("hit"))
 
 
 @R.add(f"SELECT page_id, path FROM {FILES} WHERE regexp_matches(lower(path), '/(en|fr)/[^/]*$') AND NOT regexp_matches(lower(path), '[.]html$')")
@@ -44,9 +44,9 @@ def glob_anchored(spark, sf_dir):
     return glob.select(files(spark, sf_dir), "/de/**/[0-9]?{,?}", ignore_case=False).select("page_id", "path")
 
 
-@R.add(f"SELECT page_id, size FROM {FILES} WHERE path = '/en/853/' OR path = '/en/960'")
+@R.add(f"SELECT page_id, size FROM {FILES} WHERE rtrim(path, '/') IN ('/en/853', '/en/960', '/de/1', '/es/17')")
 def path_lookup(spark, sf_dir):
-    return files(spark, sf_dir).where(F.col("path").isin("/en/853/", "/en/960")).select("page_id", "size")
+    return glob.lookup(files(spark, sf_dir), ["/en/853/", "en//960", "/de/1", "/es/17/"]).select("page_id", "size")
 
 
 @R.add("SELECT n_nationkey, n_name, n_regionkey = 0 AS is_dir FROM nation ORDER BY is_dir DESC, lower(n_name)")
@@ -73,7 +73,7 @@ t AS (SELECT node, node AS root, 0 AS depth, [node] AS path FROM e WHERE parent
 SELECT node, root, CAST(depth AS INTEGER) AS depth, array_to_string(path, '/') AS path FROM t""")
 def tree_closure(spark, sf_dir):
     rows = read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("node"), F.expr("CASE WHEN n_nationkey > 0 THEN CAST(floor((n_nationkey - 1) / 3) AS BIGINT) END").alias("parent"))
-    found = listing.closure(rows, "node", "parent", 32)
+    found = listing.closure(rows, "node", "parent")
     return found.withColumn("path", F.array_join(F.transform("path", lambda x: x.cast("string")), "/"))
 
 
@@ -90,9 +90,9 @@ def type_tag(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", names.type_tag(kind, F.col("p_name"), none.cast("string"), none.cast("string"), none.cast("int"), mode).alias("tag"))
 
 
-@R.add("SELECT p_partkey, printf('%o', p_partkey) AS octal FROM part")
+@R.add("SELECT p_partkey, lpad(printf('%o', p_partkey * 37 & 4095), 4, '0') AS octal FROM part")
 def octal_mode(spark, sf_dir):
-    return read(spark, sf_dir, "part").select("p_partkey", F.conv(F.col("p_partkey").cast("string"), 10, 8).alias("octal"))
+    return read(spark, sf_dir, "part").select("p_partkey", names.octal_mode(F.col("p_partkey").cast("long") * 37).alias("octal"))
 
 
 _BIT = "CASE WHEN m & {b} != 0 THEN '{c}' ELSE '-' END"
@@ -116,9 +116,13 @@ def sanitized_names(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", names.sanitize(F.concat("p_name", F.lit(" / "), "p_type")).alias("name"))
 
 
-@R.add("SELECT doc_id, length(text) AS n, replace(replace(left(text, 80), chr(10), chr(9226)), chr(9), chr(9225)) AS shown FROM documents")
+_CONTROLS = [*range(1, 32), 127]
+_FROM, _TO = " || ".join(f"chr({c})" for c in _CONTROLS), " || ".join(f"chr({0x2421 if c == 127 else 0x2400 + c})" for c in _CONTROLS)
+
+
+@R.add(f"SELECT doc_id, length(text) AS n, translate(text, {_FROM}, {_TO}) AS shown FROM documents")
 def display_names(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", F.length("text").cast("long").alias("n"), names.control_pictures(F.substring("text", 1, 80)).alias("shown"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.length("text").cast("long").alias("n"), names.control_pictures(F.col("text")).alias("shown"))
 
 
 @R.add("""SELECT doc_id, i - 1 AS ordinal, run FROM (SELECT doc_id, unnest(r) AS run, unnest(range(1, len(r) + 1)) AS i
@@ -128,21 +132,23 @@ def carve_runs(spark, sf_dir):
     return found.select("doc_id", F.col("ordinal").cast("long").alias("ordinal"), "run")
 
 
-@R.add("SELECT doc_id, length(regexp_replace(text, '[^ -~]', '', 'g')) AS n FROM documents")
+@R.add("SELECT doc_id, length(regexp_replace(text, '[^\\t\\n\\r -~]', '', 'g')) AS n FROM documents")
 def printable_length(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", F.length(F.regexp_replace("text", "[^ -~]", "")).cast("long").alias("n"))
+    return read(spark, sf_dir, "documents").select("doc_id", carve.text_bytes(F.col("text")).alias("n"))
 
 
-@R.add("""SELECT event_id, CASE WHEN t LIKE '{%' AND contains(rtrim(t), chr(10)) THEN 'jsonl' WHEN t LIKE '{%' OR t LIKE '[%' THEN 'json' ELSE 'txt' END AS kind
-FROM (SELECT event_id, CASE event_id % 4 WHEN 0 THEN props WHEN 1 THEN props || chr(10) || props WHEN 2 THEN '[' || props || ']' ELSE event_type END AS t FROM events)""")
+@R.add(r"""SELECT event_id, CASE WHEN first = '{' AND regexp_matches(t, '(?s).\n[^\n]') THEN 'jsonl' WHEN first IN ('{', '[') THEN 'json' ELSE 'txt' END AS kind
+FROM (SELECT *, regexp_extract(left(t, 128), '^[ \t\n\r\f]*([^ \t\n\r\f])', 1) AS first FROM (SELECT event_id, CASE event_id % 6 WHEN 0 THEN props WHEN 1 THEN props || chr(10) || props WHEN 2 THEN chr(10) || ' [' || props || ']' WHEN 3 THEN event_type WHEN 4 THEN props || chr(10) || chr(10) ELSE chr(10) || props END AS t FROM events))""")
 def text_kind(spark, sf_dir):
-    k = F.col("event_id") % 4
-    text = F.when(k == 0, F.col("props")).when(k == 1, F.concat("props", F.lit("\n"), "props")).when(k == 2, F.concat(F.lit("["), "props", F.lit("]"))).otherwise(F.col("event_type"))
+    k, line = F.col("event_id") % 6, F.lit("\n")
+    text = F.when(k == 0, F.col("props")).when(k == 1, F.concat("props", line, "props")).when(k == 2, F.concat(line, F.lit(" ["), "props", F.lit("]"))).when(k == 3, F.col("event_type"))
+    text = text.when(k == 4, F.concat("props", line, line)).otherwise(F.concat(line, "props"))
     return read(spark, sf_dir, "events").select("event_id", names.text_kind(text).alias("kind"))
 
 
 @R.add("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
 def json_field(spark, sf_dir):
+    """Extension: a field of JSON text."""
     return read(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
 
 

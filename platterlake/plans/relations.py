@@ -10,18 +10,13 @@ from platterlake.plans.common import Registry, read
 
 R = Registry()
 
-for _name, _f, _sql in (("sha256", lambda c: F.sha2(c, 256), "sha256"), ("md5", F.md5, "md5"), ("sha1", F.sha1, "sha1")):
+for _kind in ("sha256", "md5", "sha1"):
 
-    def _digest(spark, sf_dir, f=_f):
-        return read(spark, sf_dir, "documents").select("doc_id", f("text").alias("digest"))
+    def _digest(spark, sf_dir, kind=_kind):
+        return read(spark, sf_dir, "documents").select("doc_id", digests.one(F.col("text"), kind).alias("digest"))
 
-    _digest.__name__ = f"digest_{_name}"
-    R.add(f"SELECT doc_id, {_sql}(text) AS digest FROM documents")(_digest)
-
-
-@R.add()
-def digest_crc32(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", *digests.four(F.col("text")))
+    _digest.__name__ = f"digest_{_kind}"
+    R.add(f"SELECT doc_id, {_kind}(text) AS digest FROM documents")(_digest)
 
 
 @R.add("SELECT source, CAST(sum(octet_length(encode(text))) AS BIGINT) AS size, sha256(string_agg(text, '' ORDER BY doc_id)) AS sha256, md5(string_agg(text, '' ORDER BY doc_id)) AS md5 FROM documents GROUP BY source")
@@ -48,7 +43,7 @@ def verify_backup(spark, sf_dir):
 
 @R.add("SELECT CAST(sum(ceil(n_chars / 512.0)) AS BIGINT) AS chunks FROM documents")
 def chunk_count(spark, sf_dir):
-    return read(spark, sf_dir, "documents").agg(F.sum(F.ceil(F.col("n_chars") / 512)).alias("chunks"))
+    return read(spark, sf_dir, "documents").agg(F.sum(sizes.units(F.col("n_chars"), 512)).alias("chunks"))
 
 
 @R.add("SELECT source, CAST(sum(ceil(octet_length(encode(text)) / 512.0) * 512) AS BIGINT) AS bytes FROM documents GROUP BY source")
@@ -58,7 +53,7 @@ def allocated_bytes(spark, sf_dir):
 
 @R.add("SELECT count(DISTINCT sha256(text)) AS n FROM documents")
 def distinct_content(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select(F.count_distinct(F.sha2("text", 256)).alias("n"))
+    return digests.distinct_contents(read(spark, sf_dir, "documents"), F.col("text"))
 
 
 _DIFF = """SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN a.doc_id IS NULL THEN 'added' WHEN b.doc_id IS NULL THEN 'removed' WHEN a.n IS NOT DISTINCT FROM b.n THEN 'unchanged' ELSE 'modified' END AS state
@@ -115,13 +110,13 @@ def conflict_skip(spark, sf_dir):
 
 @R.add("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
 def name_collision(spark, sf_dir):
-    return read(spark, sf_dir, "customer").join(read(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")
+    return diff.collisions(read(spark, sf_dir, "customer").select("c_custkey"), read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
 
 
 @R.add("SELECT n_name, CASE WHEN r_regionkey IS NULL THEN 'original' ELSE r_name END AS choice FROM nation LEFT JOIN (SELECT * FROM region WHERE r_regionkey < 3) ON n_regionkey = r_regionkey")
 def size_choice_lookup(spark, sf_dir):
-    chosen = read(spark, sf_dir, "region").where("r_regionkey < 3")
-    return read(spark, sf_dir, "nation").join(chosen, F.col("n_regionkey") == F.col("r_regionkey"), "left").select("n_name", F.coalesce("r_name", F.lit("original")).alias("choice"))
+    chosen = read(spark, sf_dir, "region").where("r_regionkey < 3").select(F.col("r_regionkey").alias("n_regionkey"), F.col("r_name").alias("choice"))
+    return layout.size_choices(read(spark, sf_dir, "nation").select("n_name", "n_regionkey"), chosen, "n_regionkey").select("n_name", "choice")
 
 
 @R.add("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -135,10 +130,10 @@ def valence(spark, sf_dir):
     return checks.counts_differ(parents, "c_custkey", "stored", read(spark, sf_dir, "orders"), "o_custkey").select("c_custkey", "found")
 
 
-@R.add("""SELECT event_id, previous FROM (SELECT event_id, user_id, ts, max(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS previous FROM events) WHERE previous >= event_id""")
+@R.add("""SELECT event_id, previous FROM (SELECT event_id, event_id % 97 AS k, lag(event_id % 97) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS previous FROM events) WHERE previous >= k""")
 def key_order(spark, sf_dir):
-    rows = read(spark, sf_dir, "events").withColumn("place", F.struct("ts", "event_id"))
-    return checks.out_of_order(rows, ["user_id"], "place", "event_id").select("event_id", "previous")
+    rows = read(spark, sf_dir, "events").withColumn("place", F.struct("ts", "event_id")).withColumn("k", F.col("event_id") % 97)
+    return checks.out_of_order(rows, ["user_id"], "place", "k").select("event_id", "previous")
 
 
 @R.add("""SELECT event_id FROM (SELECT event_id, ts, max(ts + INTERVAL 10 MINUTE) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM events) WHERE ts < before""")
@@ -192,7 +187,8 @@ _ORDER = "l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_qua
 
 @R.add(f"SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_extendedprice, sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY {_ORDER} ROWS UNBOUNDED PRECEDING) AS running FROM lineitem")
 def prefix_sum(spark, sf_dir):
-    return read(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", f"sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY {_ORDER} ROWS UNBOUNDED PRECEDING) AS running")
+    rows = layout.running(read(spark, sf_dir, "lineitem"), ["l_orderkey"], _ORDER.split(", "), "l_quantity", "running")
+    return rows.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "running")
 
 
 @R.add("""WITH c AS (SELECT *, CASE WHEN lag(event_type) OVER w = event_type THEN 0 ELSE 1 END AS c FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
@@ -298,6 +294,7 @@ def rolling_rate(spark, sf_dir):
 
 @R.add("SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS n FROM events")
 def rolling_window(spark, sf_dir):
+    """Extension: a window by time."""
     return read(spark, sf_dir, "events").selectExpr("event_id", "count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS n")
 
 
