@@ -496,4 +496,59 @@ def alias_targets(spark, sf_dir):
     return rows.select("n_nationkey", resource.alias_target(F.col("fork")).alias("target"))
 
 
+@R.add("SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS text FROM events")
+def host_times(spark, sf_dir):
+    return read(spark, sf_dir, "events").select("event_id", selection.modified_text(F.col("ts")).alias("text"))
+
+
+@R.add("""SELECT p_partkey, concat_ws('-', CASE WHEN b >= 1000000000 THEN (b + 500000000) // 1000000000 || 'GB' ELSE (b + 500000) // 1000000 || 'MB' END, CASE WHEN p_partkey % 3 = 0 THEN 'my-disk' ELSE trim(regexp_replace(p_name, '[^A-Za-z0-9_]+', '-', 'g'), '-') END, '2024-05-06-0708') AS name
+FROM (SELECT *, CAST(p_partkey * 7000003 AS BIGINT) AS b FROM part)""")
+def backup_names(spark, sf_dir):
+    label = F.when(F.col("p_partkey") % 3 == 0, " my disk! ").when(F.col("p_partkey") % 3 == 1, "  ")
+    at = F.to_timestamp(F.lit("2024-05-06 07:08:09"))
+    return read(spark, sf_dir, "part").select("p_partkey", backup.backup_name(F.col("p_partkey").cast("long") * 7_000_003, label, F.col("p_name"), at).alias("name"))
+
+
+_LAID = "(SELECT n_regionkey, n_nationkey, n_nationkey % 2 = 1 AS logical, CAST((n_nationkey + 1) * 700 * 512 AS BIGINT) AS size, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey % 2, n_nationkey) AS k FROM nation)"
+
+
+@R.add(f"""WITH RECURSIVE t AS {_LAID},
+p AS (SELECT n_regionkey, n_nationkey, logical, k, size, CAST(CASE WHEN logical THEN 4096 ELSE 2048 END AS BIGINT) AS pos FROM t WHERE k = 1
+  UNION ALL SELECT t.n_regionkey, t.n_nationkey, t.logical, t.k, t.size, CAST(CASE WHEN t.logical AND NOT p.logical THEN ((p.pos + p.size // 512 + 2047) // 2048 * 2048 + 1 + 2047) // 2048 * 2048 WHEN t.logical THEN (p.pos + p.size // 512 + 1 + 2047) // 2048 * 2048 ELSE (p.pos + p.size // 512 + 2047) // 2048 * 2048 END AS BIGINT)
+  FROM t JOIN p ON t.n_regionkey = p.n_regionkey AND t.k = p.k + 1)
+SELECT CAST(n_regionkey AS VARCHAR) AS image_id, CAST(n_nationkey AS INTEGER) AS part_index, pos AS new_lba, size FROM p""")
+def restore_layout_logicals(spark, sf_dir):
+    """Odd nations are logical partitions: behind all others, by their starts, each with a sector of its own before it."""
+    key = F.col("n_nationkey")
+    rows = read(spark, sf_dir, "nation").select(F.col("n_regionkey").cast("string").alias("image_id"), key.cast("int").alias("part_index"), (key * 9 + 63).cast("long").alias("start_lba"), (key % 2 == 1).alias("is_logical"), ((key + 1) * 700 * 512).cast("long").alias("size"))
+    return layout.restore_layout(rows)
+
+
+_WORDS = "list_transform(range(0, 4), lambda i: CAST('0x' || substr(h, 8 * i + 1, 8) AS BIGINT))"
+
+
+@R.add(f"SELECT p_partkey, (4294967296 - list_sum({_WORDS}) % 4294967296) % 4294967296 AS checksum FROM (SELECT p_partkey, substr(md5(p_name), 1, 8) || '00000000' || substr(md5(p_name), 17, 16) AS h FROM part)")
+def word_checksums(spark, sf_dir):
+    """Of blocks whose second word holds the checksum, and does not count."""
+
+    def each(batches):
+        for batch in batches:
+            yield pd.DataFrame({"p_partkey": batch["p_partkey"], "checksum": [digests.word_checksum(bytes(b), 1) for b in batch["block"]]})
+
+    rows = read(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("p_partkey"), F.unhex(F.md5("p_name")).alias("block"))
+    return rows.mapInPandas(each, "p_partkey long, checksum long")
+
+
+_CRC16 = "list_reduce(list_prepend(CAST(0 AS BIGINT), {b}), lambda c, b: list_reduce(list_prepend(xor(c, b << 8), list_transform(range(0, 8), lambda z: CAST(0 AS BIGINT))), lambda x, i: CASE WHEN x & 32768 != 0 THEN xor(x << 1, 4129) & 65535 ELSE (x << 1) & 65535 END))"
+
+
+@R.add(f"SELECT c_custkey, {_CRC16.format(b=_BYTES.format(t='c_name'))} AS crc FROM customer")
+def crc16(spark, sf_dir):
+    def each(batches):
+        for batch in batches:
+            yield pd.DataFrame({"c_custkey": batch["c_custkey"], "crc": [digests.crc16(n.encode()) for n in batch["c_name"]]})
+
+    return read(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("c_custkey"), "c_name").mapInPandas(each, "c_custkey long, crc long")
+
+
 QUERIES, ORACLE_SQL = R.queries, R.sql

@@ -49,11 +49,11 @@ def _sql(fs: str, path: str, size: str = "length(c)", folders: bool = True) -> s
 
 _IN_FOLDER, _FLAT = "'/R' || n_regionkey || '/' || f", "'/' || f"
 #: Writers of volumes by the filesystem that they must be taken for.
-_TREES = {"fat": samples.fat12, "ext": samples.ext, "ntfs": samples.ntfs, "hfsplus": samples.hfsplus, "hfs": samples.hfs, "os9": samples.os9, "affs": samples.affs, "iso9660": samples.iso9660}
+_TREES = {"fat": samples.fat12, "ext": samples.ext, "ntfs": samples.ntfs, "hfsplus": samples.hfsplus, "hfs": samples.hfs, "os9": samples.os9, "affs": samples.affs, "iso9660": samples.iso9660, "efs": samples.efs}
 _FLATS = {
     "exfat": (samples.exfat, _FLAT, "length(c)"), "prodos": (samples.prodos, _FLAT, "length(c)"), "cbmdos": (samples.d64, _FLAT, "length(c)"), "applesdos33": (samples.apple_dos, _FLAT, "(length(c) + 255) // 256 * 256"),
     "acorndfs": (samples.acorn_dfs, "'/$.' || f", "length(c)"), "ataridos": (samples.atari_dos, _FLAT, "length(c)"), "rsdos": (samples.rsdos, _FLAT, "length(c)"), "dragondos": (samples.dragon_dos, _FLAT, "length(c)"),
-    "mfs": (samples.mfs, _FLAT, "length(c)"),
+    "mfs": (samples.mfs, _FLAT, "length(c)"), "human68k": (samples.human68k, _FLAT, "length(c)"),
 }
 
 
@@ -77,6 +77,12 @@ def _register_volumes() -> None:
 _register_volumes()
 
 
+@R.add(_sql("prodos", _FLAT, folders=False))
+def volume_prodos_in_dos_order(spark, sf_dir):
+    """A disk whose sectors are in another filesystem's order, also as recorded bits."""
+    return _listing(spark, sf_dir, lambda _, files: filesystems.entries(containers.opened(samples.woz(samples.dos_ordered(samples.prodos(files))), "x.woz"), True))
+
+
 @R.add(_sql("affs", _IN_FOLDER))
 def volume_affs_with_headers(spark, sf_dir):
     return _listing(spark, sf_dir, lambda folder, files: filesystems.entries(samples.affs(_tree(folder, files), fast=False), True))
@@ -154,7 +160,7 @@ _DISK = "left(repeat(t, 40), {size})"
 _ROWS = "(SELECT string_agg(rpad(n_name, 512, '.'), '' ORDER BY n_nationkey) AS t FROM nation)"
 _BOXES = {
     "raw": (bytes, 131_072), "vhd_fixed": (samples.raw_vhd, 131_072), "vhd_dynamic": (samples.dynamic_vhd, 131_072), "qcow2": (samples.qcow2, 131_072), "vmdk": (samples.vmdk, 131_072), "2mg": (samples.twomg, 131_072),
-    "dc42": (samples.dc42, 131_072), "msa": (samples.msa, 92_160), "dmg": (samples.dmg, 131_072), "chd": (samples.chd, 131_072), "partclone": (samples.partclone, 131_072), "edsk": (samples.edsk, 184_320), "g64": (samples.g64, 174_848),
+    "dc42": (samples.dc42, 131_072), "msa": (samples.msa, 92_160), "dmg": (samples.dmg, 131_072), "chd": (samples.chd, 131_072), "partclone": (samples.partclone, 131_072), "edsk": (samples.edsk, 184_320), "g64": (samples.g64, 174_848), "woz": (samples.woz, 143_360),
 }
 
 

@@ -133,7 +133,76 @@ def g64(data: bytes) -> bytes:
     return bytes(out)
 
 
-DECODERS = {"gzip": gzip.decompress, "zstd": unzstd, "zip": unzip, "atr": atr, "msa": msa, "d88": d88, "lz4": unlz4, "edsk": edsk, "g64": g64}
+#: The 64 disk bytes that record six bits each on Apple disks, in the order of their values; the DOS sectors in the
+#: order in which they pass the head; and the DOS sectors that hold a track's ProDOS half blocks.
+SIX_BITS = bytes.fromhex("96979A9B9D9E9FA6A7ABACADAEAFB2B3B4B5B6B7B9BABBBCBDBEBFCBCDCECFD3D6D7D9DADBDCDDDEDFE5E6E7E9EAEBECEDEEEFF2F3F4F5F6F7F9FAFBFCFDFEFF")
+DOS_ORDER = (0, 7, 14, 6, 13, 5, 12, 4, 11, 3, 10, 2, 9, 1, 8, 15)
+PRODOS_ORDER = (0, 14, 13, 12, 11, 10, 9, 8, 7, 6, 5, 4, 3, 2, 1, 15)
+
+
+def _apple_track(bits: str) -> dict[int, bytes]:
+    """{physical sector: 256 bytes} of a recorded track: address marks, then data fields of 342 disk bytes and a checksum."""
+    disk, at = bytearray(), bits.find("1")
+    while 0 <= at <= len(bits) - 8:
+        disk.append(int(bits[at : at + 8], 2))
+        at = bits.find("1", at + 8)
+    out, place, values = {}, 0, {b: v for v, b in enumerate(SIX_BITS)}
+    while (place := disk.find(b"\xd5\xaa\x96", place)) >= 0:
+        odd = disk[place + 3 : place + 11]
+        data = disk.find(b"\xd5\xaa\xad", place)
+        place += 3
+        if len(odd) < 8 or data < 0 or len(raw := disk[data + 3 : data + 346]) < 343 or not all(b in values for b in raw):
+            continue
+        sector, now, plain = (odd[4] << 1 | 1) & odd[5], 0, []
+        for b in raw:
+            now ^= values[b]
+            plain.append(now)
+        if now:  # the checksum leaves nothing
+            continue
+        low = [(v >> 1 & 1 | v << 1 & 2, v >> 3 & 1 | v >> 1 & 2, v >> 5 & 1 | v >> 3 & 2) for v in plain[:86]]
+        out.setdefault(sector, bytes(plain[86 + i] << 2 & 0xFF | low[i % 86][i // 86] for i in range(256)))
+    return out
+
+
+def woz(data: bytes) -> bytes:
+    """A 5.25-inch disk of 35 tracks as recorded bits, in the order of DOS sectors."""
+    chunks, at = {}, 12
+    while at + 8 <= len(data):
+        name, size = data[at : at + 4], struct.unpack_from("<I", data, at + 4)[0]
+        chunks[name] = at + 8
+        at += 8 + size
+    if data[chunks[b"INFO"] + 1] != 1:
+        raise ValueError("only 5.25-inch disks are decoded")
+    out = bytearray()
+    for t in range(35):
+        index, found = data[chunks[b"TMAP"] + 4 * t], {}
+        if index != 0xFF:
+            if data[3:4] == b"2":
+                start, _, count = struct.unpack_from("<HHI", data, chunks[b"TRKS"] + 8 * index)
+                raw = data[start * SECTOR : start * SECTOR + -(-count // 8)]
+            else:
+                at = chunks[b"TRKS"] + 6656 * index
+                (count,) = struct.unpack_from("<H", data, at + 6648)
+                raw = data[at : at + -(-count // 8)]
+            bits = "".join(f"{b:08b}" for b in raw)[:count]
+            found = _apple_track(bits + bits[:8000])  # a track is a circle
+        by_dos = {DOS_ORDER[p]: body for p, body in found.items() if p < 16}
+        out += b"".join(by_dos.get(s, bytes(256)) for s in range(16))
+    return bytes(out)
+
+
+def prodos_ordered(disk):
+    """A 5.25-inch disk in the order of ProDOS blocks where only that order shows a ProDOS volume; else as it is."""
+    from platterlake.sources.sniff import filesystem_of
+
+    if len(disk) != 143_360 or filesystem_of(disk) is not None:
+        return disk
+    raw = bytes(disk[:])
+    other = b"".join(raw[t * 4096 + 256 * s : t * 4096 + 256 * s + 256] for t in range(35) for s in PRODOS_ORDER)
+    return other if filesystem_of(other) == "prodos" else disk
+
+
+DECODERS = {"gzip": gzip.decompress, "zstd": unzstd, "zip": unzip, "atr": atr, "msa": msa, "d88": d88, "lz4": unlz4, "edsk": edsk, "g64": g64, "woz": woz}
 
 
 def name_of(data: bytes, path: str) -> str:
@@ -396,7 +465,7 @@ def opened(data, path: str, depth: int = 4):
     for _ in range(depth):
         name = name_of(data, path)
         if name in ("raw", "tar"):
-            return data
+            return prodos_ordered(data)
         if name in VIEWS:
             data = VIEWS[name](data)
         elif name in DECODERS:
@@ -404,7 +473,7 @@ def opened(data, path: str, depth: int = 4):
         else:
             raise ValueError(f"cannot read {name} containers: {path}")
         path = path.rsplit(".", 1)[0]
-    return data
+    return prodos_ordered(data)
 
 
 def flat(data: bytes, path: str) -> bytes:

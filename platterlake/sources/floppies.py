@@ -246,4 +246,105 @@ class CpM:
             yield Entry(f"/{user}:{name}" if user else f"/{name}", "file", size, chain[0] if chain else 0, uid=user, extents=grouped(chain), content=body)
 
 
-DRIVERS = {"ataridos": AtariDos, "rsdos": RsDos, "dragondos": DragonDos, "os9": Os9, "affs": Affs}
+class Efs:
+    """SGI's first filesystem: inodes of up to twelve extents (more lie in blocks of extents), in cylinder groups."""
+
+    def __init__(self, data):
+        self.data = data
+        self.first, self.per_group, self.inode_blocks = unpack_from(">iih", data, 512 + 4)
+
+    def _inode(self, n: int) -> bytes:
+        group, k = divmod(n, self.inode_blocks * 4)
+        at = (self.first + self.per_group * group) * 512 + 128 * k
+        return self.data[at : at + 128]
+
+    def _extents(self, inode: bytes) -> list[tuple[int, int, int]]:
+        """(first block of the file, block, blocks)."""
+        (count,) = unpack_from(">h", inode, 28)
+        raw = inode[32 : 32 + 8 * min(count, 12)]
+        if count > 12:  # these name blocks full of extents
+            (some,) = unpack_from(">I", inode, 36)
+            direct = [unpack_from(">II", inode, 32 + 8 * k) for k in range(min(12, some & 0xFFFFFF))]
+            raw = b"".join(self.data[512 * (a & 0xFFFFFF) : 512 * ((a & 0xFFFFFF) + (b >> 24))] for a, b in direct)[: 8 * count]
+        return sorted((b & 0xFFFFFF, a & 0xFFFFFF, b >> 24) for a, b in struct.iter_unpack(">II", raw))
+
+    def _bytes(self, inode: bytes) -> bytes:
+        (size,) = unpack_from(">I", inode, 8)
+        out = bytearray(size)
+        for logical, block, count in self._extents(inode):
+            piece = self.data[512 * block : 512 * (block + count)]
+            out[512 * logical : 512 * logical + min(len(piece), max(0, size - 512 * logical))] = piece[: max(0, size - 512 * logical)]
+        return bytes(out)
+
+    def entries(self, contents: bool) -> Iterator[Entry]:
+        kinds, todo, seen = {0o040000: "directory", 0o100000: "file", 0o120000: "symlink"}, [("", 2)], {2}
+        while todo:
+            parent, n = todo.pop()
+            table = self._bytes(self._inode(n))
+            for at in range(0, len(table) - 511, 512):
+                block = table[at : at + 512]
+                if block[:2] != b"\xbe\xef":
+                    continue
+                for place in block[4 : 4 + block[3]]:
+                    if not place:
+                        continue
+                    child, length = unpack_from(">IB", block, 2 * place)
+                    name = block[2 * place + 5 : 2 * place + 5 + length].decode("utf-8", "replace")
+                    if name in (".", ".."):
+                        continue
+                    inode = self._inode(child)
+                    mode, _, uid, gid, size, _, mtime = unpack_from(">HHHHIII", inode)
+                    kind, path = kinds.get(mode & 0o170000, "special"), f"{parent}/{name}"
+                    when = datetime.fromtimestamp(mtime, UTC).strftime("%Y-%m-%d %H:%M:%S")
+                    made = Entry(path, kind, 0 if kind == "directory" else size, child, when, mode, uid, gid, extents=[(a, c) for _, a, c in self._extents(inode)] if kind in ("file", "directory") else [])
+                    if kind == "symlink":
+                        made.symlink_target = self._bytes(inode).decode("utf-8", "replace")
+                    elif kind == "file" and contents:
+                        made.content = self._bytes(inode)
+                    elif kind == "directory" and child not in seen:
+                        seen.add(child)
+                        todo.append((path, child))
+                    yield made
+
+
+class Human68k:
+    """X68000 floppies of 1232 KB: sectors of 1024 bytes, a 12-bit table, names of eighteen letters in Shift JIS."""
+
+    def __init__(self, data):
+        self.data = data
+
+    def _next(self, n: int) -> int:
+        (pair,) = unpack_from("<H", self.data, 1024 + n * 3 // 2)
+        return pair >> 4 if n & 1 else pair & 0xFFF
+
+    def _chain(self, n: int) -> list[int]:
+        out = []
+        while 2 <= n < 1223 and n not in out:
+            out.append(n)
+            n = self._next(n)
+        return out
+
+    def _bytes(self, chain: list[int]) -> bytes:
+        return b"".join(self.data[(9 + n) * 1024 : (10 + n) * 1024] for n in chain)
+
+    def entries(self, contents: bool) -> Iterator[Entry]:
+        todo, seen = [("", self.data[5 * 1024 : 11 * 1024])], set()
+        while todo:
+            parent, table = todo.pop()
+            for at in range(0, len(table) - 31, 32):
+                base, ending, attributes, more, time, date, first, size = struct.unpack("<8s3sB10sHHHI", table[at : at + 32])
+                if not base[0]:
+                    break
+                if base[0] == 0xE5 or attributes & 0x08 or base[:1] == b".":
+                    continue
+                stem = (base + more.rstrip(b"\0")).decode("shift_jis", "replace").rstrip(" ")
+                tail = ending.decode("shift_jis", "replace").rstrip(" ")
+                folder, path, chain = bool(attributes & 0x10), f"{parent}/{stem}" + (f".{tail}" if tail else ""), self._chain(first)
+                when = f"{(date >> 9) + 1980:04}-{date >> 5 & 15:02}-{date & 31:02} {time >> 11:02}:{time >> 5 & 63:02}:{(time & 31) * 2:02}" if date else None
+                yield Entry(path, "directory" if folder else "file", 0 if folder else size, first, when, dos_attributes=attributes, extents=grouped(chain), content=None if folder or not contents else self._bytes(chain)[:size])
+                if folder and first not in seen:
+                    seen.add(first)
+                    todo.append((path, self._bytes(chain)))
+
+
+DRIVERS = {"efs": Efs, "human68k": Human68k, "ataridos": AtariDos, "rsdos": RsDos, "dragondos": DragonDos, "os9": Os9, "affs": Affs}

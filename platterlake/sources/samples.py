@@ -759,3 +759,115 @@ def partclone(disk, block=4096, per=3):
     for n, piece in enumerate((b for b, u in zip(blocks, used) if u), 1):
         body += piece + (struct.pack("<I", zlib.crc32(piece)) if n % per == 0 else b"")
     return head + bytes(bitmap) + struct.pack("<I", zlib.crc32(bytes(bitmap))) + body
+
+
+def woz(disk):
+    """A disk of DOS sectors as recorded bits, with marks of ten bits between its fields."""
+    import zlib
+
+    from platterlake.sources.containers import DOS_ORDER, SIX_BITS
+
+    four = lambda v: bytes([v >> 1 | 0xAA, v | 0xAA])
+    bits = lambda raw: "".join(f"{b:08b}" for b in raw)
+    gap = lambda n: "1111111100" * n
+    tracks = []
+    for t in range(35):
+        out = gap(20)
+        for p in range(16):
+            body = disk[t * 4096 + DOS_ORDER[p] * 256 : t * 4096 + DOS_ORDER[p] * 256 + 256]
+            low = [0] * 86
+            for i, b in enumerate(body):
+                low[i % 86] |= (b >> 1 & 1 | b << 1 & 2) << 2 * (i // 86)
+            plain, last, coded = low + [b >> 2 for b in body], 0, []
+            for v in plain:
+                coded.append(SIX_BITS[v ^ last])
+                last = v
+            coded.append(SIX_BITS[last])
+            out += bits(b"\xd5\xaa\x96" + four(254) + four(t) + four(p) + four(254 ^ t ^ p) + b"\xde\xaa\xeb") + gap(5)
+            out += bits(b"\xd5\xaa\xad" + bytes(coded) + b"\xde\xaa\xeb") + gap(10)
+        tracks.append(out)
+    info = (b"\2\1" + bytes(58)).ljust(60, b"\0")
+    tmap = bytes(t // 4 if t % 4 == 0 and t < 140 else 0xFF for t in range(160))
+    table, body, start = b"", b"", 3
+    for out in tracks:
+        raw = bytes(int(out[i : i + 8].ljust(8, "0"), 2) for i in range(0, len(out), 8))
+        blocks = -(-len(raw) // 512)
+        table += struct.pack("<HHI", start, blocks, len(out))
+        body += raw.ljust(512 * blocks, b"\0")
+        start += blocks
+    trks = table.ljust(1280, b"\0") + body
+    chunk = lambda name, data: name + struct.pack("<I", len(data)) + data
+    rest = chunk(b"INFO", info) + chunk(b"TMAP", tmap) + chunk(b"TRKS", trks)
+    return b"WOZ2\xff\n\r\n" + struct.pack("<I", zlib.crc32(rest)) + rest
+
+
+def dos_ordered(disk):
+    """A 5.25-inch disk of ProDOS blocks in the order of DOS sectors."""
+    from platterlake.sources.containers import PRODOS_ORDER
+
+    out = bytearray(len(disk))
+    for t in range(35):
+        for k, s in enumerate(PRODOS_ORDER):
+            out[t * 4096 + 256 * s : t * 4096 + 256 * s + 256] = disk[t * 4096 + 256 * k : t * 4096 + 256 * k + 256]
+    return bytes(out)
+
+
+def efs(files, blocks=2000):
+    """files: {path: bytes or None for a folder}, folders first; one cylinder group, every file one extent or more."""
+    disk, group, inodes = bytearray(512 * blocks), 2, 40
+    struct.pack_into(">iiihhhhhh", disk, 512, blocks, group, blocks - group, inodes, 16, 1, 1, 0, 0)
+    struct.pack_into(">I", disk, 512 + 28, 0x00072959)
+    homes, at = {"": 2} | {p: 3 + k for k, p in enumerate(files)}, group + inodes
+
+    def put(n, mode, body):
+        nonlocal at
+        extents, first = b"", at
+        for logical in range(0, -(-len(body) // 512), 200):
+            count = min(200, -(-len(body) // 512) - logical)
+            extents += struct.pack(">II", first + logical, count << 24 | logical)
+        disk[512 * at : 512 * at + len(body)] = body
+        at += -(-len(body) // 512)
+        place = 512 * group + 128 * n
+        struct.pack_into(">HHHHIIIIIHBB", disk, place, mode, 1, 7, 8, len(body), 0, 86_400, 0, 0, len(extents) // 8, 0, 0)
+        disk[place + 32 : place + 32 + len(extents)] = extents
+
+    def folder(own):
+        raw, offsets, end = bytearray(512), [], 512
+        for name, n in own:
+            entry = struct.pack(">IB", n, len(name)) + name.encode()
+            end -= len(entry) + (len(entry) & 1)
+            raw[end : end + len(entry)] = entry
+            offsets.append(end // 2)
+        raw[: 4 + len(offsets)] = struct.pack(">HBB", 0xBEEF, end // 2, len(offsets)) + bytes(offsets)
+        return bytes(raw)
+
+    for path in ["", *(p for p, b in files.items() if b is None)]:
+        put(homes[path], 0o040755, folder([(".", homes[path]), ("..", homes[path.rpartition("/")[0]]), *((p.rpartition("/")[2], homes[p]) for p in files if p.rpartition("/")[0] == path)]))
+    for path, body in files.items():
+        if body is not None:
+            put(homes[path], 0o100644, body)
+    return bytes(disk)
+
+
+def human68k(files):
+    """files: {name: bytes or None for a folder} in the root of a 1232 KB floppy; names of up to eighteen letters."""
+    disk, table, at = bytearray(1_261_568), [0xFFE, 0xFFF], 0
+    disk[:2] = b"\x60\x3c"
+    slots = b""
+    for name, body in files.items():
+        base, _, ending = name.partition(".")
+        n = -(-len(body) // 1024)
+        first = len(table) if n else 0
+        table += [*range(first + 1, first + n), 0xFFF] if n else []
+        disk[11 * 1024 + at : 11 * 1024 + at + len(body)] = body
+        at += n * 1024
+        raw = base.encode("shift_jis")
+        slots += struct.pack("<8s3sB10sHHHI", raw[:8].ljust(8), ending.encode().ljust(3), 0x20, raw[8:18], 0x6000, 0x5A21, first, len(body))
+    fat = bytearray(2048)
+    for n, value in enumerate(table):
+        place = n * 3 // 2
+        (pair,) = struct.unpack_from("<H", fat, place)
+        struct.pack_into("<H", fat, place, pair | value << 4 if n & 1 else pair & 0xF000 | value)
+    disk[1024:3072] = disk[3072:5120] = fat
+    disk[5120 : 5120 + len(slots)] = slots
+    return bytes(disk)

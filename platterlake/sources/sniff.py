@@ -182,7 +182,7 @@ RULES = (
     ("jfs", lambda v: v.has(32768, "4A465331")),
     ("applesdos33", lambda v: (v.size == 143_360) & v.has(0x11001, "110F") & (v.u(0x11003, 1) >= 1) & (v.u(0x11003, 1) <= 4) & (v.u(0x11027, 1) == 122) & v.has(0x11034, "23100001")),
     ("cbmdos", _cbm), ("ataridos", _atari), ("dragondos", _dragon), ("acorndfs", _dfs), ("os9", _os9), ("rsdos", _rsdos), ("qdos", lambda v: v.has(0, "514C5741")), ("adfs", _adfs),
-    ("andos", lambda v: v.has(0x1F8, "414E444F53") | v.has(0x1B0, "414E444F53") | v.has(0xE0, "414E444F53") | v.has(0, "414E444F53")), ("qdos_mdv", _microdrive),
+    ("human68k", lambda v: (v.size == 1_261_568) & v.has(0, "603C", "601C") & v.has(1024, "FEFFFF")), ("andos", lambda v: v.has(0x1F8, "414E444F53") | v.has(0x1B0, "414E444F53") | v.has(0xE0, "414E444F53") | v.has(0, "414E444F53")), ("qdos_mdv", _microdrive),
 )
 #: Bytes that decide every rule but those of whole floppies, and of which the largest has these.
 HEAD, LARGEST_FLOPPY = 70_000, 1_066_496
