@@ -1,12 +1,13 @@
 """URL filter: a blocked Bloom filter passes possible hits to an exact hash join that removes its false positives.
 
 Two kinds of entries are listed: rules of a host and a path, which fit the host, its subdomains and every path that starts
-with theirs, and canonical URLs (host and path without the final slashes), which are blocked. Every URL emits the few keys
+with theirs, and canonical URLs (the host without a first label www or m, the path without the final slashes), which are
+blocked. Every URL emits the few keys
 under which a rule could be listed, and its canonical form. Keys that the filter rejects end there; the rest meet the
 listed keys in an exact join. The rule of the greatest length decides, then the list; anything else is allowed.
 
 Only DataFrame functions run. A filter is a table of (block, four words of 64 bits), built by bit_or. It is broadcast only
-up to MAX_BLOCKS rows; beyond that the same join is a shuffled one.
+up to MAX_BLOCKS rows; beyond that the exact join does alone.
 
 Defined results: a null url, or one without "://", has an empty host and path, fits no rule and is allowed; of two rules
 of equal length that with the longer host wins, then the one that blocks; repeated rows and null page_ids are judged
@@ -30,8 +31,8 @@ MAX_KEYS = 10_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
-#: First labels of hosts whose pages the query lists.
-LISTED_LABELS = ("spam-farm",)
+#: Labels of hosts whose pages the query lists, wherever in the host they stand.
+LISTED_LABELS = ("spam-farm", "blog")
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -40,7 +41,7 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 
 def canonical(host: Column, path: Column) -> Column:
-    return F.when(host != "", F.concat(host, F.regexp_replace(path, "/+$", "")))
+    return F.when(host != "", F.concat(F.regexp_replace(host, r"^(?:www|m)\.", ""), F.regexp_replace(path, r"/+\z", "")))
 
 
 def _place(key: Column, blocks: int) -> list[Column]:
@@ -65,8 +66,11 @@ class BlockedBloom:
         self.filter = placed.groupBy("block").agg(*(F.bit_or(f"m{w}").alias(f"f{w}") for w in range(WORDS)))
 
     def passes(self, rows: DataFrame, key: str) -> DataFrame:
-        """The rows whose key may be listed."""
-        side = F.broadcast(self.filter) if self.blocks <= MAX_BLOCKS else self.filter
+        """The rows whose key may be listed; all of them where the filter is too large to be broadcast, since to join it would
+        shuffle every row once more than the exact join alone does."""
+        if self.blocks > MAX_BLOCKS:
+            return rows
+        side = F.broadcast(self.filter)
         placed = rows.select("*", *_place(F.col(key), self.blocks))
         hit = " AND ".join(f"(f{w} & m{w}) = m{w}" for w in range(WORDS))
         return placed.join(side, "block").where(hit).select(*rows.columns)
@@ -117,7 +121,7 @@ def verdicts(pages: DataFrame, rules: DataFrame, listed: DataFrame | None = None
 def op8_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages")
     host, path = host_and_path(F.col("url"))
-    listed = pages.where(F.substring_index(host, ".", 1).isin(*LISTED_LABELS)).select(canonical(host, path).alias("key"))
+    listed = pages.where(F.arrays_overlap(F.split(host, r"\."), F.array(*map(F.lit, LISTED_LABELS)))).select(canonical(host, path).alias("key"))
     return verdicts(pages, inline(spark, RULES, "host path action"), listed).drop("listed")
 
 
@@ -135,10 +139,10 @@ m AS (
   SELECT uid, rhost || rpath AS rule, act,
          row_number() OVER (PARTITION BY uid ORDER BY length(rhost || rpath) DESC, length(rhost) DESC, act DESC) AS n
   FROM p JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)),
-l AS (SELECT DISTINCT host || rtrim(path, '/') AS key FROM p WHERE split_part(host, '.', 1) IN (%s))
+l AS (SELECT DISTINCT regexp_replace(host, '^(www|m)[.]', '') || rtrim(path, '/') AS key FROM p WHERE list_has_any(string_split(host, '.'), [%s]))
 SELECT page_id, host, path, rule,
        CASE WHEN act IS NOT NULL THEN act WHEN key IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict
-FROM p LEFT JOIN (SELECT * FROM m WHERE n = 1) USING (uid) LEFT JOIN l ON host != '' AND host || rtrim(path, '/') = key
+FROM p LEFT JOIN (SELECT * FROM m WHERE n = 1) USING (uid) LEFT JOIN l ON host != '' AND regexp_replace(host, '^(www|m)[.]', '') || rtrim(path, '/') = key
 """
 
 QUERIES = {"op8_urlfilter": op8_urlfilter}

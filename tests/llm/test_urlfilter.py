@@ -36,6 +36,24 @@ def test_filter_has_no_false_negatives_and_few_false_positives(spark):
     assert bloom.passes(spark.range(20_000).selectExpr("concat('other', id) AS key"), "key").count() < 600
 
 
+def test_large_lists_take_the_exact_join_alone(spark, monkeypatch):
+    urls = [f"http://www.h{i}.de/p/{i}/?q" for i in range(60)] + ["http://x.com/en/7", None]
+    listed = [f"h{i}.de/p/{i}" for i in range(0, 60, 3)]
+    want = judged(spark, urls, listed)
+    assert [v for *_, v in want] == ["block" if i % 3 == 0 else "allow" for i in range(60)] + ["block", "allow"]
+    monkeypatch.setattr(u, "MAX_BLOCKS", 0)
+    monkeypatch.setattr(u, "MAX_KEYS", 0)
+    assert judged(spark, urls, listed) == want
+
+
+def test_odd_rows(spark):
+    long = "http://a.example.org/es/" + "x/" * 200_000
+    rows = [(None, long), (None, long), (5, "HTTP://m.EXAMPLE.org/es/?a")]
+    pages = spark.createDataFrame([(i, x, "c", "c", 0, "c") for i, x in rows], SCHEMA)
+    found = u.verdicts(pages, u.inline(spark, u.RULES, "host path action"), None).collect()
+    assert sorted((r.page_id is None, len(r.path), r.rule, r.verdict) for r in found) == [(False, 4, "org/es/", "block")] + [(True, 4 + 400_000, "org/es/", "block")] * 2
+
+
 def test_empty_tables(spark):
     assert judged(spark, []) == []
     assert judged(spark, ["http://a.b/c"], []) == [("a.b", "/c", None, "allow")]
