@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from platterlake.llm.common import connected, drop, read, table
+from platterlake.llm.common import connected, drop, numbered, read, table
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -74,9 +74,8 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     return found.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("center"))) <= radius).select("fp", "center").distinct()
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp long, component_id, root), a row for every row of docs; root is the component's smallest fingerprint."""
-    rows = table(docs.select(F.col(id_col).alias("doc_id"), fingerprints(docs, text).alias("fp")), "fingerprints")
+def _members(rows: DataFrame, radius: int) -> DataFrame:
+    """rows: a table of (doc_id, fp). (fp, component_id, root) of every fingerprint; root is its component's smallest one."""
     groups = table(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "groups")
     found = table(links(groups.select("fp"), radius), "links")
     labels = connected(found)
@@ -84,24 +83,24 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id
     smallest = table(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "components")
     members = table(rooted.join(smallest, "root").select("fp", "component_id", "root"), "members")
     drop(groups, found, labels, smallest)
-    return rows.join(members, "fp").select("doc_id", "fp", "component_id", "root")
+    return members
+
+
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, fp long, component_id, root), a row for every row of docs."""
+    rows = table(docs.select(F.col(id_col).alias("doc_id"), fingerprints(docs, text).alias("fp")), "fingerprints")
+    return rows.join(_members(rows, radius), "fp").select("doc_id", "fp", "component_id", "root")
 
 
 def survivors(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs, all their columns, of which one of each component stays: that with the smallest id.
-
-    Rows that repeat this id stand for one document, and one of them stays. A component without any id keeps one of its
-    rows.
-    """
-    key = "__platterlake_key"
-    found = near_duplicates(docs, radius, id_col, text)
-    ids = table(found.where("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct(), "survivors")
-    kept = docs.join(ids, F.col(id_col) == F.col(key), "left_semi").dropDuplicates([id_col])
-    roots = found.where("component_id IS NULL").select(F.col("root").alias(key)).distinct()
-    unnamed = docs.where(F.col(id_col).isNull())
-    unnamed = unnamed.withColumn("__platterlake_fp", fingerprints(unnamed, text))
-    unnamed = unnamed.join(roots, F.col("__platterlake_fp") == F.col(key), "left_semi").dropDuplicates(["__platterlake_fp"])
-    return kept.unionByName(unnamed.select(*docs.columns))
+    """The rows of docs, all their columns, of which one of each component stays: that with the smallest non-null id, and of
+    several such rows any one."""
+    uid, fp = "__platterlake_uid", "__platterlake_fp"
+    base = numbered(docs.withColumn(fp, fingerprints(docs, text)), "documents", uid)
+    members = _members(base.select(F.col(id_col).alias("doc_id"), F.col(fp).alias("fp")), radius)
+    row = F.struct(F.col(id_col).isNull().alias("unnamed"), F.col(id_col).alias("id"), F.col(uid).alias("uid"))
+    best = base.join(members.select(F.col("fp").alias(fp), F.col("root").alias("__platterlake_root")), fp).groupBy("__platterlake_root").agg(F.min(row).alias("r"))
+    return base.join(best.select(F.col("r.uid").alias(uid)), uid, "left_semi").select(*docs.columns)
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

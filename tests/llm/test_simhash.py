@@ -65,6 +65,19 @@ def test_survivors_keep_one_of_each_component(spark):
     assert len(simhash.survivors(unnamed).collect()) == 2
 
 
+def test_rows_that_repeat_an_id_with_other_texts_stay(spark):
+    one, other = "some words of a first text", "quite another text with its own words"
+    rows = spark.createDataFrame([(3, one, "c"), (5, one, "c"), (5, other, "c"), (None, other, "c")], SCHEMA)
+    assert sorted((r.doc_id, r.text) for r in simhash.survivors(rows).collect()) == [(3, one), (5, other)]
+
+
+def test_a_text_of_more_shingles_than_are_counted_at_once(monkeypatch):
+    text = " ".join(f"w{i % 977}" for i in range(5000)).encode()
+    whole = simhash.fingerprint(text)
+    monkeypatch.setattr(simhash, "BLOCK", 300)
+    assert simhash.fingerprint(text) == whole
+
+
 def test_empty_table(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
