@@ -7,8 +7,8 @@ one ordered conditional expression. Only DataFrame functions touch documents; th
 statistics runs on the driver.
 
 Defined results: a null text has no words and fails the base limits; a document whose id is null is judged like any other
-but never learned from; labels that are null, or that contradict each other for one id, are not learned from; without
-labels the base limits alone decide; repeated rows are judged row by row; further columns stay as they are.
+but never learned from; labels that are null, or that contradict each other for one id, are not learned from, and of an id's
+texts only the least; without labels the base limits alone decide; repeated rows are judged row by row; further columns stay as they are.
 """
 
 from __future__ import annotations
@@ -176,7 +176,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text") -> list[Rule]:
     order = F.xxhash64("key", F.lit(11))
     chosen = known.select(F.col("doc_id").alias("key"), "q").orderBy(order, "key").limit(MAX_LABELLED)
     chosen = table(chosen, "labelled")  # at most MAX_LABELLED rows of two numbers: small enough to broadcast
-    rows = docs.select(F.col("doc_id").alias("key"), F.col(text).alias("text")).join(F.broadcast(chosen), "key").dropDuplicates(["key"])
+    rows = docs.select(F.col("doc_id").alias("key"), F.col(text).alias("text")).join(F.broadcast(chosen), "key").groupBy("key", "q").agg(F.min("text").alias("text"))
     counted = table(with_counts(rows).select("key", "q", base_failed().alias("failed"), F.array(*features()).alias("x")), "statistics")
     found = counted.where("NOT failed").orderBy(order, "key").collect()
     if not found:

@@ -2,14 +2,15 @@
 
 A text is the set of its lower-cased terms, hashed into SLOTS slots. The machine adds a weight for every slot and the
 inner product of two vectors for every pair, so it learns that two terms together are toxic where neither is alone. It is
-trained on at most MAX_LABELLED labelled rows (those first in the order of a hash of the id), none of them held out, and
-scores every whole text. Every slot that at least MIN_ROWS rows of the training set have takes part in pairs. It carries a
+trained on at most MAX_LABELLED labelled rows of at most MAX_SLOTS_HELD terms (those first in the order of a hash of the id),
+none of them held out, and scores every whole text. Every slot that at least MIN_ROWS rows of the training set have takes part in pairs. It carries a
 weight of its own only if the share of toxic rows among them is MIN_Z standard errors or more from that of all. The vectors of
 other slots start shorter (WEAK_START) and slower (WEAK_STEPS), so that they learn what many rows show, not what chance gives.
 Pairs learn from epoch PAIRS_FROM on, after what a term shows by itself.
 
 Defined results: a null or empty text has no terms and scores the bias; a null id is never held out and never trained on;
-labels that are null, or that contradict each other for one id, are not trained on; without labels every score is 0;
+labels that are null, or that contradict each other for one id, are not trained on, and of an id's texts only the least;
+without labels every score is 0;
 repeated rows are scored row by row; further columns are ignored.
 """
 
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 from platterlake.llm.common import read, table
 
 SLOTS, RANK, MAX_LABELLED, MIN_ROWS, MIN_Z = 1 << 18, 8, 20_000, 4, 3.0
+#: Terms of all rows that train the machine together: 64 MB.
+MAX_SLOTS_HELD = 1 << 24
 EPOCHS, RATE, DECAY, SEED = 8, 0.1, 2e-5, 17
 WEAK_START, WEAK_STEPS, PAIRS_FROM = 0.1, 100.0, 2
 FOLDS = 5
@@ -105,12 +108,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     known = known.groupBy("doc_id").agg(F.min("toxic").alias("y"), F.max("toxic").alias("y2")).where("y = y2")
     order = F.xxhash64("key", F.lit(SEED))
     chosen = table(known.select(F.col("doc_id").alias("key"), "y").orderBy(order, "key").limit(MAX_LABELLED), "labelled")  # small enough to broadcast
-    rows = docs.select(F.col(id_col).alias("key"), F.col(text).cast("binary").alias("text")).join(F.broadcast(chosen), "key")
+    rows = docs.select(F.col(id_col).alias("key"), F.col(text).alias("text")).join(F.broadcast(chosen), "key").groupBy("key", "y").agg(F.min("text").alias("text"))
     terms = F.pandas_udf(lambda texts: texts.map(lambda t: slots(t).tobytes()), "binary")
-    found = rows.select("key", "y", terms("text").alias("slots")).dropDuplicates(["key"]).orderBy(order, "key").collect()
+    found, held = [], 0
+    for r in rows.select("key", "y", terms(F.col("text").cast("binary")).alias("slots")).orderBy(order, "key").toLocalIterator():
+        held += len(r.slots) // 4
+        if held > MAX_SLOTS_HELD:
+            break
+        found.append((np.frombuffer(bytes(r.slots), np.int32), float(r.y)))
     if not found:
         return None
-    return train([np.frombuffer(r.slots, np.int32) for r in found], np.array([float(r.y) for r in found], np.float32))
+    return train([f for f, _ in found], np.array([y for _, y in found], np.float32))
 
 
 def scores(docs: DataFrame, machine: Machine | None, text: str = "text"):

@@ -55,6 +55,24 @@ def test_list_learns_a_conjunction_and_ignores_noise():
     assert not q.learn(x, rnd.random(3000) < 0.2)
 
 
+def test_the_expression_is_the_list(spark):
+    rnd = np.random.default_rng(9)
+    docs = spark.createDataFrame([(i, " ".join(rnd.choice(["Aa", "b1", "c!", "d$", "e\nf", "g"], int(rnd.integers(1, 60)))), "c", "c") for i in range(200)], SCHEMA)
+    rows = q.with_counts(docs).select("doc_id", q.F.array(*q.features()).alias("x")).collect()
+    x = np.array([r.x for r in rows])
+    for _ in range(6):
+        rules = [tuple(q.Condition(int(f), bool(rnd.integers(2)), float(rnd.choice(x[:, f]))) for f in rnd.integers(0, x.shape[1], int(rnd.integers(1, 4)))) for _ in range(3)]
+        kept = {r.doc_id: r.k for r in q.with_counts(docs).select("doc_id", q.decision_list(rules).alias("k")).collect()}
+        bad = np.any([q._holds(r, x) for r in rules], axis=0)
+        assert [kept[r.doc_id] for r in rows] == (~bad).tolist()
+
+
+def test_of_an_ids_texts_the_least_is_learned_from(spark):
+    docs = spark.createDataFrame([(1, "z " * 20, "c", "c"), (1, "a b c d e f g h i j k", "c", "c"), (2, "m n o p q r s t u v w", "c", "c")], SCHEMA)
+    labels = spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, quality int")
+    assert q.fit(docs, labels) == q.fit(docs.orderBy(q.F.desc("text")).coalesce(1), labels)
+
+
 def test_filter_keeps_clean_rows_and_all_columns(spark):
     rnd = random.Random(8)
     docs, labels = [], []

@@ -1,7 +1,9 @@
+import math
 import random
 import zlib
 
 import numpy as np
+import xxhash
 
 from platterlake.llm import toxicity as t
 
@@ -56,6 +58,33 @@ def test_whole_tables(spark):
         assert 0 <= r.s <= 1 and (r.s >= 0.5) == ("scum" in (r.text or "").lower())
 
 
+def plain_score(machine, text):
+    """The machine's formula, pair by pair."""
+    terms = set("".join(c.lower() if "A" <= c <= "Z" else c if c.isalnum() and c < "\x80" or c >= "\x80" else " " for c in text or "").encode().split())
+    slots = sorted({xxhash.xxh64_intdigest(w) % t.SLOTS for w in terms} & set(np.flatnonzero(machine.known).tolist()))
+    z = machine.bias + sum(float(machine.weights[i]) for i in slots)
+    z += sum(float(machine.factors[i].astype(float) @ machine.factors[j].astype(float)) for k, i in enumerate(slots) for j in slots[:k])
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+
+
+def test_scores_are_the_formula(spark):
+    rnd = random.Random(4)
+    texts = [" ".join(rnd.choices(["Scum", "group!", "é", "plain", "x1", "ÀB"], k=rnd.randrange(9))) for _ in range(200)]
+    machine = t.train([t.slots(x.encode()) for x in texts], np.array([float("Scum" in x and "group" in x) for x in texts], np.float32))
+    docs = spark.createDataFrame([(i, x, 0.0, 1) for i, x in enumerate([*texts, None])], DOCS)
+    for r in docs.select("text", t.scores(docs, machine).alias("s")).collect():
+        assert abs(r.s - plain_score(machine, r.text)) < 1e-4
+
+
+def test_the_least_text_of_an_id_is_learned_from_and_terms_are_bounded(spark, monkeypatch):
+    docs = [(i, f"w{k} w{i % 7}", 0.0, 1) for i in range(1, 60) for k in range(3)]
+    d, lab = spark.createDataFrame(docs, DOCS), spark.createDataFrame([(i, int(i % 7 == 0), 1) for i in range(1, 60)], LABELS)
+    one, two = t.fit(d, lab), t.fit(d.orderBy(d.text.desc()).coalesce(1), lab)
+    assert (one.weights == two.weights).all() and one.known.sum() <= 9
+    monkeypatch.setattr(t, "MAX_SLOTS_HELD", 20)
+    assert t.fit(d, lab).known.sum() < one.known.sum() + 1
+
+
 def test_no_labels_and_empty_tables(spark):
     none, lab = spark.createDataFrame([], DOCS), spark.createDataFrame([], LABELS)
     assert t.fit(none, lab) is None
