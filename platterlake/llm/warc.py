@@ -70,7 +70,7 @@ def write_archive(pages: DataFrame, min_bytes: int = 0, id_col: str = "page_id",
     revisit = (F.col("uid") != F.col("first.uid")) & (F.col("payload_bytes") >= min_bytes)
     typed = rows.join(first, "key").select("*", revisit.alias("revisit"), F.when(revisit, F.col("first.page_id")).alias("refers_to"), base32(F.col("sha1")).alias("digest"))
     headers = table(typed.select("uid", "key", header().alias("header")), "warc-headers")
-    named = pages.select(F.sha2(data, 256).alias("key"), deflate(data).alias("deflated"), F.xxhash64(data).alias("second"))
+    named = pages.select(F.sha2(data, 256).alias("key"), deflate(data).alias("deflated"), F.struct(F.octet_length(data), F.xxhash64(data)).alias("second"))
     once = named.groupBy("key").agg(F.first("deflated").alias("deflated"), F.min("second").alias("a"), F.max("second").alias("b"))
     same = F.when(F.col("a") == F.col("b"), F.col("deflated")).otherwise(F.raise_error(F.concat(F.lit("payloads differ under digest "), "key")).cast("binary"))
     return Archive(headers, table(once.select("key", same.alias("deflated")), "warc-payloads"))

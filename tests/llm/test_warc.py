@@ -1,6 +1,9 @@
 import base64
 import hashlib
 
+import pytest
+from pyspark.sql import functions as F
+
 from platterlake.llm import warc
 
 SCHEMA = "page_id long, url string, html string, digest string, uid long, key string"
@@ -37,3 +40,15 @@ def test_records_are_exact(spark):
 
 def test_empty_table(spark):
     assert warc.parse(warc.records(warc.write_archive(spark.createDataFrame([], SCHEMA)))).count() == 0
+
+
+def test_damage_is_told(spark):
+    archive = warc.write_archive(spark.createDataFrame(rows(), SCHEMA))
+    other = archive.payloads.withColumn("deflated", warc.deflate(F.lit(b"another payload")))
+    with pytest.raises(Exception, match="damaged payload"):
+        warc.records(warc.Archive(archive.headers, other)).collect()
+    whole = warc.records(archive)
+    with pytest.raises(Exception, match="damaged record"):
+        warc.parse(whole.withColumn("record", F.concat("record", F.lit(b"x")))).collect()
+    with pytest.raises(Exception, match="damaged record"):
+        warc.parse(whole.withColumn("payload", F.concat("payload", F.lit(b"x")))).collect()
