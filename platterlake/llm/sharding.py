@@ -129,13 +129,20 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text: s
     start = F.pmod(F.xxhash64("uid"), F.lit(shards)).cast("int")
     linked = table(rows.join(groups, "grp", "left_semi").withColumn("shard", start), "linked")
     linked = propagate(linked, capacity * (1 + SLACK), shards)  # room to move in where linked rows are nearly all; the excess goes below
-    loads = _loads(linked, shards)
-    weights = [max(0.0, capacity - x) for x in loads]
-    # a shard that lumps have overfilled gives up the share of its linked rows that is too much
-    excess = [max(0.0, (x - capacity) / x) if x else 0.0 for x in loads]
-    chance, again = _chance("uid", F.lit(101)), _chance("uid", F.lit(102))
-    linked = linked.withColumn("shard", F.when(chance < _by_shard(excess, F.col("shard")), _draw(weights, again)).otherwise(F.col("shard")))
-    free = rows.join(groups, "grp", "left_anti").withColumn("shard", _draw(weights, again))
+    # a shard that moves have overfilled gives up the share of its linked rows that is too much: whole groups, then, of what
+    # remains, rows
+    totals = table(linked.groupBy("grp").agg((F.sum("size") > LUMP * capacity).alias("lump")), "totals")
+    linked = linked.join(totals, "grp")
+    for salt, whole in ((101, True), (103, False)):
+        loads = _loads(linked, shards)
+        excess = [max(0.0, (x - capacity) / x) if x else 0.0 for x in loads]
+        if max(excess) < 1e-9:
+            break
+        who = lambda k, whole=whole: F.when(F.lit(whole) & ~F.col("lump"), _chance("grp", F.lit(k))).otherwise(_chance("uid", F.lit(k)))
+        moved = F.when(who(salt) < _by_shard(excess, F.col("shard")), _draw([max(0.0, capacity - x) for x in loads], who(salt + 1)))
+        linked = table(linked.withColumn("shard", moved.otherwise(F.col("shard"))), "trimmed")
+    weights = [max(0.0, capacity - x) for x in _loads(linked, shards)]
+    free = rows.join(groups, "grp", "left_anti").withColumn("shard", _draw(weights, _chance("uid", F.lit(102))))
     columns = ["uid", "doc_id", "size", "text_crc32", "shard", "free"]
     placed = table(linked.withColumn("free", F.lit(False)).select(*columns).unionByName(free.withColumn("free", F.lit(True)).select(*columns)), "placed")
     for k in range(FILL_ROUNDS):
