@@ -37,6 +37,27 @@ def classic_hfs(byte: Column, kind: Column, name: Column) -> Column:
     return F.coalesce(some & ~name.rlike(r"HFS[+X]"), F.lit(False))
 
 
+#: What a partition of an ambiguous type byte may hold.
+AMBIGUOUS = {0x07: ("ntfs", "exfat"), 0x83: ("ext", "btrfs", "xfs", "reiserfs", "ufs", "jfs", "efs")}
+
+
+def resolved(byte: Column, filesystem: Column) -> Column:
+    """The filesystem of a partition whose type byte names several, by what its volume was taken for; an error where it is none
+    of them. Other type bytes leave it to the volume."""
+    out = filesystem
+    for value, names in AMBIGUOUS.items():
+        said = F.raise_error(F.concat(F.lit(f"a partition of type {value:02x} holds "), F.coalesce(filesystem, F.lit("nothing known")))).cast("string")
+        out = F.when(byte == value, F.when(filesystem.isin(*names), filesystem).otherwise(said)).otherwise(out)
+    return out
+
+
+def typed(files: DataFrame, dictionary: DataFrame, name: str = "name") -> DataFrame:
+    """files with the type and aux that (ending, type, aux) gives for their names' endings, in any case of letters; null without one."""
+    ending = F.lower(F.regexp_extract(name, r"\.([^.]+)\z", 1))
+    of = dictionary.select(F.lower(F.ltrim(F.col("ending"), F.lit("."))).alias("__ending"), "type", "aux")
+    return files.withColumn("__e", ending).join(of, F.col("__e") == F.col("__ending"), "left").drop("__e", "__ending")
+
+
 def apple_hfs(head: Column) -> Column:
     """struct(fs_type, offset) of an Apple_HFS partition's first bytes: HFS+ may lie within an old-style volume."""
     from platterlake.sources.sniff import at, number

@@ -551,4 +551,19 @@ def crc16(spark, sf_dir):
     return read(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("c_custkey"), "c_name").mapInPandas(each, "c_custkey long, crc long")
 
 
+@R.add("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'ntfs' WHEN 1 THEN 'exfat' WHEN 2 THEN 'xfs' ELSE 'ext' END AS fs FROM part")
+def resolved_types(spark, sf_dir):
+    """Volumes behind type bytes 07 and 83, told by their bytes."""
+    cases = (("ntfs", 3, "4E54465320202020"), ("exfat", 3, "4558464154202020"), ("xfs", 0, "58465342"), ("ext", 1080, "53EF"))
+    byte = F.when(F.col("p_partkey") % 4 < 2, 0x07).otherwise(0x83)
+    return read(spark, sf_dir, "part").select("p_partkey", selection.resolved(byte, sniff.filesystem(_placed(cases, 1600))).alias("fs"))
+
+
+@R.add("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 4 WHEN 1 THEN 252 END AS type, CASE p_partkey % 3 WHEN 0 THEN 0 WHEN 1 THEN 2049 END AS aux FROM part")
+def type_dictionary(spark, sf_dir):
+    name = F.concat("p_name", F.get(F.array(*map(F.lit, (".TXT", ".bas", ".none"))), F.col("p_partkey") % 3))
+    entries = F.array(*(F.struct(F.lit(e).alias("ending"), F.lit(t).alias("type"), F.lit(a).alias("aux")) for e, t, a in (("txt", 4, 0), (".BAS", 252, 2049))))
+    return selection.typed(read(spark, sf_dir, "part").select("p_partkey", name.alias("name")), spark.range(1).select(F.inline(entries))).select("p_partkey", "type", "aux")
+
+
 QUERIES, ORACLE_SQL = R.queries, R.sql
