@@ -61,23 +61,24 @@ def fates(entries: DataFrame, edits: DataFrame) -> DataFrame:
     return out
 
 
-def apply_edits(entries: DataFrame, edits: DataFrame) -> DataFrame:
-    """entries (path, kind, size, mode) after edits (seq, op, path, kind, size, mode, new_path), applied in the order of seq.
+def apply_edits(entries: DataFrame, edits: DataFrame, values: tuple[str, ...] = VALUES) -> DataFrame:
+    """entries (path and values) after edits (seq, op, path, new_path and the same values), applied in the order of seq.
 
-    op: create, set, delete or rename, the last two with all that lies below the path at that time. set keeps what it leaves
+    op: create, set, delete or rename, the last two with all that lies below the path at that time. values: the columns that
+    create and set give, such as kind, size and mode, or types, creators, dates and link targets; set keeps what it leaves
     null. What is created at a path, or moved there, replaces the entry there, and what folders have in common when one is
     moved onto another is the later arrival's; seq must not repeat for what concerns one entry. Otherwise an edit of a path that
     does not exist then changes nothing. The result is a new version, so a failed edit leaves the old one.
     """
     life = settled(fates(entries, edits))
-    first = entries.select(F.col("path").alias("origin"), F.lit(_BEFORE).alias("born"), *VALUES).unionByName(edits.where("op = 'create'").select(F.col("path").alias("origin"), F.col("seq").cast("long").alias("born"), *VALUES))
-    sets = edits.where("op = 'set'").select("path", F.col("seq").cast("long").alias("seq"), *(F.col(c).alias(f"n_{c}") for c in VALUES))
+    first = entries.select(F.col("path").alias("origin"), F.lit(_BEFORE).alias("born"), *values).unionByName(edits.where("op = 'create'").select(F.col("path").alias("origin"), F.col("seq").cast("long").alias("born"), *values))
+    sets = edits.where("op = 'set'").select("path", F.col("seq").cast("long").alias("seq"), *(F.col(c).alias(f"n_{c}") for c in values))
     told = life.join(sets, "path").where((F.col("seq") > F.col("since")) & (F.col("until").isNull() | (F.col("seq") < F.col("until"))))
-    last = told.groupBy("origin", "born").agg(*(F.max_by(f"n_{c}", F.when(F.col(f"n_{c}").isNotNull(), F.col("seq"))).alias(f"n_{c}") for c in VALUES))
+    last = told.groupBy("origin", "born").agg(*(F.max_by(f"n_{c}", F.when(F.col(f"n_{c}").isNotNull(), F.col("seq"))).alias(f"n_{c}") for c in values))
     there = life.where("until IS NULL").groupBy("path").agg(F.max(F.struct("since", "born", "origin")).alias("e"))
     alive = there.select("path", "e.origin", "e.born")
     joined = first.join(alive, ["origin", "born"]).join(last, ["origin", "born"], "left")
-    return joined.select("path", *(F.coalesce(f"n_{c}", c).alias(c) for c in VALUES))
+    return joined.select("path", *(F.coalesce(f"n_{c}", c).alias(c) for c in values))
 
 
 def space_delta(entries: DataFrame, edits: DataFrame) -> DataFrame:

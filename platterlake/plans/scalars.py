@@ -395,6 +395,19 @@ def edit_subtree(spark, sf_dir):
     return edits.apply_edits(tree, log)
 
 
+@R.add("""SELECT '/' || c_custkey AS path, CASE WHEN c_custkey % 2 = 0 THEN 'TEXT' ELSE 'APPL' END AS type_code, CASE WHEN c_custkey % 6 = 0 THEN 'MSWD' ELSE 'ttxt' END AS creator_code, CASE WHEN c_custkey % 5 = 0 THEN '2024-01-02 03:04:05' END AS modified, CAST(NULL AS VARCHAR) AS target FROM customer
+UNION ALL SELECT '/link' || c_custkey, NULL, NULL, NULL, '/' || c_custkey FROM customer WHERE c_custkey % 9 = 0""")
+def edit_metadata(spark, sf_dir):
+    """Types, creators, dates and links as edits of their own columns."""
+    values = ("type_code", "creator_code", "modified", "target")
+    null = F.lit(None).cast("string")
+    files = read(spark, sf_dir, "customer").select(F.concat(F.lit("/"), F.col("c_custkey").cast("string")).alias("path"), F.lit("APPL").alias("type_code"), F.lit("ttxt").alias("creator_code"), null.alias("modified"), null.alias("target"), "c_custkey")
+    edit = lambda when, seq, op, path=F.col("path"), **given: files.where(when).select(F.lit(seq).alias("seq"), F.lit(op).alias("op"), path.alias("path"), null.alias("new_path"), *(given.get(v, null).alias(v) for v in values))
+    log = edit("c_custkey % 2 = 0", 1, "set", type_code=F.lit("TEXT")).union(edit("c_custkey % 6 = 0", 2, "set", creator_code=F.lit("MSWD"))).union(edit("c_custkey % 5 = 0", 3, "set", modified=F.lit("2024-01-02 03:04:05")))
+    log = log.union(edit("c_custkey % 9 = 0", 4, "create", F.concat(F.lit("/link"), F.col("c_custkey").cast("string")), target=F.col("path")))
+    return edits.apply_edits(files.select("path", *values), log, values)
+
+
 @R.add(f"SELECT CAST(9 AS BIGINT) AS added, CAST((SELECT sum(size) FROM ({_TREE}) WHERE path LIKE '/BUILDING/%' OR (kind = 'file' AND size % 10 = 0)) AS BIGINT) AS freed")
 def space_delta_of_folders(spark, sf_dir):
     tree = _tree(spark, sf_dir)

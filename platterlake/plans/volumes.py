@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from platterlake.plans.common import Registry, read
-from platterlake.sources import archives, containers, filesystems, floppies, partitions, samples
+from platterlake.sources import archives, containers, filesystems, floppies, partitions, samples, stuffit
 from platterlake.sources.entries import Entry, runs_of_bits
 
 R = Registry()
@@ -49,7 +49,7 @@ def _sql(fs: str, path: str, size: str = "length(c)", folders: bool = True) -> s
 
 _IN_FOLDER, _FLAT = "'/R' || n_regionkey || '/' || f", "'/' || f"
 #: Writers of volumes by the filesystem that they must be taken for.
-_TREES = {"fat": samples.fat12, "ext": samples.ext, "ntfs": samples.ntfs, "hfsplus": samples.hfsplus, "hfs": samples.hfs, "os9": samples.os9, "affs": samples.affs, "iso9660": samples.iso9660, "efs": samples.efs}
+_TREES = {"fat": samples.fat12, "ext": samples.ext, "ntfs": samples.ntfs, "hfsplus": samples.hfsplus, "hfs": samples.hfs, "os9": samples.os9, "affs": samples.affs, "iso9660": samples.iso9660, "efs": samples.efs, "ufs": samples.ufs, "xfs": samples.xfs}
 _FLATS = {
     "exfat": (samples.exfat, _FLAT, "length(c)"), "prodos": (samples.prodos, _FLAT, "length(c)"), "cbmdos": (samples.d64, _FLAT, "length(c)"), "applesdos33": (samples.apple_dos, _FLAT, "(length(c) + 255) // 256 * 256"),
     "acorndfs": (samples.acorn_dfs, "'/$.' || f", "length(c)"), "ataridos": (samples.atari_dos, _FLAT, "length(c)"), "rsdos": (samples.rsdos, _FLAT, "length(c)"), "dragondos": (samples.dragon_dos, _FLAT, "length(c)"),
@@ -93,6 +93,17 @@ def volume_ext_with_block_maps(spark, sf_dir):
     return _listing(spark, sf_dir, lambda folder, files: filesystems.entries(samples.ext(_tree(folder, files), extents=False), True))
 
 
+@R.add(_sql("xfs", _IN_FOLDER))
+def volume_xfs_version_4(spark, sf_dir):
+    """Folders in blocks, without types of files."""
+    return _listing(spark, sf_dir, lambda folder, files: filesystems.entries(samples.xfs(_tree(folder, files), 4, short=False), True))
+
+
+@R.add(_sql("ufs", _IN_FOLDER))
+def volume_ufs_big_endian(spark, sf_dir):
+    return _listing(spark, sf_dir, lambda folder, files: filesystems.entries(samples.ufs(_tree(folder, files), False, ">"), True))
+
+
 @R.add(_sql("cpm", _FLAT, "(length(c) + 127) // 128 * 128", False))
 def volume_cpm(spark, sf_dir):
     return _listing(spark, sf_dir, lambda _, files: ("cpm", floppies.CpM(samples.cpm(files)).entries(True)))
@@ -108,6 +119,19 @@ def archive_tar(spark, sf_dir):
     return _listing(spark, sf_dir, made)
 
 
+def _register_stuffit() -> None:
+    for method, name in ((0, "stored"), (1, "runs"), (3, "huffman")):
+
+        def made(spark, sf_dir, method=method):
+            return _listing(spark, sf_dir, lambda folder, files: ("stuffit", archives.READERS["stuffit"](stuffit.write_stuffit(_tree(folder, files), method), True)))
+
+        made.__name__ = f"archive_stuffit_{name}"
+        R.add(_sql("stuffit", _IN_FOLDER))(made)
+
+
+_register_stuffit()
+
+
 def _register_archives() -> None:
     for kind, write in (("macbinary", archives.write_macbinary), ("binhex", archives.write_binhex)):
 

@@ -1,4 +1,4 @@
-"""Archives to entries: tar, MacBinary, BinHex and AppleDouble."""
+"""Archives to entries: tar, MacBinary, BinHex and AppleDouble here, StuffIt in a module of its own."""
 
 from __future__ import annotations
 
@@ -12,7 +12,8 @@ import zlib
 from collections.abc import Iterator
 
 from platterlake.functions.digests import crc16
-from platterlake.sources.filesystems import Entry
+from platterlake.sources import stuffit
+from platterlake.sources.entries import Entry
 
 #: The letters of BinHex in the order of their six bits.
 BINHEX = "!\"#$%&'()*+,-012345689@ABCDEFGHIJKLMNPQRSTUVXYZ[`abcdefhijklmpqr"
@@ -148,7 +149,9 @@ def kind_of(data) -> str | None:
         return "binhex"
     if is_macbinary(data):
         return "macbinary"
+    if stuffit.is_stuffit(data):
+        return "stuffit"
     return None
 
 
-READERS = {"tar": tar, "binhex": binhex, "macbinary": macbinary}
+READERS = {"tar": tar, "binhex": binhex, "macbinary": macbinary, "stuffit": stuffit.stuffit}

@@ -9,7 +9,7 @@ import struct
 import zipfile
 import zlib
 
-from platterlake.sources.ranged import Mapped, Pieces, View
+from platterlake.sources.ranged import Chain, Mapped, Pieces, View, open_file
 
 SECTOR = 512
 
@@ -270,6 +270,25 @@ def _vmdk_view(data):
     return Mapped(capacity * SECTOR, grain * SECTOR, place)
 
 
+def _described(data, path: str):
+    """A text that names a disk's extents, which lie in files beside it: flat, sparse or zeros."""
+    pieces, at, home = [], 0, path.rpartition("/")[0]
+    beside = lambda name: open_file(f"{home}/{name}" if home else name)
+    for count, kind, name, offset in re.findall(r'(?m)^\s*(?:RW|RDONLY|NOACCESS)\s+(\d+)\s+(\w+)(?:\s+"([^"]*)"(?:\s+(\d+))?)?', bytes(data[: 1 << 20]).decode("utf-8", "replace")):
+        size = int(count) * SECTOR
+        if kind == "ZERO":
+            source = None
+        elif kind in ("FLAT", "VMFS"):
+            source = View(beside(name), int(offset or 0) * SECTOR, size)
+        elif kind in ("SPARSE", "VMFSSPARSE"):
+            source = _vmdk_view(beside(name))
+        else:
+            raise ValueError(f"extents of type {kind} are not supported")
+        pieces.append((at, size, source))
+        at += size
+    return Chain(at, pieces)
+
+
 def _twomg_view(data):
     return View(data, *struct.unpack("<II", data[24:32]))
 
@@ -466,7 +485,9 @@ def opened(data, path: str, depth: int = 4):
         name = name_of(data, path)
         if name in ("raw", "tar"):
             return prodos_ordered(data)
-        if name in VIEWS:
+        if name == "vmdk-text":
+            data = _described(data, path)
+        elif name in VIEWS:
             data = VIEWS[name](data)
         elif name in DECODERS:
             data = DECODERS[name](bytes(data[:]))

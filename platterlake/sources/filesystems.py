@@ -7,7 +7,7 @@ import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from platterlake.sources import floppies
+from platterlake.sources import floppies, unix
 from platterlake.sources.entries import SCHEMA, Entry, grouped, part, runs_of_bits, unpack_from  # noqa: F401
 from platterlake.sources.sniff import filesystem_of
 
@@ -815,7 +815,7 @@ class Carve:
             yield open_, total
 
 
-DRIVERS = {"fat": Fat, "exfat": ExFat, "ext": Ext, "ntfs": Ntfs, "prodos": ProDos, "cbmdos": Cbm, "applesdos33": AppleDos, "acorndfs": AcornDfs, "hfs": Hfs, "hfsplus": HfsPlus, "mfs": Mfs, "iso9660": Iso, "carve": Carve, **floppies.DRIVERS}
+DRIVERS = {"fat": Fat, "exfat": ExFat, "ext": Ext, "ntfs": Ntfs, "prodos": ProDos, "cbmdos": Cbm, "applesdos33": AppleDos, "acorndfs": AcornDfs, "hfs": Hfs, "hfsplus": HfsPlus, "mfs": Mfs, "iso9660": Iso, "carve": Carve, **floppies.DRIVERS, **unix.DRIVERS}
 
 
 def entries(data, contents: bool = False, limit: int | None = None) -> tuple[str, Iterator[Entry]]:

@@ -98,6 +98,25 @@ class Mapped(Source):
         return b"".join(out)
 
 
+class Chain(Source):
+    """A disk of sources one behind the other: (start, size, source or None for zeros)."""
+
+    def __init__(self, size: int, parts: list[tuple[int, int, Source | None]]):
+        self.size, self.parts, self.starts = size, parts, [p[0] for p in parts]
+
+    def __len__(self) -> int:
+        return self.size
+
+    def read(self, start: int, size: int) -> bytes:
+        out, stop = [], start + size
+        while start < stop:
+            first, length, source = self.parts[bisect_right(self.starts, start) - 1]
+            take = min(first + length, stop) - start
+            out.append(bytes(take) if source is None else source[start - first : start - first + take].ljust(take, b"\0"))
+            start += take
+        return b"".join(out)
+
+
 class Pieces(Source):
     """A disk of pieces of any size: (start, size, function that gives the piece's bytes or None for zeros), in order."""
 

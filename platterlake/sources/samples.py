@@ -871,3 +871,109 @@ def human68k(files):
     disk[1024:3072] = disk[3072:5120] = fat
     disk[5120 : 5120 + len(slots)] = slots
     return bytes(disk)
+
+
+def ufs(files, wide=True, order="<", block=8192, fragment=1024, fragments=4096):
+    """files: {path: bytes or None for a folder}, folders first; one group. wide: UFS2, else UFS1."""
+    disk, per, inodes_at = bytearray(fragments * fragment), 64, 80
+    sb = 65536 if wide else 8192
+    for at, value in ((16, inodes_at), (20, 112), (44, 1), (48, block), (52, fragment), (56, block // fragment), (184, per), (188, fragments), (1372, 0x19540119 if wide else 0x00011954)):
+        struct.pack_into(order + "I", disk, sb + at, value)
+    homes, following = {"": 2} | {p: 3 + k for k, p in enumerate(files)}, 112
+
+    def new(n):
+        nonlocal following
+        following += n
+        return following - n
+
+    def put(n, mode, body, target=None):
+        blocks, own = [0] * 15, []
+        raw = body
+        for at in range(0, len(raw), block):
+            place = new(-(-min(block, len(raw) - at) // fragment))
+            disk[place * fragment : place * fragment + len(raw[at : at + block])] = raw[at : at + block]
+            own.append(place)
+        blocks[: min(12, len(own))] = own[:12]
+        if own[12:]:
+            blocks[12] = new(block // fragment)
+            struct.pack_into(f"{order}{len(own) - 12}{'q' if wide else 'i'}", disk, blocks[12] * fragment, *own[12:])
+        at = inodes_at * fragment + n * (256 if wide else 128)
+        if wide:
+            struct.pack_into(order + "HHIIIQQqqq", disk, at, mode, 1, 7, 8, block, len(body), 0, 0, 86_400, 0)
+            struct.pack_into(order + "15q", disk, at + 112, *blocks)
+        else:
+            struct.pack_into(order + "HHIQ", disk, at, mode, 1, 0, len(body))
+            struct.pack_into(order + "i", disk, at + 24, 86_400)
+            struct.pack_into(order + "15i", disk, at + 40, *blocks)
+            struct.pack_into(order + "II", disk, at + 112, 7, 8)
+
+    def folder(own):
+        out = b""
+        for k, (name, n) in enumerate(own):
+            raw = name.encode()
+            size = -(-(8 + len(raw) + 1) // 4) * 4
+            out += struct.pack(order + "IHBB", n, size if k + 1 < len(own) else 512 - len(out), 0, len(raw)) + raw.ljust(size - 8, b"\0")
+        return out.ljust(512, b"\0")
+
+    for path in ["", *(p for p, b in files.items() if b is None)]:
+        put(homes[path], 0o040755, folder([(".", homes[path]), ("..", homes[path.rpartition("/")[0]]), *((p.rpartition("/")[2], homes[p]) for p in files if p.rpartition("/")[0] == path)]))
+    for path, body in files.items():
+        if body is not None:
+            put(homes[path], 0o100644, body)
+    return bytes(disk)
+
+
+def xfs(files, version=5, block=4096, group=512, short=True):
+    """files: {path: bytes or None for a folder}, folders first; one group. short: folders within their inodes, else in a block."""
+    size, log = 512, 9
+    disk = bytearray(block * group)
+    per, head = block // size, 176 if version == 5 else 100
+    first = 8  # the block of the first inodes
+    homes = {"": first * per} | {p: first * per + 1 + k for k, p in enumerate(files)}
+    struct.pack_into(">4sIQ", disk, 0, b"XFSB", block, group)
+    struct.pack_into(">Q", disk, 56, homes[""])
+    struct.pack_into(">II", disk, 84, group, 1)
+    struct.pack_into(">HHHH", disk, 100, version, 512, size, per)
+    disk[120:125] = bytes([12, 9, log, 3, 9])
+    if version == 5:
+        struct.pack_into(">I", disk, 216, 1)
+    typed, following = version == 5, first + 16
+
+    def put(n, mode, form, body, length):
+        at = n // per * block + n % per * size
+        struct.pack_into(">HHBBHII", disk, at, 0x494E, mode, 3 if version == 5 else 2, form, 0, 7, 8)
+        struct.pack_into(">i", disk, at + 40, 86_400)
+        struct.pack_into(">Q", disk, at + 56, length)
+        struct.pack_into(">I", disk, at + 76, len(body) // 16 if form == 2 else 0)
+        disk[at + head : at + head + len(body)] = body
+
+    def extents(body):
+        nonlocal following
+        out, count = b"", -(-len(body) // block)
+        disk[following * block : following * block + len(body)] = body
+        at = 0
+        while at < count:  # in pieces of two blocks
+            n = min(2, count - at)
+            out += (at << 73 | (following + at) << 21 | n).to_bytes(16, "big")
+            at += n
+        following += count
+        return out
+
+    for path in ["", *(p for p, b in files.items() if b is None)]:
+        own = [(p.rpartition("/")[2].encode(), homes[p]) for p in files if p.rpartition("/")[0] == path]
+        up = homes[path.rpartition("/")[0]]
+        if short:
+            body = struct.pack(">BBI", len(own), 0, up) + b"".join(bytes([len(n), 0, 0]) + n + (b"\1" if typed else b"") + struct.pack(">I", i) for n, i in own)
+            put(homes[path], 0o040755, 1, body, len(body))
+        else:
+            raw = (b"XDB3" if version == 5 else b"XD2B").ljust(64 if version == 5 else 16, b"\0")
+            for name, number in [(b".", homes[path]), (b"..", up), *own]:
+                entry = struct.pack(">QB", number, len(name)) + name + (b"\1" if typed else b"")
+                raw += entry.ljust(-(-(len(entry) + 2) // 8) * 8, b"\0")
+            leaves = 8 * (len(own) + 2) + 8
+            raw += struct.pack(">HH", 0xFFFF, block - leaves - len(raw))
+            put(homes[path], 0o040755, 2, extents(raw.ljust(block - 8, b"\0") + struct.pack(">II", len(own) + 2, 0)), block)
+    for path, body in files.items():
+        if body is not None:
+            put(homes[path], 0o100644, 2, extents(body), len(body))
+    return bytes(disk)

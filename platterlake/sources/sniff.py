@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 #: Containers by magic bytes at an offset; negative offsets count from the end.
 CONTAINERS = (
     ("gzip", 0, "1F8B"), ("zstd", 0, "28B52FFD"), ("lz4", 0, "04224D18"), ("zip", 0, "504B0304"), ("chd", 0, "4D436F6D70724844"),
-    ("qcow2", 0, "514649FB"), ("vmdk", 0, "4B444D56"), ("vhd-dynamic", 0, "636F6E6563746978"), ("vhd-fixed", -512, "636F6E6563746978"),
+    ("qcow2", 0, "514649FB"), ("vmdk", 0, "4B444D56"), ("vmdk-text", 0, "23204469736B2044657363726970746F7246696C65"), ("vhd-dynamic", 0, "636F6E6563746978"), ("vhd-fixed", -512, "636F6E6563746978"),
     ("2mg", 0, "32494D47"), ("woz", 0, "574F5A31"), ("woz", 0, "574F5A32"), ("dmg", -512, "6B6F6C79"), ("atr", 0, "9602"), ("msa", 0, "0E0F"),
     ("edsk", 0, "455854454E444544"), ("edsk", 0, "4D56202D20435043"), ("partclone", 0, "70617274636C6F6E652D696D61676500"), ("g64", 0, "4743522D31353431"), ("ghost", 0, "FEEF"), ("stuffit", 0, "53495421"), ("stuffit5", 0, "5374756666497420"),
     ("dc42", 82, "0100"), ("tar", 257, "7573746172"),

@@ -280,7 +280,7 @@ TREE = {"/DIR": None, "/HELLO.TXT": b"Hello there", "/DIR/BIG.BIN": body(9000),
 FLAT = {"HELLO.TXT": b"Hello there", "BIG.BIN": body(5000), "ODD": body(777)}
 
 
-@pytest.mark.parametrize(("name", "disk"), [("os9", images.os9(TREE)), ("affs", images.affs(TREE)), ("affs", images.affs(TREE | {"/HUGE": body(60_000)}, fast=False)), ("iso9660", images.iso9660(TREE)), ("efs", images.efs(TREE))])
+@pytest.mark.parametrize(("name", "disk"), [("os9", images.os9(TREE)), ("affs", images.affs(TREE)), ("affs", images.affs(TREE | {"/HUGE": body(60_000)}, fast=False)), ("iso9660", images.iso9660(TREE)), ("efs", images.efs(TREE)), ("xfs", images.xfs(TREE)), ("xfs", images.xfs(TREE, 4)), ("xfs", images.xfs(TREE, short=False)), ("xfs", images.xfs(TREE, 4, short=False))])
 def test_trees(name, disk):
     fs, found = filesystems.entries(disk, True)
     got = {e.path: e for e in found}
@@ -291,6 +291,59 @@ def test_trees(name, disk):
         assert got["/ODD"].modified == "1978-01-02 00:02:03"
 
 
+def test_described_disks(tmp_path):
+    disk = images.mbr([(0x06, 63, images.fat12(FILES), False)], 3 << 20)
+    (tmp_path / "x-flat.vmdk").write_bytes(b"?" * 512 + disk[: 2 << 20])
+    (tmp_path / "y.vmdk").write_bytes(images.vmdk(disk[2 << 20 :]))
+    text = f'# Disk DescriptorFile\nversion=1\nRW {2 << 11} FLAT "x-flat.vmdk" 1\nRW 7 ZERO\nRW {1 << 11} SPARSE "y.vmdk"\n'
+    (tmp_path / "x.vmdk").write_text(text)
+    path = str(tmp_path / "x.vmdk")
+    assert containers.flat(ranged.open_file(path), path) == disk[: 2 << 20] + bytes(7 * 512) + disk[2 << 20 :]
+
+
+@pytest.mark.parametrize("method", [0, 1, 3])
+def test_stuffit(method):
+    from platterlake.sources import stuffit
+
+    files = {"/a": b"x" * 300 + b"\x90\x90" + b"yy", "/D": None, "/D/b": body(4000), "/D/E": None, "/D/E/c": b"", "/z/": b"zz"} | {"/z2": b"q"}
+    files.pop("/z/")
+    made = stuffit.write_stuffit(files, method)
+    assert archives.kind_of(made) == "stuffit"
+    got = {e.path: e for e in archives.READERS["stuffit"](made, True)}
+    assert {p: e.content for p, e in got.items()} == files and got["/a"].type_code == "TEXT" and got["/D"].kind == "directory" and got["/a"].modified == "2024-01-01 00:00:00"
+    hurt = bytearray(made)
+    hurt[-140 if method == 0 else 25] ^= 1
+    with pytest.raises(ValueError, match="checksum"):
+        list(stuffit.stuffit(bytes(hurt), True))
+
+
+@pytest.mark.parametrize("order", "<>")
+@pytest.mark.parametrize("wide", [True, False])
+def test_ufs(wide, order):
+    files = TREE | {"/HUGE": body(200_000)}
+    fs, found = filesystems.entries(images.ufs(files, wide, order), True)
+    got = {e.path: e for e in found}
+    assert fs == "ufs" and {p: e.content for p, e in got.items()} == files
+    assert (got["/ODD"].mode, got["/ODD"].uid, got["/ODD"].gid, got["/ODD"].modified) == (0o100644, 7, 8, "1970-01-02 00:00:00")
+
+
+def test_xfs_trees_of_extents():
+    from platterlake.sources.unix import Xfs
+
+    disk = bytearray(images.xfs({"/big": body(40_000)}))
+    xfs = Xfs(bytes(disk))
+    inode = xfs._inode(xfs.ROOT + 1)
+    records, at = inode["fork"][: 16 * inode["count"]], xfs._place(xfs.ROOT + 1 >> 3) + 512
+    node = 400  # the records move to a leaf, which the inode names
+    disk[node * 4096 : node * 4096 + 72 + len(records)] = b"BMA3" + (0).to_bytes(2, "big") + inode["count"].to_bytes(2, "big") + bytes(64) + records
+    disk[at + 5] = 3
+    fork = bytearray(512 - 176)
+    fork[:4], most = b"\0\1\0\1", (512 - 176 - 4) // 16
+    fork[4 + 8 * most : 12 + 8 * most] = node.to_bytes(8, "big")
+    disk[at + 176 : at + 512] = fork
+    assert {e.path: e.content for e in Xfs(bytes(disk)).entries(True)} == {"/big": body(40_000)}
+
+
 @pytest.mark.parametrize(("name", "disk"), [("ataridos", images.atari_dos(FLAT)), ("rsdos", images.rsdos(FLAT)), ("dragondos", images.dragon_dos(FLAT)), ("mfs", images.mfs(FLAT)), ("human68k", images.human68k(FLAT | {"A LONG NAME 12345.X": b"x"}))])
 def test_flat_volumes(name, disk):
     fs, found = filesystems.entries(disk, True)
@@ -366,3 +419,19 @@ def test_runs_of_bitmaps():
             raw = bytes(sum(b << (7 - k if high else k) for k, b in enumerate(bits[i : i + 8])) for i in range(0, count, 8))
             found = list(runs_of_bits(raw, count, 7, high))
             assert [u for _, n, u in found for _ in range(n)] == bits and all(a[0] + a[1] == b[0] for a, b in zip(found, found[1:]))
+
+
+def test_a_sparse_image_of_five_gigabytes(spark, tmp_path):
+    volume, start = images.fat12(FILES), 5 << 30
+    first, last = partitions.write_gpt([("EBD0A0A2-B9E5-4433-87C0-68B6B72699C7", start // 512, len(volume) // 512, "data")], (start + len(volume)) // 512 + 34)
+    with open(tmp_path / "big.img", "wb") as f:
+        f.write(first)
+        f.seek(start)
+        f.write(volume)
+        f.truncate(start + len(volume) + 34 * 512)
+        f.seek(-len(last), 2)
+        f.write(last)
+    found = {r.path: r for r in readers.read_entries(spark, str(tmp_path), contents=True).collect()}
+    assert {p: bytes(r.content) for p, r in found.items() if r.kind == "file"} == {p: b for p, b in FILES.items() if b is not None}
+    assert [(r.scheme, r.start_byte) for r in readers.read_partitions(spark, str(tmp_path)).collect()] == [("gpt", start)]
+    assert [(r.container, r.scheme, r["length"]) for r in readers.probe(spark, str(tmp_path)).collect()] == [("raw", "gpt", start + len(volume) + 34 * 512)]
