@@ -123,9 +123,24 @@ def check_blocks(entries: DataFrame, allocation: DataFrame, span: int = 1 << 15)
     return report([unmapped, shared])
 
 
+def check_links(links: DataFrame) -> DataFrame:
+    """Issues of inodes whose stored links are not as many as the names that lead to them.
+
+    links: (image_id, part_index, record, inode, links, child), rows of inodes and of names.
+    """
+    key = ["image_id", "part_index"]
+    names = links.where("record = 'name'").groupBy(*key, F.col("child").alias("inode")).agg(F.count(F.lit(1)).alias("found"))
+    stored = links.where("record = 'inode'").select(*key, "inode", "links").distinct()
+    both = stored.join(names, [*key, "inode"], "full").withColumn("found", F.coalesce("found", F.lit(0)))
+    text = F.concat(F.lit("inode "), F.col("inode").cast("string"), F.lit(" has "), F.coalesce(F.col("links").cast("string"), F.lit("no")), F.lit(" links and "), F.col("found").cast("string"), F.lit(" names"))
+    return issue(both.where(~F.col("links").eqNullSafe(F.col("found"))), "LinkCountMismatch", text)
+
+
 def check_images(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """Issues of all volumes of the images under a path: catalogs of HFS and HFS+, and blocks where a map is read."""
+    """Issues of all volumes of the images under a path: catalogs of HFS and HFS+, blocks where a map is read, links of EFS, UFS
+    and XFS, and what the drivers' own checks find."""
     from platterlake.sources import readers
 
     catalog = check_catalog(*catalog_relations(readers.read_catalog(spark, path, glob)))
-    return report([catalog, check_blocks(readers.read_entries(spark, path, glob=glob), readers.read_allocation(spark, path, glob))])
+    blocks = check_blocks(readers.read_entries(spark, path, glob=glob), readers.read_allocation(spark, path, glob))
+    return report([catalog, blocks, check_links(readers.read_links(spark, path, glob)), readers.read_problems(spark, path, glob).select("image_id", "severity", "code", "message")])

@@ -8,9 +8,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from platterlake.operators import checks
 from platterlake.plans.common import Registry, read
 from platterlake.sources import archives, containers, filesystems, floppies, partitions, samples, stuffit
-from platterlake.sources.entries import Entry, runs_of_bits
+from platterlake.sources.entries import LINKS, Entry, runs_of_bits
 
 R = Registry()
 
@@ -279,4 +280,45 @@ def allocation_runs(spark, sf_dir):
     return read(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("p_partkey")).mapInPandas(each, "kind string, p_partkey long, used long")
 
 
+def _linked(spark, sf_dir, write, hurt) -> DataFrame:
+    """The inodes and names of each region's volume, after a fault was planted."""
+
+    def each(key, frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("name")
+        disk = bytearray(write(_tree(f"R{key[0]}", {n: bytes(c) for n, c in zip(frame["name"], frame["content"], strict=True)})))
+        hurt(disk)
+        return pd.DataFrame([(key[0], 0, *r) for r in filesystems.links(bytes(disk))], columns=[c.split()[0] for c in LINKS.split(", ")])
+
+    return _files(spark, sf_dir).groupBy("image_id").applyInPandas(each, LINKS)
+
+
+@R.add("SELECT CAST(r_regionkey AS VARCHAR) AS image_id, 'error' AS severity, 'LinkCountMismatch' AS code, 'inode 4 has 9 links and 1 names' AS message FROM region")
+def check_ufs(spark, sf_dir):
+    """The first file of every volume is made to store nine links."""
+    return checks.check_links(_linked(spark, sf_dir, samples.ufs, lambda disk: disk.__setitem__(80 * 1024 + 4 * 256 + 2, 9)))
+
+
+@R.add("SELECT CAST(r_regionkey AS VARCHAR) AS image_id, 'error' AS severity, 'LinkCountMismatch' AS code, 'inode 66 has 9 links and 1 names' AS message FROM region")
+def check_xfs(spark, sf_dir):
+    return checks.check_links(_linked(spark, sf_dir, samples.xfs, lambda disk: disk.__setitem__(8 * 4096 + 2 * 512 + 19, 9)))
+
+
+@R.add("SELECT CAST(r_regionkey AS VARCHAR) AS image_id, 'error' AS severity, 'LinkCountMismatch' AS code, 'inode 3 has 9 links and 2 names' AS message FROM region")
+def check_efs(spark, sf_dir):
+    """The folder of every volume, which its parent and itself name."""
+    return checks.check_links(_linked(spark, sf_dir, samples.efs, lambda disk: disk.__setitem__(2 * 512 + 3 * 128 + 3, 9)))
+
+
+@R.add("SELECT CAST(r_regionkey AS VARCHAR) AS image_id, code FROM region, (VALUES ('BadChecksum'), ('WrongParent')) AS v(code)")
+def check_affs(spark, sf_dir):
+    """The parent of every volume's folder is made a wrong one, which its checksum tells too."""
+
+    def each(key, frame: pd.DataFrame) -> pd.DataFrame:
+        disk = bytearray(samples.affs(_tree(f"R{key[0]}", {n: bytes(c) for n, c in zip(frame["name"], frame["content"], strict=True)})))
+        disk[512 * 882 + 503] ^= 1
+        return pd.DataFrame([(key[0], code) for _, code, _ in filesystems.problems(bytes(disk))], columns=["image_id", "code"])
+
+    return _files(spark, sf_dir).groupBy("image_id").applyInPandas(each, "image_id string, code string")
+
+
 QUERIES, ORACLE_SQL = R.queries, R.sql

@@ -9,6 +9,8 @@ from dataclasses import dataclass, field
 import numpy as np
 
 ALLOCATION = "image_id string, part_index int, fs_type string, block_size bigint, start bigint, blocks bigint, used boolean"
+LINKS = "image_id string, part_index int, record string, inode bigint, links bigint, child bigint"
+PROBLEMS = "image_id string, part_index int, severity string, code string, message string"
 CATALOG = "image_id string, part_index int, record string, cnid bigint, parent bigint, name string, valence bigint"
 
 SCHEMA = (

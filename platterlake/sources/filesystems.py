@@ -840,3 +840,15 @@ def catalog(data) -> Iterator[tuple[str, int, int, str, int | None]]:
     """The records of a volume's catalog tree; nothing where it has none."""
     driver = DRIVERS.get(filesystem_of(data) or "carve", Carve)
     return driver(data).catalog_rows() if hasattr(driver, "catalog_rows") else iter(())
+
+
+def links(data) -> Iterator[tuple[str, int, int | None, int | None]]:
+    """The inodes and names of a volume of EFS, UFS or XFS; nothing of others."""
+    driver = DRIVERS.get(filesystem_of(data) or "carve", Carve)
+    return driver(data).links() if hasattr(driver, "links") else iter(())
+
+
+def problems(data) -> Iterator[tuple[str, str, str]]:
+    """What a driver's own checks find wrong; nothing where it has none."""
+    driver = DRIVERS.get(filesystem_of(data) or "carve", Carve)
+    return driver(data).problems() if hasattr(driver, "problems") else iter(())

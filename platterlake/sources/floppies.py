@@ -154,7 +154,7 @@ class Affs:
     BLOCK = 512
 
     def __init__(self, data):
-        self.data, self.fast = data, bool(data[3] & 1)
+        self.data, self.fast, self.international = data, bool(data[3] & 1), data[3] > 1
         blocks = len(data) // self.BLOCK
         told = int.from_bytes(data[8:12], "big")
         self.root = next((n for n in (told, blocks // 2) if 1 < n < blocks and self._long(n, 0) == 2 and self._long(n, 127) == 1), blocks // 2)
@@ -187,6 +187,39 @@ class Affs:
             return b"".join(map(self._block, blocks))[:size]
         return b"".join((raw := self._block(n))[24 : 24 + int.from_bytes(raw[12:16], "big")] for n in blocks)[:size]
 
+    def problems(self) -> Iterator[tuple[str, str, str]]:
+        """(severity, code, message): blocks whose words do not add up to zero, names in the wrong chain, wrong parents, loops."""
+        todo, seen = [self.root], {self.root}
+        while todo:
+            folder = todo.pop()
+            for slot in range(72):
+                n, chain = self._long(folder, 6 + slot), set()
+                while n > 0:
+                    if n in chain:
+                        yield "error", "HashChainLoop", f"block {n}"
+                        break
+                    chain.add(n)
+                    raw = self._block(n)
+                    if len(raw) < self.BLOCK or self._long(n, 0) != 2:
+                        yield "error", "BadHeaderBlock", f"block {n}"
+                        break
+                    name = raw[433 : 433 + min(30, raw[432])]
+                    h = len(name)
+                    for c in name:
+                        h = h * 13 + (c - 32 if 97 <= c <= 122 or self.international and 224 <= c <= 254 and c != 247 else c) & 0x7FF
+                    if h % 72 != slot:
+                        yield "error", "WrongHashChain", f"block {n}"
+                    if self._long(n, 125) != folder:
+                        yield "error", "WrongParent", f"block {n}"
+                    if sum(struct.unpack(">128I", raw)) & 0xFFFFFFFF:
+                        yield "error", "BadChecksum", f"block {n}"
+                    if self._long(n, 127) == 2 and n not in seen:
+                        seen.add(n)
+                        todo.append(n)
+                    n = self._long(n, 124)
+        if sum(struct.unpack(">128I", self._block(self.root))) & 0xFFFFFFFF:
+            yield "error", "BadChecksum", f"block {self.root}"
+
     @staticmethod
     def date(days: int, minutes: int, ticks: int) -> str | None:
         if not (days or minutes or ticks):
@@ -276,35 +309,51 @@ class Efs:
             out[512 * logical : 512 * logical + min(len(piece), max(0, size - 512 * logical))] = piece[: max(0, size - 512 * logical)]
         return bytes(out)
 
+    def links(self) -> Iterator[tuple[str, int, int | None, int | None]]:
+        """Every inode that names lead to, with its stored links, and every name: its folder and what it names."""
+        todo, seen = [2], {2}
+        while todo:
+            number = todo.pop()
+            inode = self._inode(number)
+            mode, stored = unpack_from(">HH", inode)
+            yield "inode", number, stored, None
+            if mode & 0o170000 != 0o040000:
+                continue
+            for child, name in self._names(self._bytes(inode)):
+                yield "name", number, None, child
+                if name not in (".", "..") and child not in seen:
+                    seen.add(child)
+                    todo.append(child)
+
+    @staticmethod
+    def _names(table: bytes) -> Iterator[tuple[int, str]]:
+        for at in range(0, len(table) - 511, 512):
+            block = table[at : at + 512]
+            for place in block[4 : 4 + block[3]] if block[:2] == b"\xbe\xef" else b"":
+                if place:
+                    child, length = unpack_from(">IB", block, 2 * place)
+                    yield child, block[2 * place + 5 : 2 * place + 5 + length].decode("utf-8", "replace")
+
     def entries(self, contents: bool) -> Iterator[Entry]:
         kinds, todo, seen = {0o040000: "directory", 0o100000: "file", 0o120000: "symlink"}, [("", 2)], {2}
         while todo:
             parent, n = todo.pop()
-            table = self._bytes(self._inode(n))
-            for at in range(0, len(table) - 511, 512):
-                block = table[at : at + 512]
-                if block[:2] != b"\xbe\xef":
+            for child, name in self._names(self._bytes(self._inode(n))):
+                if name in (".", ".."):
                     continue
-                for place in block[4 : 4 + block[3]]:
-                    if not place:
-                        continue
-                    child, length = unpack_from(">IB", block, 2 * place)
-                    name = block[2 * place + 5 : 2 * place + 5 + length].decode("utf-8", "replace")
-                    if name in (".", ".."):
-                        continue
-                    inode = self._inode(child)
-                    mode, _, uid, gid, size, _, mtime = unpack_from(">HHHHIII", inode)
-                    kind, path = kinds.get(mode & 0o170000, "special"), f"{parent}/{name}"
-                    when = datetime.fromtimestamp(mtime, UTC).strftime("%Y-%m-%d %H:%M:%S")
-                    made = Entry(path, kind, 0 if kind == "directory" else size, child, when, mode, uid, gid, extents=[(a, c) for _, a, c in self._extents(inode)] if kind in ("file", "directory") else [])
-                    if kind == "symlink":
-                        made.symlink_target = self._bytes(inode).decode("utf-8", "replace")
-                    elif kind == "file" and contents:
-                        made.content = self._bytes(inode)
-                    elif kind == "directory" and child not in seen:
-                        seen.add(child)
-                        todo.append((path, child))
-                    yield made
+                inode = self._inode(child)
+                mode, _, uid, gid, size, _, mtime = unpack_from(">HHHHIII", inode)
+                kind, path = kinds.get(mode & 0o170000, "special"), f"{parent}/{name}"
+                when = datetime.fromtimestamp(mtime, UTC).strftime("%Y-%m-%d %H:%M:%S")
+                made = Entry(path, kind, 0 if kind == "directory" else size, child, when, mode, uid, gid, extents=[(a, c) for _, a, c in self._extents(inode)] if kind in ("file", "directory") else [])
+                if kind == "symlink":
+                    made.symlink_target = self._bytes(inode).decode("utf-8", "replace")
+                elif kind == "file" and contents:
+                    made.content = self._bytes(inode)
+                elif kind == "directory" and child not in seen:
+                    seen.add(child)
+                    todo.append((path, child))
+                yield made
 
 
 class Human68k:

@@ -14,7 +14,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition,
 
 from platterlake.shipping import ship
 from platterlake.sources import archives, containers, filesystems, partitions, ranged, sniff
-from platterlake.sources.entries import ALLOCATION, CATALOG
+from platterlake.sources.entries import ALLOCATION, CATALOG, LINKS, PROBLEMS
 
 BLOCKS = "image_id string, block_no bigint, bytes binary"
 _PARTS = "path string, part_index int, start bigint, size bigint"
@@ -115,12 +115,25 @@ def read_allocation(spark: SparkSession, path: str, glob: str | None = None) ->
 
 def read_catalog(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """The catalog records of every HFS and HFS+ volume: folders, files and threads, with the folders' stored valences."""
+    return _by_volume(spark, path, glob, None, _of_volume(filesystems.catalog), CATALOG)
 
+
+def read_links(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+    """Inodes with their stored links, and names with what they name, of every EFS, UFS and XFS volume."""
+    return _by_volume(spark, path, glob, None, _of_volume(filesystems.links), LINKS)
+
+
+def read_problems(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+    """What the drivers' own checks find wrong with volumes: those of AFFS."""
+    return _by_volume(spark, path, glob, None, _of_volume(filesystems.problems), PROBLEMS)
+
+
+def _of_volume(read):
     def rows(name: str, index: int, start: int, size: int, data) -> Iterator[tuple]:
         if index >= 0:
-            yield from ((name, index, *r) for r in filesystems.catalog(ranged.View(containers.opened(data, name), start, size)))
+            yield from ((name, index, *r) for r in read(ranged.View(containers.opened(data, name), start, size)))
 
-    return _by_volume(spark, path, glob, None, rows, CATALOG)
+    return rows
 
 
 def _by_volume(spark: SparkSession, path: str, glob: str | None, partition: int | None, rows, schema: str, count: int = 2000) -> DataFrame:

@@ -531,6 +531,10 @@ def affs(files, fast=True, blocks=1760):
                 longs(table, 77 - k % 72, at)
                 longs(table, 2, k % 72 + 1)
         link(homes[parent], n, name)
+    for n in homes.values():
+        longs(n, 5, 0)
+        total = sum(struct.unpack_from(">128I", disk, 512 * n))
+        struct.pack_into(">I", disk, 512 * n + 20, -total & 0xFFFFFFFF)
     return bytes(disk)
 
 
@@ -819,7 +823,7 @@ def efs(files, blocks=2000):
     struct.pack_into(">I", disk, 512 + 28, 0x00072959)
     homes, at = {"": 2} | {p: 3 + k for k, p in enumerate(files)}, group + inodes
 
-    def put(n, mode, body):
+    def put(n, mode, body, links=1):
         nonlocal at
         extents, first = b"", at
         for logical in range(0, -(-len(body) // 512), 200):
@@ -828,7 +832,7 @@ def efs(files, blocks=2000):
         disk[512 * at : 512 * at + len(body)] = body
         at += -(-len(body) // 512)
         place = 512 * group + 128 * n
-        struct.pack_into(">HHHHIIIIIHBB", disk, place, mode, 1, 7, 8, len(body), 0, 86_400, 0, 0, len(extents) // 8, 0, 0)
+        struct.pack_into(">HHHHIIIIIHBB", disk, place, mode, links, 7, 8, len(body), 0, 86_400, 0, 0, len(extents) // 8, 0, 0)
         disk[place + 32 : place + 32 + len(extents)] = extents
 
     def folder(own):
@@ -842,7 +846,7 @@ def efs(files, blocks=2000):
         return bytes(raw)
 
     for path in ["", *(p for p, b in files.items() if b is None)]:
-        put(homes[path], 0o040755, folder([(".", homes[path]), ("..", homes[path.rpartition("/")[0]]), *((p.rpartition("/")[2], homes[p]) for p in files if p.rpartition("/")[0] == path)]))
+        put(homes[path], 0o040755, folder([(".", homes[path]), ("..", homes[path.rpartition("/")[0]]), *((p.rpartition("/")[2], homes[p]) for p in files if p.rpartition("/")[0] == path)]), 2 + sum(b is None and p.rpartition("/")[0] == path for p, b in files.items()))
     for path, body in files.items():
         if body is not None:
             put(homes[path], 0o100644, body)
@@ -886,7 +890,7 @@ def ufs(files, wide=True, order="<", block=8192, fragment=1024, fragments=4096):
         following += n
         return following - n
 
-    def put(n, mode, body, target=None):
+    def put(n, mode, body, links=1):
         blocks, own = [0] * 15, []
         raw = body
         for at in range(0, len(raw), block):
@@ -899,10 +903,10 @@ def ufs(files, wide=True, order="<", block=8192, fragment=1024, fragments=4096):
             struct.pack_into(f"{order}{len(own) - 12}{'q' if wide else 'i'}", disk, blocks[12] * fragment, *own[12:])
         at = inodes_at * fragment + n * (256 if wide else 128)
         if wide:
-            struct.pack_into(order + "HHIIIQQqqq", disk, at, mode, 1, 7, 8, block, len(body), 0, 0, 86_400, 0)
+            struct.pack_into(order + "HHIIIQQqqq", disk, at, mode, links, 7, 8, block, len(body), 0, 0, 86_400, 0)
             struct.pack_into(order + "15q", disk, at + 112, *blocks)
         else:
-            struct.pack_into(order + "HHIQ", disk, at, mode, 1, 0, len(body))
+            struct.pack_into(order + "HHIQ", disk, at, mode, links, 0, len(body))
             struct.pack_into(order + "i", disk, at + 24, 86_400)
             struct.pack_into(order + "15i", disk, at + 40, *blocks)
             struct.pack_into(order + "II", disk, at + 112, 7, 8)
@@ -916,7 +920,7 @@ def ufs(files, wide=True, order="<", block=8192, fragment=1024, fragments=4096):
         return out.ljust(512, b"\0")
 
     for path in ["", *(p for p, b in files.items() if b is None)]:
-        put(homes[path], 0o040755, folder([(".", homes[path]), ("..", homes[path.rpartition("/")[0]]), *((p.rpartition("/")[2], homes[p]) for p in files if p.rpartition("/")[0] == path)]))
+        put(homes[path], 0o040755, folder([(".", homes[path]), ("..", homes[path.rpartition("/")[0]]), *((p.rpartition("/")[2], homes[p]) for p in files if p.rpartition("/")[0] == path)]), 2 + sum(b is None and p.rpartition("/")[0] == path for p, b in files.items()))
     for path, body in files.items():
         if body is not None:
             put(homes[path], 0o100644, body)
@@ -939,9 +943,10 @@ def xfs(files, version=5, block=4096, group=512, short=True):
         struct.pack_into(">I", disk, 216, 1)
     typed, following = version == 5, first + 16
 
-    def put(n, mode, form, body, length):
+    def put(n, mode, form, body, length, links=1):
         at = n // per * block + n % per * size
         struct.pack_into(">HHBBHII", disk, at, 0x494E, mode, 3 if version == 5 else 2, form, 0, 7, 8)
+        struct.pack_into(">I", disk, at + 16, links)
         struct.pack_into(">i", disk, at + 40, 86_400)
         struct.pack_into(">Q", disk, at + 56, length)
         struct.pack_into(">I", disk, at + 76, len(body) // 16 if form == 2 else 0)
@@ -961,10 +966,10 @@ def xfs(files, version=5, block=4096, group=512, short=True):
 
     for path in ["", *(p for p, b in files.items() if b is None)]:
         own = [(p.rpartition("/")[2].encode(), homes[p]) for p in files if p.rpartition("/")[0] == path]
-        up = homes[path.rpartition("/")[0]]
+        up, links = homes[path.rpartition("/")[0]], 2 + sum(b is None and p.rpartition("/")[0] == path for p, b in files.items())
         if short:
             body = struct.pack(">BBI", len(own), 0, up) + b"".join(bytes([len(n), 0, 0]) + n + (b"\1" if typed else b"") + struct.pack(">I", i) for n, i in own)
-            put(homes[path], 0o040755, 1, body, len(body))
+            put(homes[path], 0o040755, 1, body, len(body), links)
         else:
             raw = (b"XDB3" if version == 5 else b"XD2B").ljust(64 if version == 5 else 16, b"\0")
             for name, number in [(b".", homes[path]), (b"..", up), *own]:
@@ -972,7 +977,7 @@ def xfs(files, version=5, block=4096, group=512, short=True):
                 raw += entry.ljust(-(-(len(entry) + 2) // 8) * 8, b"\0")
             leaves = 8 * (len(own) + 2) + 8
             raw += struct.pack(">HH", 0xFFFF, block - leaves - len(raw))
-            put(homes[path], 0o040755, 2, extents(raw.ljust(block - 8, b"\0") + struct.pack(">II", len(own) + 2, 0)), block)
+            put(homes[path], 0o040755, 2, extents(raw.ljust(block - 8, b"\0") + struct.pack(">II", len(own) + 2, 0)), block, links)
     for path, body in files.items():
         if body is not None:
             put(homes[path], 0o100644, 2, extents(body), len(body))

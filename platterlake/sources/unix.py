@@ -53,6 +53,26 @@ class _Unix:
                 yield made
 
 
+    def links(self) -> Iterator[tuple[str, int, int | None, int | None]]:
+        """Every inode that names lead to, with its stored links, and every name: its folder and what it names. A folder that
+        stores no names for itself and its parent is given them."""
+        todo, seen = [(self.ROOT, self.ROOT)], {self.ROOT}
+        while todo:
+            number, parent = todo.pop()
+            inode = self._inode(number)
+            yield "inode", number, inode["links"], None
+            if inode["mode"] & 0o170000 != 0o040000:
+                continue
+            own = list(self._names(inode))
+            if not any(name == "." for _, name in own):
+                own = [(number, "."), (parent, ".."), *own]
+            for child, name in own:
+                yield "name", number, None, child
+                if name not in (".", "..") and child not in seen:
+                    seen.add(child)
+                    todo.append((child, number))
+
+
 class Ufs(_Unix):
     """UFS1 and UFS2: twelve direct blocks and three levels of indirect ones, in fragments."""
 
@@ -74,9 +94,9 @@ class Ufs(_Unix):
         start = group * self.group + self.skew * (group & ~self.mask) + self.inodes_at
         raw = self.data[start * self.fragment + n % self.per_group * size : start * self.fragment + (n % self.per_group + 1) * size]
         if self.wide:
-            out = {"mode": self._get("H", raw, 0), "uid": self._get("I", raw, 4), "gid": self._get("I", raw, 8), "size": self._get("Q", raw, 16), "mtime": self._get("q", raw, 40), "blocks": struct.unpack_from(self.order + "15q", raw, 112), "raw": raw[112:232]}
+            out = {"mode": self._get("H", raw, 0), "links": self._get("H", raw, 2), "uid": self._get("I", raw, 4), "gid": self._get("I", raw, 8), "size": self._get("Q", raw, 16), "mtime": self._get("q", raw, 40), "blocks": struct.unpack_from(self.order + "15q", raw, 112), "raw": raw[112:232]}
         else:
-            out = {"mode": self._get("H", raw, 0), "size": self._get("Q", raw, 8), "mtime": self._get("i", raw, 24), "blocks": struct.unpack_from(self.order + "15i", raw, 40), "uid": self._get("I", raw, 112), "gid": self._get("I", raw, 116), "raw": raw[40:100]}
+            out = {"mode": self._get("H", raw, 0), "links": self._get("H", raw, 2), "size": self._get("Q", raw, 8), "mtime": self._get("i", raw, 24), "blocks": struct.unpack_from(self.order + "15i", raw, 40), "uid": self._get("I", raw, 112), "gid": self._get("I", raw, 116), "raw": raw[40:100]}
         if out["mode"] & 0o170000 == 0o120000 and out["size"] < len(out["raw"]):
             out["inline"] = out["raw"]
         return out
@@ -141,7 +161,7 @@ class Xfs(_Unix):
         head = 176 if raw[4] == 3 else 100
         fork = raw[head : head + raw[82] * 8] if raw[82] else raw[head:]
         get = lambda kind, at: struct.unpack_from(">" + kind, raw, at)[0]
-        out = {"mode": get("H", 2), "format": raw[5], "uid": get("I", 8), "gid": get("I", 12), "mtime": get("i", 40), "size": get("Q", 56), "count": get("I", 76), "fork": fork, "number": n}
+        out = {"mode": get("H", 2), "links": get("I", 16) if raw[4] > 1 else get("H", 6), "format": raw[5], "uid": get("I", 8), "gid": get("I", 12), "mtime": get("i", 40), "size": get("Q", 56), "count": get("I", 76), "fork": fork, "number": n}
         if out["format"] == 1:
             out["inline"] = fork
         return out
