@@ -80,9 +80,13 @@ def resolve_conflicts(source: DataFrame, target: DataFrame, keys: list[str], pol
     return target.unionByName(source)
 
 
-def overlay(blocks: DataFrame, journal: DataFrame) -> DataFrame:
-    """(block, bytes) after the journal (seq, block, bytes, good) is replayed up to its first bad transaction."""
-    bad = journal.where(~F.col("good")).agg(F.min("seq").alias("stop"))  # one row
-    usable = journal.join(F.broadcast(bad), F.col("stop").isNull() | (F.col("seq") < F.col("stop"))).drop("stop")
-    writes = last_of(usable, ["block"], "seq").select("block", F.col("bytes").alias("new"))
-    return blocks.join(writes, "block", "full").select("block", F.coalesce("new", "bytes").alias("bytes"))
+def overlay(blocks: DataFrame, journal: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, block, bytes) after the journal (by, seq, block, bytes, good) is replayed up to its first bad transaction; by: columns
+    that tell volumes apart."""
+    keys = [*by, "block"]
+    bad = journal.where(~F.col("good")).groupBy(*by).agg(F.min("seq").alias("stop"))
+    # without volumes to tell apart this is one row
+    bounded = journal.join(bad, list(by), "left") if by else journal.join(F.broadcast(bad), F.lit(True), "left")
+    usable = bounded.where(F.col("stop").isNull() | (F.col("seq") < F.col("stop"))).drop("stop")
+    writes = last_of(usable, keys, "seq").select(*keys, F.col("bytes").alias("new"))
+    return blocks.select(*keys, "bytes").join(writes, keys, "full").select(*keys, F.coalesce("new", "bytes").alias("bytes"))

@@ -8,9 +8,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from platterlake.operators import checks
+from platterlake.operators import checks, diff
 from platterlake.plans.common import Registry, read
-from platterlake.sources import archives, containers, filesystems, floppies, partitions, samples, stuffit
+from platterlake.sources import archives, containers, filesystems, floppies, journal, partitions, samples, stuffit
 from platterlake.sources.entries import LINKS, Entry, runs_of_bits
 
 R = Registry()
@@ -280,6 +280,24 @@ def allocation_runs(spark, sf_dir):
     return read(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("p_partkey")).mapInPandas(each, "kind string, p_partkey long, used long")
 
 
+@R.add("""WITH j AS (SELECT n_regionkey, n_nationkey, n_name, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS seq FROM nation),
+w AS (SELECT n_regionkey, 100 + n_nationkey % 3 AS sector, n_name, row_number() OVER (PARTITION BY n_regionkey, n_nationkey % 3 ORDER BY seq DESC) AS n FROM j WHERE seq < 4)
+SELECT CAST(n_regionkey AS VARCHAR) AS image_id, CAST(sector AS BIGINT) AS block, md5(rpad(n_name, 512, '.')) AS md5 FROM w WHERE n = 1""")
+def journal_of_volumes(spark, sf_dir):
+    """A nation is a transaction of its region's journal; the fourth is damaged, so three are replayed, and later ones win."""
+
+    def each(key, frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("n_nationkey")
+        writes = [[(100 + n % 3, name.ljust(512, ".").encode())] for n, name in zip(frame["n_nationkey"].tolist(), frame["n_name"], strict=True)]
+        return pd.DataFrame([(key[0], *t) for t in journal.transactions(samples.journaled(writes, bad=(4,)))], columns=["image_id", "seq", "sector", "bytes", "good"])
+
+    rows = read(spark, sf_dir, "nation").select(F.col("n_regionkey").cast("string").alias("image_id"), "n_nationkey", "n_name")
+    found = rows.groupBy("image_id").applyInPandas(each, "image_id string, seq long, sector long, bytes binary, good boolean")
+    writes = found.withColumnRenamed("sector", "block")
+    none = writes.limit(0).select("image_id", "block", "bytes")
+    return diff.overlay(none, writes, ("image_id",)).select("image_id", "block", F.md5("bytes").alias("md5"))
+
+
 def _linked(spark, sf_dir, write, hurt) -> DataFrame:
     """The inodes and names of each region's volume, after a fault was planted."""
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, StringStartsWith
 
 from platterlake.shipping import ship
-from platterlake.sources import archives, containers, filesystems, partitions, ranged, sniff
+from platterlake.sources import archives, containers, filesystems, journal, partitions, ranged, sniff
 from platterlake.sources.entries import ALLOCATION, CATALOG, LINKS, PROBLEMS
 
 BLOCKS = "image_id string, block_no bigint, bytes binary"
@@ -128,6 +128,11 @@ def read_problems(spark: SparkSession, path: str, glob: str | None = None) -> Da
     return _by_volume(spark, path, glob, None, _of_volume(filesystems.problems), PROBLEMS)
 
 
+def read_journal(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+    """The sectors that a replay of every HFS+ volume's journal writes, for diff.overlay."""
+    return _by_volume(spark, path, glob, None, _of_volume(journal.transactions), journal.SCHEMA, 200)
+
+
 def _of_volume(read):
     def rows(name: str, index: int, start: int, size: int, data) -> Iterator[tuple]:
         if index >= 0:

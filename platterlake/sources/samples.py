@@ -982,3 +982,39 @@ def xfs(files, version=5, block=4096, group=512, short=True):
         if body is not None:
             put(homes[path], 0o100644, 2, extents(body), len(body))
     return bytes(disk)
+
+
+def journaled(writes, bad=(), order="<", blocks=256, start=None):
+    """An HFS+ volume of 4096-byte blocks whose journal holds transactions, each a list of (sector, 512 bytes); those whose
+    number is in bad are damaged. start: where in the ring the oldest one begins."""
+    from platterlake.sources.journal import HEADER_SUM, LIST, LIST_SUM, MAGIC, NATIVE, _sum
+
+    disk, sector, list_size, total, place = bytearray(4096 * blocks), 512, 4096, 64 << 10, 64 << 10
+    disk[1024:1026] = b"H+"
+    struct.pack_into(">I", disk, 1024 + 4, 0x2000)
+    struct.pack_into(">I", disk, 1024 + 12, 2)
+    struct.pack_into(">II", disk, 1024 + 40, 4096, blocks)
+    struct.pack_into(">I", disk, 2 * 4096, 1)
+    struct.pack_into(">QQ", disk, 2 * 4096 + 36, place, total)
+    first = at = sector if start is None else start
+
+    def put(raw: bytes) -> None:
+        nonlocal at
+        for k in range(0, len(raw), sector):
+            if at >= total:
+                at = sector
+            disk[place + at : place + at + sector] = raw[k : k + sector]
+            at += sector
+
+    for number, some in enumerate(writes, 1):
+        head = bytearray(list_size)
+        struct.pack_into(order + "HHiIi", head, 0, 255, len(some) + 1, list_size + sector * len(some), 0, 0)
+        for k, (n, _) in enumerate(some, 1):
+            struct.pack_into(order + "QII", head, 16 + 16 * k, n, sector, 0)
+        struct.pack_into(order + "I", head, LIST_SUM, _sum(bytes(head[:LIST]), LIST_SUM) ^ (number in bad))
+        put(bytes(head) + b"".join(body for _, body in some))
+    end = at if at < total else sector
+    head = bytearray(struct.pack(order + "IIQQQIII", MAGIC, NATIVE, first, end, total, list_size, 0, sector))
+    struct.pack_into(order + "I", head, HEADER_SUM, _sum(bytes(head), HEADER_SUM))
+    disk[place : place + len(head)] = head
+    return bytes(disk)

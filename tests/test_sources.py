@@ -291,6 +291,23 @@ def test_trees(name, disk):
         assert got["/ODD"].modified == "1978-01-02 00:02:03"
 
 
+@pytest.mark.parametrize("order", "<>")
+def test_journals(order):
+    from platterlake.sources import journal
+
+    sector = lambda n: bytes([n]) * 512
+    writes = [[(100, sector(1)), (200, sector(2))], [(100, sector(3))], [(300, sector(4))]]
+    flat = [(k, n, b, True) for k, some in enumerate(writes, 1) for n, b in some]
+    assert list(journal.transactions(images.journaled(writes, order=order))) == flat
+    assert list(journal.transactions(images.journaled(writes, order=order, start=(64 << 10) - 5 * 512))) == flat  # around the ring's end
+    assert list(journal.transactions(images.journaled(writes, bad=(2,), order=order))) == [*flat[:2], (2, 100, b"", False)]
+    assert list(journal.transactions(images.fat12(FILES))) == []
+    hurt = bytearray(images.journaled(writes, order=order))
+    hurt[(64 << 10) + 20] ^= 1
+    with pytest.raises(ValueError, match="damaged"):
+        list(journal.transactions(bytes(hurt)))
+
+
 def test_described_disks(tmp_path):
     disk = images.mbr([(0x06, 63, images.fat12(FILES), False)], 3 << 20)
     (tmp_path / "x-flat.vmdk").write_bytes(b"?" * 512 + disk[: 2 << 20])
