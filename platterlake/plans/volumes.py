@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from platterlake.operators import checks, diff
 from platterlake.plans.common import Registry, read
-from platterlake.sources import archives, containers, filesystems, floppies, journal, partitions, samples, stuffit
+from platterlake.sources import archives, compactpro, containers, filesystems, floppies, journal, partitions, samples, stuffit
 from platterlake.sources.entries import LINKS, Entry, runs_of_bits
 
 R = Registry()
@@ -120,6 +120,11 @@ def archive_tar(spark, sf_dir):
     return _listing(spark, sf_dir, made)
 
 
+@R.add(_sql("compactpro", _IN_FOLDER))
+def archive_compactpro(spark, sf_dir):
+    return _listing(spark, sf_dir, lambda folder, files: ("compactpro", archives.READERS["compactpro"](compactpro.write_compactpro(_tree(folder, files)), True)))
+
+
 def _register_stuffit() -> None:
     for method, name in ((0, "stored"), (1, "runs"), (3, "huffman")):
 

@@ -1,4 +1,4 @@
-"""Archives to entries: tar, MacBinary, BinHex and AppleDouble here, StuffIt in a module of its own."""
+"""Archives to entries: tar, MacBinary, BinHex and AppleDouble here, StuffIt and Compact Pro in modules of their own."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ import zlib
 from collections.abc import Iterator
 
 from platterlake.functions.digests import crc16
-from platterlake.sources import stuffit
+from platterlake.sources import compactpro, stuffit
 from platterlake.sources.entries import Entry
 
 #: The letters of BinHex in the order of their six bits.
@@ -151,7 +151,9 @@ def kind_of(data) -> str | None:
         return "macbinary"
     if stuffit.is_stuffit(data):
         return "stuffit"
+    if compactpro.is_compactpro(data):
+        return "compactpro"
     return None
 
 
-READERS = {"tar": tar, "binhex": binhex, "macbinary": macbinary, "stuffit": stuffit.stuffit}
+READERS = {"tar": tar, "binhex": binhex, "macbinary": macbinary, "stuffit": stuffit.stuffit, "compactpro": compactpro.compactpro}

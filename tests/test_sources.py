@@ -318,6 +318,19 @@ def test_described_disks(tmp_path):
     assert containers.flat(ranged.open_file(path), path) == disk[: 2 << 20] + bytes(7 * 512) + disk[2 << 20 :]
 
 
+def test_compact_pro():
+    from platterlake.sources import compactpro
+
+    files = {"/a": b"x" * 300 + b"\x81\x82" * 3 + b"\x81" * 9, "/D": None, "/D/b": body(3000), "/D/E": None, "/D/E/c": b"", "/z": b"q"}
+    made = compactpro.write_compactpro(files)
+    assert archives.kind_of(made) == "compactpro" and archives.kind_of(b"\1" + bytes(200)) is None
+    assert {e.path: e.content for e in archives.READERS["compactpro"](made, True)} == files
+    hurt = bytearray(made)
+    hurt[9] ^= 1
+    with pytest.raises(ValueError, match="checksum"):
+        list(compactpro.compactpro(bytes(hurt), True))
+
+
 @pytest.mark.parametrize("method", [0, 1, 3])
 def test_stuffit(method):
     from platterlake.sources import stuffit
