@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from platterlake.llm.common import drop, numbered, read, table
+from platterlake.llm.common import drop, numbered, only, read, table
 
 LENGTH, GRAM = 400, 48
 #: A passage of over 50 words. Of 51 words of the test tables, 99 % have 240 bytes or more.
@@ -42,6 +42,8 @@ MAX_BUCKET = 2048
 BLOCK = 1 << 19
 #: Shared grams that may be broadcast, of 8 bytes each.
 MAX_BROADCAST = 1_000_000
+#: Segments of a larger bucket whose strings make a part, on average.
+PART = 64
 _CHUNK = 1 << 18
 _BASE = 0x9E3779B97F4A7C15 | 1
 _IS_SPACE = np.array([c == 32 or 9 <= c <= 13 for c in range(256)])
@@ -146,23 +148,32 @@ def suffix_order(segments: list[bytes], counts: list[int], length: int = LENGTH)
     return buffer, [p for p in found if wanted[p]], places
 
 
+def common_prefixes(buffer: bytes, order: np.ndarray, length: int) -> np.ndarray:
+    """How many of their first `length` bytes each of the sorted suffixes, from the second on, shares with the one before it."""
+    if len(order) < 2:
+        return np.empty(0, np.int32)
+    strings = np.lib.stride_tricks.sliding_window_view(np.frombuffer(buffer + bytes(length), np.uint8), length)
+    out = np.empty(len(order) - 1, np.int32)
+    for at in range(0, len(out), 4096):
+        rows = strings[order[at : at + 4097]]
+        other = rows[1:] != rows[:-1]
+        out[at : at + 4096] = np.where(other.any(axis=1), other.argmax(axis=1), length)
+    return out
+
+
 def repeated_starts(segments: list[bytes], counts: list[int], length: int = LENGTH) -> list[np.ndarray]:
-    """For each segment, which of its first counts strings of `length` bytes occur at another place of the segments too."""
+    """For each segment, which of its first counts strings of `length` bytes occur at another place of the segments too: those
+    that share all these bytes with a neighbour in the order of suffixes."""
     buffer, order, places = suffix_order(segments, counts, length)
     whole = [max(0, min(n, len(s) - length + 1)) for s, n in zip(segments, counts, strict=True)]
     inside = np.zeros(len(buffer) + 1, np.int32)
     np.add.at(inside, places, 1)
     np.add.at(inside, places + np.array(whole), -1)
-    inside = (np.cumsum(inside) > 0).tobytes()
-    hit = bytearray(len(buffer))
-    before, at = None, 0
-    for p in order:
-        if inside[p]:
-            now = buffer[p : p + length]
-            if now == before:
-                hit[p] = hit[at] = 1
-            before, at = now, p
-    hit = np.frombuffer(hit, np.uint8)
+    order = np.array(order, np.int64)
+    order = order[(np.cumsum(inside) > 0)[order]]  # shorter ones stand before all that they begin
+    same = np.flatnonzero(common_prefixes(buffer, order, length) >= length)
+    hit = np.zeros(len(buffer), bool)
+    hit[order[same]] = hit[order[same + 1]] = True
     return [np.flatnonzero(hit[p : p + n]) for p, n in zip(places, counts, strict=True)]
 
 
@@ -264,7 +275,7 @@ class Rule:
         return self.length if self.words is None else min(self.floor, self.length)
 
 
-def _cut_out(texts: DataFrame, rule: Rule, how: str, max_bucket: int = MAX_BUCKET) -> DataFrame:
+def _cut_out(texts: DataFrame, rule: Rule, how: str) -> DataFrame:
     """texts: text and h, a, n of runs, and d, their buckets' sizes. A row for every run: its segment's digest ("digest"), its
     bytes and one on either side ("bytes"), or the hashes of its strings ("strings"), each with the part of its bucket that
     it falls into. Beyond the ends of a text stand line ends."""
@@ -282,7 +293,7 @@ def _cut_out(texts: DataFrame, rule: Rule, how: str, max_bucket: int = MAX_BUCKE
                     elif how == "bytes":
                         rows.append((h, sd, n, segment))
                     else:
-                        parts = -(-d // max_bucket)
+                        parts = -(-d // PART)
                         found = [(i, False, xxhash.xxh3_128_digest(segment[i + 1 : i + 1 + rule.length])) for i in range(min(n, len(segment) - 1 - rule.length))]
                         if rule.words:
                             found += [(i, True, xxhash.xxh3_128_digest(w, 1)) for _, i, w in words_of_segments([segment], [n], rule.words, rule.floor, rule.length)]
@@ -407,10 +418,10 @@ def find_repeats(docs: DataFrame, rule: Rule = Rule(), max_bucket: int = MAX_BUC
     shared = table(each_run.groupBy("h").agg(F.sum("times").alias("c")).where("c > 1").select("h"), "shared")
     few = shared.count() <= MAX_BROADCAST
     candidates = each_run.select("tid", "h", "a", "n", F.lit(0).cast("long").alias("d")).join(F.broadcast(shared) if few else shared, "h")
-    wanted = _runs_of(candidates).join(classes.select("tid", "key"), "tid")
-    once = named.where(F.col("n_bytes") >= least).groupBy("key").agg(F.first("text").alias("text"))
+    wanted = table(_runs_of(candidates).join(classes.select("tid", "key"), "tid"), "wanted")
+    once = only(named.where(F.col("n_bytes") >= least), wanted.select("key")).groupBy("key").agg(F.first("text").alias("text"))
     texts = table(once.join(wanted, "key"), "texts")
-    drop(shared)
+    drop(wanted, shared)
 
     places = table(_cut_out(texts, rule, "digest"), "places")
     again = classes.where((F.col("copies") > 1) & (F.col("n_bytes") < length)).select("tid", "copies")
@@ -423,7 +434,7 @@ def find_repeats(docs: DataFrame, rule: Rule = Rule(), max_bucket: int = MAX_BUC
 
     partly = _sorted_buckets(_cut_out(owners(f"d <= {max_bucket}"), rule, "bytes"), rule)
     if buckets.where(f"d > {max_bucket}").count():
-        partly = partly.union(_counted_parts(_cut_out(owners(f"d > {max_bucket}"), rule, "strings", max_bucket)))
+        partly = partly.union(_counted_parts(_cut_out(owners(f"d > {max_bucket}"), rule, "strings")))
     none = F.array().cast("array<int>")
     here, last = F.col("a"), F.col("a") + F.least("n", F.col("size") - (length - 1))
     long = last > here
@@ -473,10 +484,11 @@ def remove_repeats(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id",
 
     some = found.partly.mapInPandas(each, "__platterlake_key binary, __platterlake_left string")
     gone = found.whole.select(F.col("key").alias("__platterlake_key"), F.lit("").alias("__platterlake_left"))
-    changed = some.union(gone).withColumn("__platterlake_key", F.lower(F.hex("__platterlake_key")))
-    joined = docs.withColumn("__platterlake_sha", F.sha2(F.col(text), 256)).join(changed, F.col("__platterlake_sha") == F.col("__platterlake_key"), "left")
-    left = F.col("__platterlake_left")
-    return joined.where(left.isNull() | left.rlike(r"[^\x20\x09-\x0D]")).select(*(F.coalesce(left, F.col(c)).alias(c) if c == text else F.col(c) for c in docs.columns))
+    changed = table(some.union(gone).select(F.lower(F.hex("__platterlake_key")).alias("__platterlake_key"), "__platterlake_left"), "changed")
+    # only what changes is joined; all other rows stay where they are
+    named, keys = docs.withColumn("__platterlake_key", F.sha2(F.col(text), 256)), changed.select("__platterlake_key")
+    cut = only(named, keys).join(changed, "__platterlake_key").where(F.col("__platterlake_left").rlike(r"[^\x20\x09-\x0D]"))
+    return only(named, keys, "left_anti").select(*docs.columns).unionByName(cut.select(*(F.col("__platterlake_left").alias(c) if c == text else F.col(c) for c in docs.columns)))
 
 
 def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:

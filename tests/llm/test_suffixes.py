@@ -69,6 +69,14 @@ def test_two_stage_order_is_the_order_of_suffixes():
             assert keys == sorted(keys)
 
 
+def test_common_prefixes_of_neighbours():
+    rnd = random.Random(14)
+    text = bytes(rnd.choice(b"ab") for _ in range(6000))
+    order = np.array(sorted(range(len(text) - 30), key=lambda p: text[p : p + 30]))
+    want = [next((i for i in range(30) if text[p + i] != text[q + i]), 30) for p, q in zip(order, order[1:])]
+    assert s.common_prefixes(text, order, 30).tolist() == want and len(s.common_prefixes(b"", order[:1], 30)) == 0
+
+
 def test_runs_cover_every_start_once_and_equal_strings_share_their_anchor():
     rnd = random.Random(7)
     text = bytes(rnd.choice(b"ab") for _ in range(5000)) + b"q" * 900
