@@ -3,35 +3,39 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from platterlake.shipping import ship
+from platterlake.staging import checkpoint_dir
 
 #: ASCII white space, as the contracts of the word-based operators name it.
 SPACE = r"[\x20\x09-\x0D]"
+BATCH, BATCH_SETTING = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Keys of some tens of bytes that may be broadcast.
+MAX_BROADCAST = 500_000
+#: Rows of two numbers that make a file worth writing.
+FILE_ROWS = 100_000
 _RUN = uuid.uuid4().hex[:12]
 _kept: dict[str, SparkSession] = {}
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where the session names none (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="platterlake-")
-        spark.sparkContext.setCheckpointDir(found)
-        found = spark.sparkContext.getCheckpointDir()
-    return found.rstrip("/")
+def prepare(spark: SparkSession) -> None:
+    """Send the package, and let Python see BATCH rows at a time where the session does not say otherwise: ten thousand texts, or
+    sets of their shingles, would take hundreds of megabytes in the JVM and in the worker."""
+    ship(spark)
+    if spark.conf.get(BATCH_SETTING) == "10000":  # Spark's own value
+        spark.conf.set(BATCH_SETTING, BATCH)
 
 
 def table(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and return the table: lineage ends there and survives lost executors."""
     spark = df.sparkSession
-    ship(spark)
-    path = f"{shared_dir(spark)}/platterlake-{_RUN}/{name}-{uuid.uuid4().hex[:8]}"
+    prepare(spark)
+    path = f"{checkpoint_dir(spark)}/platterlake-{_RUN}/{name}-{uuid.uuid4().hex[:8]}"
     df.write.parquet(path)
     _kept[path] = spark
     out = spark.read.schema(df.schema).parquet(path)
@@ -39,6 +43,11 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def as_table(df: DataFrame, name: str) -> DataFrame:
+    """df where it is a table already, else a table of it."""
+    return df if getattr(df, "_platterlake_path", None) in _kept else table(df, name)
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete tables that no frame still to be computed reads."""
     for df in tables:
@@ -47,6 +56,15 @@ def drop(*tables: DataFrame) -> None:
             _delete(df.sparkSession, path)
 
 
+def finished(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """make()'s frame as a table; all other tables that were written on the way to it are dropped."""
+    before = set(_kept)
+    out = table(make(), name)
+    for path in set(_kept) - before - {out._platterlake_path}:
+        _delete(_kept.pop(path), path)
+    return out
+
+
 def drop_all() -> None:
     """Delete every table that table() wrote; call it once the results have been written."""
     while _kept:
@@ -67,7 +85,7 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    ship(spark)
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -76,6 +94,14 @@ def numbered(df: DataFrame, name: str, column: str) -> DataFrame:
     return table(df.withColumn(column, F.monotonically_increasing_id()), name)
 
 
+def only(rows: DataFrame, keys: DataFrame, how: str = "left_semi") -> DataFrame:
+    """rows that have (left_semi), or have not (left_anti), a key of the table keys, whose columns they share.
+
+    Up to MAX_BROADCAST keys are sent to the rows, so that wide rows stay where they are; more are joined by a shuffle.
+    """
+    return rows.join(F.broadcast(keys) if keys.count() <= MAX_BROADCAST else keys, keys.columns, how)
+
+
 def _state(edges: DataFrame) -> tuple:
     h = F.xxhash64("u", "v")
     return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(h), F.bit_xor(F.xxhash64(h, F.lit(7)))).first())
@@ -92,16 +118,17 @@ def connected(edges: DataFrame) -> DataFrame:
     e = table(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
     now = _state(e)
     while now[0]:
+        few = lambda df, n=now[0]: df.coalesce(n // FILE_ROWS + 1)  # noqa: E731  no step has more than twice the edges' rows
         both = e.union(e.select("v", "u"))
-        low = table(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "low")
-        big = table(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "big")
-        low2 = table(big.groupBy("u").agg(F.min("v").alias("m")), "low")
+        low = table(few(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))), "low")
+        big = table(few(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()), "big")
+        low2 = table(few(big.groupBy("u").agg(F.min("v").alias("m"))), "low")
         pairs = big.join(low2, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = table(pairs.union(low2.select("u", F.col("m").alias("v"))).distinct(), "small")
+        small = table(few(pairs.union(low2.select("u", F.col("m").alias("v"))).distinct()), "small")
         then = _state(small)
         drop(e, low, big, low2)
         e = small
         if then == now:
             break
         now = then
-    return table(e.select(F.col("u").alias("node"), F.col("v").alias("label")).union(e.select("v", "v").distinct()), "labels")
+    return table(e.select(F.col("u").alias("node"), F.col("v").alias("label")).union(e.select("v", "v").distinct()).coalesce(now[0] // FILE_ROWS + 1), "labels")

@@ -52,3 +52,13 @@ def test_admission_respects_the_capacity():
 
 def test_empty_table(spark):
     assert sharding.shard(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_a_very_long_text(spark):
+    rows = [(0, "é" * 2_000_000, "", "", "")] + [(i, f"text {i} " * 200, "", "", "") for i in range(1, 300)]
+    found = {r.doc_id: r for r in sharding.shard(spark.createDataFrame(rows, SCHEMA), 4).collect()}
+    assert found[0]["size"] == 4_000_001 and found[0].text_crc32 == zlib.crc32(("é" * 2_000_000).encode())
+    loads = Counter()
+    for r in found.values():
+        loads[r.shard] += r["size"]
+    assert len(found) == 300 and loads[found[0].shard] < 4_000_001 + 0.25 * 300 * 2000
