@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import uuid
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from platterlake.staging import checkpoint_dir
 #: ASCII white space, as the contracts of the word-based operators name it.
 SPACE = r"[\x20\x09-\x0D]"
 BATCH, BATCH_SETTING = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+TIDY_SETTING = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Keys of some tens of bytes that may be broadcast.
 MAX_BROADCAST = 500_000
 #: Rows of two numbers that make a file worth writing.
@@ -65,6 +67,17 @@ def finished(make: Callable[[], DataFrame], name: str) -> DataFrame:
     return out
 
 
+@contextmanager
+def tidy(spark: SparkSession):
+    """Within it, every execution deletes its shuffles as it ends, not when the driver's memory is next collected."""
+    before = spark.conf.get(TIDY_SETTING, None)
+    spark.conf.set(TIDY_SETTING, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(TIDY_SETTING) if before is None else spark.conf.set(TIDY_SETTING, before)
+
+
 def drop_all() -> None:
     """Delete every table that table() wrote; call it once the results have been written."""
     while _kept:

@@ -1,11 +1,13 @@
 """Near-duplicates by resemblance: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Every distinct text gets BANDS keys, each a hash of the minima of ROWS permutations of its shingles. Two texts of similarity
-0.8 share no key with a probability of 0.59 to the power of BANDS, 2.6e-5, and more alike ones with less. Texts that share a
-key are compared by their whole sets of shingles (64-bit hashes): each with each where they are at most FEW; where they are
-more, each with that text which meets most others in its keys, since copies were made of it. What these links join needs no
-more pairs. Of the texts whose larger keys still hold two components, pairs across components are found by an exact filter: in the order of shingles by their frequency
-among these texts, rare ones first, the first shingle that two alike sets share must leave enough places behind it in both.
+Pairs are found by ball hashing of SimHashes (simhash.py): every distinct text has a wide fingerprint of its set of shingles, whose
+blocks emit variants; the variants are shuffled, and texts that share one meet. Two texts of similarity 0.8 meet nowhere with a
+probability of about 2e-5, and more alike ones with less. Texts that meet are compared by the Hamming distance of four blocks, and what
+passes by their whole sets of shingles (64-bit hashes): each with each where at most FEW share a variant; where more do, each
+with that text which meets most others, since copies were made of it. What these links join needs no more pairs. Of the texts
+whose larger groups still hold two components, pairs across components are found by an exact filter: in the order of shingles by their
+frequency among these texts, rare ones first, the first shingle that two alike sets share must leave enough places behind it in
+both.
 
 Defined results: words are lower-cased in ASCII; a text of up to five words is one shingle; null and wordless texts are alike;
 of each component one row stays, that with the smallest non-null id, and of several such rows any one.
@@ -13,6 +15,7 @@ of each component one row stays, that with the smallest non-null id, and of seve
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import accumulate
 
 import numpy as np
@@ -21,17 +24,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from platterlake.llm.common import connected, drop, numbered, only, table
+from platterlake.llm import simhash
+from platterlake.llm.common import MAX_BROADCAST, connected, drop, numbered, only, table, tidy
 
-WORDS, BANDS, ROWS, SEED = 5, 20, 4, 42
+WORDS, SEED = 5, 42
 #: Texts of one key that are compared each with each.
 FEW = 8
-#: Shingles permuted at once, which bounds the memory of a very long text.
-BLOCK = 1 << 12
+#: Blocks whose variants are shuffled at once, which bounds the disk that shuffles take.
+AT_ONCE = 8
 UID = "__platterlake_uid"
-_rnd = np.random.default_rng(SEED)
-_A, _B = _rnd.integers(0, 1 << 63, (2, BANDS * ROWS, 1), dtype=np.uint64)
-_A = _A * np.uint64(2) + np.uint64(1)
+SKETCH = "n long, screen_a long, screen_b long, marks binary"
 
 
 def shingles(text: bytes | None) -> np.ndarray:
@@ -47,17 +49,11 @@ def shingles(text: bytes | None) -> np.ndarray:
     return np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[WORDS - 1 :] or ends[-1:], strict=True)], np.uint64))
 
 
-def bands(found: np.ndarray) -> list[int]:
-    """The keys of a set of shingles, as signed longs."""
-    least = np.full(BANDS * ROWS, ~np.uint64(0))
-    for at in range(0, len(found), BLOCK):
-        least = np.minimum(least, (found[None, at : at + BLOCK] * _A + _B).min(axis=1))
-    return [xxhash.xxh64_intdigest(least[ROWS * k : ROWS * (k + 1)].tobytes(), k) - (1 << 63) for k in range(BANDS)]
-
-
 def _sketch(texts: pd.Series) -> pd.DataFrame:
     sets = [shingles(t) for t in texts]
-    return pd.DataFrame({"n": [len(s) for s in sets], "bands": [bands(s) for s in sets]})
+    marks = [simhash.wide(s) for s in sets]
+    a, b = zip(*(simhash.screen(m) for m in marks), strict=True) if marks else ((), ())
+    return pd.DataFrame({"n": [len(s) for s in sets], "screen_a": a, "screen_b": b, "marks": [m.tobytes() for m in marks]})
 
 
 def _sets(texts: pd.Series) -> pd.Series:
@@ -102,25 +98,50 @@ def across(open_: DataFrame, sets: DataFrame) -> DataFrame:
     return near.select(F.least("node", "o").alias("u"), F.greatest("node", "o").alias("v"))
 
 
+def near(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (u, n, v, m) of nodes, n and m their numbers of shingles, that can be alike by these and by their fingerprints."""
+    sized = pairs.where("5 * least(n, m) >= 4 * greatest(n, m)")
+    return simhash.near(sized.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), nodes)
+
+
+def met(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The near pairs (u, v) of the nodes of which at most FEW share a key, and the rows (key, node, c) of larger keys."""
+    sizes = nodes.select("node", "n")
+    found, crowds = [], []
+    for first in range(0, simhash.BLOCKS, AT_ONCE):
+        with tidy(nodes.sparkSession):
+            entries = simhash.emitted(nodes, first, min(first + AT_ONCE, simhash.BLOCKS))
+            counts = entries.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("u"), F.max("node").alias("v"))
+            keys = table(counts.where("c > 1"), "keys")
+            more = keys.where("c > 2").select("key", "c")
+            more = F.broadcast(more) if more.count() <= MAX_BROADCAST else more
+            groups = table(entries.join(more, "key").select("key", "node", "c"), "groups")
+            few = groups.where(F.col("c") <= FEW).select("key", F.col("node").alias("u"))
+            each = few.join(few.withColumnRenamed("u", "v"), "key").where("u < v").select("u", "v")
+            pairs = keys.where("c = 2").select("u", "v").union(each).distinct()
+            sized = pairs.join(sizes.toDF("u", "n"), "u").join(sizes.toDF("v", "m"), "v")
+            found.append(table(near(sized, nodes), "near"))
+            crowds.append(table(groups.where(F.col("c") > FEW), "crowds"))
+            drop(keys, groups)
+    return reduce(DataFrame.union, found).distinct(), reduce(DataFrame.union, crowds)
+
+
 def components(nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """nodes: (node, n, bands); texts: (node, text) of them and others. (node, label) for every node that is like another."""
-    entries = nodes.select("node", "n", F.explode("bands").alias("key"))
-    crowded = entries.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    paired = entries.join(crowded, "key")
-    degrees = paired.groupBy("node").agg(F.sum("c").alias("degree"))
-    shared = table(paired.select("key", "node", "n", "c").join(degrees, "node"), "shared")
-    some = table(shared.select("node").distinct(), "some")
-    sets = table(only(texts, some).select("node", F.pandas_udf(_sets, "array<long>")("text").alias("hashes")), "sets")
-    drop(some)
+    """nodes: (node, n, screen_a, screen_b, marks); texts: (node, text) of them and others. (node, label) for every node that is
+    like another."""
+    pairs, crowds = met(nodes)
+    many = table(crowds.join(nodes.select("node", "n"), "node").select("key", "node", "n", "c"), "many")
 
-    # few texts of one key: every pair; of many, pairs with the text that meets most others in its keys, then, of equals, any
-    few, many = shared.where(F.col("c") <= FEW).select("key", "node", "n"), shared.where(F.col("c") > FEW)
-    other = few.select("key", F.col("node").alias("o"), F.col("n").alias("m"))
+    # of many texts of one key, pairs with the text that meets most others in such keys, then, of equals, any
+    degrees = many.groupBy("node").agg(F.sum("c").alias("degree"))
     chosen = F.struct((-F.col("degree")).alias("d"), F.xxhash64("node", F.lit(SEED)).alias("h"))
-    centers = many.groupBy("key").agg(F.min_by(F.struct("node", "n"), chosen).alias("c"))
-    stars = many.select("key", "node", "n").join(centers.select("key", F.col("c.node").alias("o"), F.col("c.n").alias("m")), "key").where("node != o")
-    pairs = few.join(other, "key").where("node < o").unionByName(stars).where("5 * least(n, m) >= 4 * greatest(n, m)")
-    links = verified(pairs.select(F.least("node", "o").alias("u"), F.greatest("node", "o").alias("v")), sets)
+    centers = many.join(degrees, "node").groupBy("key").agg(F.min_by(F.struct("node", "n"), chosen).alias("c"))
+    stars = many.select("key", F.col("node").alias("u"), "n").join(centers.select("key", F.col("c.node").alias("v"), F.col("c.n").alias("m")), "key").where("u != v")
+    pairs = table(pairs.union(near(stars.select("u", "n", "v", "m").distinct(), nodes)).distinct(), "pairs")
+    some = table(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).union(many.select("node")).distinct(), "some")
+    sets = table(only(texts, some).select("node", F.pandas_udf(_sets, "array<long>")("text").alias("hashes")), "sets")
+    drop(some)
+    links = verified(pairs, sets)
     labels = connected(links)
 
     rooted = many.join(labels, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("root"))
@@ -136,10 +157,10 @@ def survivors(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Da
     """The rows of docs, all their columns, of which one of each component stays."""
     raw = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
     sha, sketch = "__platterlake_sha", "__platterlake_sketch"
-    base = numbered(docs.withColumn(sha, F.sha2(raw, 256)).withColumn(sketch, F.pandas_udf(_sketch, "n long, bands array<long>")(raw)), "documents", UID)
+    base = numbered(docs.withColumn(sha, F.sha2(raw, 256)).withColumn(sketch, F.pandas_udf(_sketch, SKETCH)(raw)), "documents", UID)
     row = F.struct(F.col(id_col).isNull().alias("unnamed"), F.col(id_col).alias("id"), F.col(UID).alias("uid"))
-    nodes = table(base.groupBy(F.col(sha)).agg(F.min(F.struct(row.alias("row"), F.col(sketch).alias("s"))).alias("x")).select(F.col("x.row").alias("row"), F.col("x.row.uid").alias("node"), "x.s.n", "x.s.bands"), "nodes")
-    labels = components(nodes.select("node", "n", "bands"), base.select(F.col(UID).alias("node"), raw.alias("text")))
+    nodes = table(base.groupBy(F.col(sha)).agg(F.min(F.struct(row.alias("row"), F.col(sketch).alias("s"))).alias("x")).select(F.col("x.row").alias("row"), F.col("x.row.uid").alias("node"), "x.s.*"), "nodes")
+    labels = components(nodes.drop("row"), base.select(F.col(UID).alias("node"), raw.alias("text")))
     rooted = nodes.select("row", "node").join(labels, "node", "left").select("row", F.coalesce("label", "node").alias("root"))
     best = rooted.groupBy("root").agg(F.min("row").alias("row")).select(F.col("row.uid").alias(UID))
     gone = table(base.select(UID).join(best, UID, "left_anti"), "gone")

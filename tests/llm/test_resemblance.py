@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from platterlake.llm import resemblance as r
 from platterlake.llm import simhash
 
@@ -102,3 +104,58 @@ def test_copies_that_are_not_alike_enough_give_few_pairs(spark):
         r.across = real
     assert found == sorted(min(rows[i][0] for i in g) for g in brute(rows))
     assert sum(m.count() for m in made) < 400 * 40  # of 79,800 pairs
+
+
+def of_similarity_80(rnd, size):
+    """Two sets of hashes that share 8 of their 9 parts."""
+    part = max(1, size // 9)
+    found = np.array([rnd.getrandbits(64) for _ in range(10 * part)], np.uint64)
+    return found[: 9 * part], found[part:]
+
+
+def test_sets_of_similarity_80_meet_in_the_balls_of_some_block():
+    rnd, shared = random.Random(6), []
+    for size in [9] * 150 + [45] * 150 + [270] * 100:
+        a, b = (simhash.wide(x) for x in of_similarity_80(rnd, size))
+        keys = [simhash.variants(m[None], 0, simhash.BLOCKS)[0] for m in (a, b)]
+        assert len(keys[0]) == 16 * simhash.BLOCKS == len(set(keys[0]))
+        met = np.intersect1d(*keys) >> simhash.WIDTH
+        assert len(met)
+        shared.append(len(set(met.tolist())) / simhash.BLOCKS)
+        differ = sum((x ^ y).bit_count() for x, y in zip(simhash.screen(a), simhash.screen(b), strict=True))
+        assert differ <= simhash.FAR
+    assert 0.26 < sum(shared) / len(shared) < 0.33
+
+
+def test_variants_flip_up_to_two_of_the_least_decided_bits():
+    marks = simhash.wide(np.array([3, 5, 11, 2**63 + 7], np.uint64))
+    for block in range(simhash.BLOCKS):
+        word, narrow = int(marks[block]), int(marks[simhash.BLOCKS + block])
+        assert narrow.bit_count() == simhash.NARROW
+        flips = [int(k) ^ (block << simhash.WIDTH | word) for k in simhash.variants(marks[None], block, block + 1)[0]]
+        assert sorted(f.bit_count() for f in flips) == [0] + [1] * 5 + [2] * 10 and not any(f & ~narrow for f in flips)
+
+
+def test_more_hashes_than_are_summed_at_once():
+    found = np.random.default_rng(1).integers(0, 1 << 63, 1000, dtype=np.uint64)
+    total = np.zeros(simhash.BLOCKS * simhash.WIDTH, np.int64)
+    for h in found:
+        x = (h ^ simhash._XOR) * simhash._TIMES
+        x = (x ^ (x >> np.uint64(32))) * simhash._MIX
+        b = (x ^ (x >> np.uint64(29))).view(np.uint8).reshape(-1, 4, 2)
+        total += np.concatenate([b[:, :, 0].reshape(-1), b[:, :, 1].reshape(-1)])
+    bits = (2 * total > 255 * len(found)).reshape(simhash.BLOCKS, simhash.WIDTH)
+    assert [int(x) for x in simhash.wide(found)[: simhash.BLOCKS]] == [sum(1 << int(k) for k in np.flatnonzero(r)) for r in bits]
+
+
+def test_the_stage_gets_its_pairs_by_ball_hashing(spark, monkeypatch):
+    import corpus_pipeline
+
+    rows = edited()
+    docs = spark.createDataFrame(rows, SCHEMA)
+    seen, real = [], simhash.emitted
+    monkeypatch.setattr(simhash, "emitted", lambda nodes, first, last: seen.extend(range(first, last)) or real(nodes, first, last))
+    found = sorted(x.doc_id for x in corpus_pipeline.near_duplicates(spark, docs, "").collect())
+    assert seen == list(range(simhash.BLOCKS)) and found == sorted(min(rows[i][0] for i in g) for g in brute(rows))
+    monkeypatch.setattr(simhash, "emitted", lambda nodes, first, last: real(nodes, first, last).limit(0))
+    assert corpus_pipeline.near_duplicates(spark, docs, "").count() == len({x[1] or "" for x in rows})
