@@ -159,3 +159,18 @@ def test_the_stage_gets_its_pairs_by_ball_hashing(spark, monkeypatch):
     assert seen == list(range(simhash.BLOCKS)) and found == sorted(min(rows[i][0] for i in g) for g in brute(rows))
     monkeypatch.setattr(simhash, "emitted", lambda nodes, first, last: real(nodes, first, last).limit(0))
     assert corpus_pipeline.near_duplicates(spark, docs, "").count() == len({x[1] or "" for x in rows})
+
+
+def test_a_large_group_of_near_copies_meets_in_the_first_blocks_only(spark, monkeypatch):
+    rnd = random.Random(14)
+    base, rows = [f"w{i}" for i in range(120)], []
+    for k in range(500):
+        text = list(base)
+        for j in range(2 if k % 10 else 1):  # most pairs are not alike, chains of others join them
+            text[rnd.randrange(5, 115)] = f"x{k}_{j}"
+        rows.append((k, " ".join(text), "en"))
+    pairs, real = [], simhash.near
+    monkeypatch.setattr(simhash, "near", lambda p, nodes: pairs.append(p.count()) or real(p, nodes))
+    found = sorted(x.doc_id for x in r.survivors(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert found == sorted(min(rows[i][0] for i in g) for g in brute(rows))
+    assert sum(pairs) < 500 * 60 and max(pairs[2:]) < 500 * 5
